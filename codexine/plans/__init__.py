@@ -1,0 +1,6 @@
+"""Planning of questions, query routes, and the queries by name."""
+
+from . import relational_queries, scalar_queries, search_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational_queries", "scalar_queries", "search_queries"]
