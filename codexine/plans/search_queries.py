@@ -185,7 +185,7 @@ s AS (SELECT claim_id, id, count(*) / n AS support FROM c JOIN d USING (w) GROUP
 """
 
 
-@query("benchmark", "documents", sql=_CLAIMS + "SELECT claim_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(support, 6) AS DOUBLE) AS support, CASE WHEN support >= 0.24 THEN 'supported' WHEN support >= 0.12 THEN 'weak' ELSE 'unsupported' END AS status FROM r WHERE rank <= 3")
+@query("benchmark", "documents", sql=_CLAIMS + "SELECT claim_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(support, 6) AS DOUBLE) AS support, CASE WHEN support >= 0.24 THEN 'supported' WHEN support >= 0.12 THEN 'weak' ELSE 'needs_review' END AS status FROM r WHERE rank <= 3")
 def claim_support(benchmark, documents):
     claims = benchmark.select(F.col("item_id").alias("claim_id"), text.content_tokens("text").alias("words"))
     sources = documents.select(F.col("doc_id").alias("id"), text.content_tokens("text").alias("words"))
@@ -228,16 +228,17 @@ def number_accuracy(orders):
     return orders.select("o_orderkey", evaluation.number_accuracy(said, expected).alias("accuracy"))
 
 
-_PAIRS = f"""
-w AS (SELECT conv_id * 1000 + turn AS id, list_distinct({tokens("text")}) AS s FROM conversations), x AS (SELECT id, len(s) AS n, unnest(s) AS t FROM w),
-j AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
-"""
-
-
-@query("conversations", sql=f"WITH {_PAIRS} SELECT a, b, CAST(round(shared / (na + nb - shared), 6) AS DOUBLE) AS similarity FROM j WHERE shared / (na + nb - shared) >= 0.4")
-def near_pairs(conversations):
-    rows = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.tokens("text").alias("words"))
-    return evaluation.near_pairs(rows, "id", "words", 0.4).withColumn("similarity", F.round("similarity", 6))
+@query(
+    "documents",
+    sql=f"""
+WITH w AS (SELECT doc_id AS id, list_distinct({tokens("text")}) AS s FROM documents), x AS (SELECT id, len(s) AS n, unnest(s) AS t FROM w),
+j AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a, b, CAST(round(shared / (na + nb - shared), 6) AS DOUBLE) AS similarity FROM j WHERE shared / (na + nb - shared) >= 0.8
+""",
+)
+def near_pairs(documents):
+    rows = documents.select(F.col("doc_id").alias("id"), text.tokens("text").alias("words"))
+    return evaluation.near_pairs(rows, "id", "words", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 def stream_last_turns(spark, sf_dir):
