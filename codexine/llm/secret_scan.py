@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, fresh_path, slices, table
+from .common import blank, cut, fresh_path, slices, table
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----END))*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
@@ -98,7 +98,8 @@ def scan(documents: DataFrame, ledger: str, path: str = "doc_id", text: str = "t
     fresh.mapInArrow(_scan, _LEDGER).write.mode("append").parquet(ledger)
     current = F.array(*[F.lit(pair(k)) for k in kinds])
     seen = read_ledger(spark, ledger).select("blob", F.filter("findings", lambda x: F.array_contains(current, F.concat(x["kind"], F.lit("@"), x["version"].cast("string")))).alias("findings"))
-    return rows.select("path", "blob").join(seen, "blob")
+    # As a table of its own, so that Spark may split the join where many paths hold one blob.
+    return rows.select("path", "blob").join(cut(seen, "findings"), "blob")
 
 
 def _joined(findings):
