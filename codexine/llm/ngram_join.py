@@ -212,7 +212,8 @@ def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             est = shared / np.maximum(((marks[0] > 0) | (marks[1] > 0)).sum(1), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(1 - est)], ["key", "node", "sketch", "pivot", "far"])
 
-    far = cut(rows.select("key", "node", "sketch").join(pivot, "key").mapInArrow(run, "key long, node binary, sketch binary, pivot binary, far double"), "pivots")
+    # Dealt by node first, as the rows of one bucket may lie in few files.
+    far = cut(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key").mapInArrow(run, "key long, node binary, sketch binary, pivot binary, far double"), "pivots")
     return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), far.filter("far > 0.25").select("key", "node", "sketch")
 
 
@@ -222,7 +223,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     rows = reps.select("node", "sketch", F.explode("paths").alias("p")).select(F.col("p.key").alias("key"), "node", "sketch")
     for level in range(2):
         rows = cut(rows, "buckets")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # As a table of its own, so that Spark may split the join where one bucket holds many texts.
+        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         sized = cut(rows.join(sizes, "key"), "sized")
         edges.append(_bucket_ties(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("cell"), F.lit(0).alias("side"), "node", "sketch")))
         near, rows = _pivoted(sized.filter(F.col("size") > SMALL))
@@ -231,7 +233,8 @@ def candidates(reps: DataFrame) -> DataFrame:
             split = rows.join(reps.select("node", "paths"), "node")
             rows = split.select("node", "sketch", F.explode(F.flatten(F.transform(F.filter("paths", lambda p: p["key"] == F.col("key")), lambda p: p["next"]))).alias("key"))
             rows = rows.select("key", "node", "sketch")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = cut(rows, "buckets")
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     left = rows.join(sizes, "key").withColumn("size", F.ceil(F.col("size") / BLOCK))
     edges.append(_bucket_ties(_blocks(left, "key", F.col("size")).select("cell", "side", "node", "sketch")))
     out = edges[0]
@@ -306,9 +309,9 @@ def join(documents: DataFrame) -> DataFrame:
     reps = named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = cut(reps, "reps")
     groups = cut(components(candidates(reps)), "groups")
-    active = groups.join(reps.select("node", "rep", "copies", "n"), "node")
+    active = cut(groups.join(reps.select("node", "rep", "copies", "n"), "node"), "active")
     sizes = active.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
-    active = cut(active.join(sizes, "root"), "active")
+    active = cut(active.join(cut(sizes, "sizes"), "root"), "active")
     # The sets are made again from the texts of one document each, as to keep those of all would take more room.
     wanted = active.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "root", "copies", "blocks").hint("shuffle_hash")
     source = documents.select("doc_id", blank("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -327,9 +330,10 @@ def join(documents: DataFrame) -> DataFrame:
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(results.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = reps.select("node", "copies", F.col("rep.doc_id").alias("least")).join(links, "node", "left").join(tied, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    nodes = cut(nodes.withColumn("root", F.coalesce("root", "node")), "nodes")
     classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(classes, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    nodes = nodes.join(cut(classes, "classes"), "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    nodes = cut(nodes, "nodes")
     out = rows.select("doc_id", "text_key", "node").join(nodes, "node", "left")
     return out.select("doc_id", "text_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
