@@ -38,7 +38,8 @@ def repeated(documents: DataFrame, lines: int = LINES) -> DataFrame:
     place = F.struct(F.col("_ld_id").isNull().alias("none"), F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text"), F.col("places")[0]["at"].alias("at"))
     rows = cut(rows.withColumn("place", place), "windows")
     first = rows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = rows.join(first, ["a", "b"]).filter(~F.col("place").eqNullSafe(F.col("first")))
+    # As a table of its own, so that Spark may split the join where one window is very common.
+    later = rows.join(cut(first, "first"), ["a", "b"]).filter(~F.col("place").eqNullSafe(F.col("first")))
     return later.groupBy("_ld_id", "_ld_text").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("_ld_gone"))
 
 
