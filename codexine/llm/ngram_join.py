@@ -4,10 +4,11 @@ A document is the set of its shingles of five words (lower case, white space bet
 is one shingle. Documents of equal sets are one text. Texts are split recursively: in each run a text goes to the
 buckets of those of its shingles that a hash selects, about SPREAD of them, so two texts that share 0.8 of their
 shingles share buckets about SPREAD times, and unrelated ones don't. Buckets of at most SMALL texts are compared by
-brute force over sketches. In a larger one, texts near one text (the pivot) are tied to it, and the others are split on by a
-second selected shingle; what is still large is compared in blocks. RUNS runs bring the expected recall to RECALL. That
-gives groups that hold all links; within each, every pair's Jaccard similarity is computed exactly, block against block,
-and counted once. Pairs aren't written out: a text keeps its number of links, and a group its spanning trees.
+brute force over sketches. In a larger one, texts near one text (the pivot) are tied to it, and the others are split on,
+by a second selected shingle and then by values of their sketches, until buckets are small; what is large after LEVELS
+splits is compared in blocks. RUNS runs bring the expected recall to RECALL. That gives groups that hold all links;
+within each, every pair's Jaccard similarity is computed exactly, block against block, and counted once. Pairs aren't
+written out: a text keeps its number of links, and a group its spanning trees.
 
 Defined cases: documents without words (null, empty) have no links, and a class each; equal texts are linked; equal rows
 are rows each; rows of a null id are linked and counted; the class is the least doc_id of all that are tied by links,
@@ -30,13 +31,15 @@ from .components import components
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 SPREAD = 2.0
 SMALL, BLOCK = 96, 512
+#: Levels at which large buckets are split.
+LEVELS = 4
 #: Shingles in a block of the exact comparison, at most on average.
 WEIGHT = 1 << 20
 BINS = 64
 _CACHE = 400_000
 
 
-def _runs(levels: int = 2) -> int:
+def _runs(levels: int) -> int:
     """Runs until a pair at the similarity is missed with a probability of 1 - RECALL, in buckets of the last level.
 
     Such a pair shares SPREAD selected shingles a level on average, so a run of one level misses it with exp(-SPREAD)."""
@@ -46,7 +49,7 @@ def _runs(levels: int = 2) -> int:
     return math.ceil(math.log(1 - RECALL) / math.log(miss))
 
 
-RUNS = _runs()
+RUNS = _runs(LEVELS + 1)
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -201,42 +204,69 @@ def _blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
 def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of large buckets: edges of texts near the pivot to it, and the rows that aren't very near.
 
-    Two linked texts differ by 0.2 at most, so either both are within 0.6 of the pivot, or neither is within 0.4; both
-    limits have a margin for the sketches' errors."""
+    Two linked texts differ by 0.2 at most. Texts within 0.8 are tied, those within 0.5 less an error of the sketches are
+    settled by that, as their links are within 0.7; so both ends of a link are tied, or both go on."""
     pivot = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.sketch").alias("mark"))
 
     def run(batches):
         for batch in batches:
             marks = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "mark")]
             shared = ((marks[0] == marks[1]) & (marks[0] > 0)).sum(1)
-            est = shared / np.maximum(((marks[0] > 0) | (marks[1] > 0)).sum(1), 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(1 - est)], ["key", "node", "sketch", "pivot", "far"])
+            filled = np.maximum(((marks[0] > 0) | (marks[1] > 0)).sum(1), 1)
+            far = 1 - shared / filled
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(far), pa.array(far <= 0.5 - 0.8 / np.sqrt(filled))], ["key", "node", "sketch", "pivot", "far", "settled"])
 
     # Dealt by node first, as the rows of one bucket may lie in few files.
-    far = cut(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key").mapInArrow(run, "key long, node binary, sketch binary, pivot binary, far double"), "pivots")
-    return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), far.filter("far > 0.25").select("key", "node", "sketch")
+    far = cut(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key").mapInArrow(run, "key long, node binary, sketch binary, pivot binary, far double, settled boolean"), "pivots")
+    return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), far.filter("not settled").select("key", "node", "sketch")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """key, node, sketch of large buckets to the buckets of the next level: a text goes to those of the values of its
+    sketch that a hash of the bucket selects, about SPREAD / SIMILARITY of them. Texts that share a passage only agree in
+    few values, so they part; linked ones agree in most."""
+
+    def run(batches):
+        for part in slices(batches, 2048):
+            keys = part.column("key").to_numpy().astype(np.uint64)
+            marks = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            chance = np.minimum(1.0, SPREAD / (SIMILARITY * np.maximum((marks > 0).sum(1), 1)))
+            bins = _mix(np.arange(BINS, dtype=np.uint64), 500)
+            drawn = _mix(keys[:, None] ^ bins[None], 501).astype(np.float64) / 2.0**64
+            row, at = np.nonzero((drawn <= chance[:, None]) & (marks > 0))
+            key = _mix(keys[row] ^ _mix(at.astype(np.uint64) * np.uint64(256) + marks[row, at], 502), 503).view(np.int64)
+            taken = part.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(key), taken.column("node"), taken.column("sketch")], ["key", "node", "sketch"])
+
+    return rows.mapInArrow(run, "key long, node binary, sketch binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Edges a, b that tie together all texts that may be linked. reps: node, paths, sketch."""
+    """Edges a, b that tie together all texts that may be linked. reps: node, paths, sketch.
+
+    The first two levels split by shingles, the others by values of sketches. Only large buckets are split, so there are
+    as many levels as the data need; what is large after LEVELS is compared in blocks."""
     edges = []
     rows = reps.select("node", "sketch", F.explode("paths").alias("p")).select(F.col("p.key").alias("key"), "node", "sketch")
-    for level in range(2):
+    for level in range(LEVELS + 1):
         rows = cut(rows, "buckets")
         # As a table of its own, so that Spark may split the join where one bucket holds many texts.
         sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         sized = cut(rows.join(sizes, "key"), "sized")
         edges.append(_bucket_ties(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("cell"), F.lit(0).alias("side"), "node", "sketch")))
-        near, rows = _pivoted(sized.filter(F.col("size") > SMALL))
+        large = sized.filter(F.col("size") > SMALL)
+        if not large.take(1):
+            break
+        if level == LEVELS:
+            edges.append(_bucket_ties(_blocks(large.withColumn("size", F.ceil(F.col("size") / BLOCK)), "key", F.col("size")).select("cell", "side", "node", "sketch")))
+            break
+        near, rows = _pivoted(large)
         edges.append(near)
         if level == 0:
             split = rows.join(reps.select("node", "paths"), "node")
-            rows = split.select("node", "sketch", F.explode(F.flatten(F.transform(F.filter("paths", lambda p: p["key"] == F.col("key")), lambda p: p["next"]))).alias("key"))
-            rows = rows.select("key", "node", "sketch")
-    rows = cut(rows, "buckets")
-    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    left = rows.join(sizes, "key").withColumn("size", F.ceil(F.col("size") / BLOCK))
-    edges.append(_bucket_ties(_blocks(left, "key", F.col("size")).select("cell", "side", "node", "sketch")))
+            rows = split.select(F.explode(F.flatten(F.transform(F.filter("paths", lambda p: p["key"] == F.col("key")), lambda p: p["next"]))).alias("key"), "node", "sketch")
+        else:
+            rows = _split(rows)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
