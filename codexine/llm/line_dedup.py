@@ -62,23 +62,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(range(len(l))) AS at, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS line, unnest(l) AS raw
+  SELECT doc_id, unnest(range(len(l))) AS pos, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS line, unnest(l) AS raw
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), kept AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lines WHERE line <> ''
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lines WHERE line <> ''
 ), windows AS (
   SELECT doc_id, k, n, line || coalesce(chr(10) || lead(line, 1) OVER w, '') || coalesce(chr(10) || lead(line, 2) OVER w, '') AS content
-  FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), later AS (
   SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, k) AS nth FROM windows WHERE k <= greatest(n - 2, 1)) WHERE nth > 1
 ), gone AS (
-  SELECT DISTINCT kept.doc_id, kept.at FROM kept JOIN later ON kept.doc_id = later.doc_id AND kept.k BETWEEN later.k AND later.k + 2
+  SELECT DISTINCT kept.doc_id, kept.pos FROM kept JOIN later ON kept.doc_id = later.doc_id AND kept.k BETWEEN later.k AND later.k + 2
 ), marked AS (
-  SELECT lines.*, gone.at IS NOT NULL AS is_gone,
-    coalesce(last_value(CASE WHEN lines.line <> '' THEN gone.at IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY lines.doc_id ORDER BY lines.at ROWS UNBOUNDED PRECEDING), false) AS cutting
-  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.at = lines.at
+  SELECT lines.*, gone.pos IS NOT NULL AS is_gone,
+    coalesce(last_value(CASE WHEN lines.line <> '' THEN gone.pos IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY lines.doc_id ORDER BY lines.pos ROWS UNBOUNDED PRECEDING), false) AS cutting
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.pos = lines.pos
 )
 SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE is_gone) AS n_removed,
-  coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE NOT cutting), '') AS text
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT cutting), '') AS text
 FROM marked GROUP BY doc_id
 """
