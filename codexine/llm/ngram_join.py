@@ -333,7 +333,8 @@ def _verified(cells: DataFrame) -> DataFrame:
 
 
 def join(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, class_id, n_links of every document."""
+    """doc_id, text_key, class_id, n_links of every document, and is_first: whether the row's id and text are those of its
+    class's first row, by id (null ids last) and hash of the text. Equal rows are first together."""
     rows = cut(texts(documents), "texts")
     named = rows.filter("node is not null")
     reps = named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
@@ -359,14 +360,21 @@ def join(documents: DataFrame) -> DataFrame:
     results = cut(_verified(_blocks(sets, "root", F.col("blocks")).select("cell", "side", "node", "copies", "shingles")), "links")
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(results.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = reps.select("node", "copies", F.col("rep.doc_id").alias("least")).join(links, "node", "left").join(tied, "node", "left")
+    nodes = reps.select("node", "copies", "rep").join(links, "node", "left").join(tied, "node", "left")
     nodes = cut(nodes.withColumn("root", F.coalesce("root", "node")), "nodes")
-    classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(cut(classes, "classes"), "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    classes = nodes.groupBy("root").agg(F.min("rep").alias("first"))
+    nodes = nodes.join(cut(classes, "classes"), "root").select("node", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     nodes = cut(nodes, "nodes")
     out = rows.select("doc_id", "text_key", "node").join(nodes, "node", "left")
-    return out.select("doc_id", "text_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return out.select(
+        "doc_id",
+        "text_key",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.col("node").isNull() | own).alias("is_first"),
+    )
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("text_key")
+    return join(table(spark, sf_dir, "documents")).drop("text_key", "is_first")

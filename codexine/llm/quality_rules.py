@@ -79,17 +79,18 @@ def counts(text: str) -> tuple[int, ...]:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, lang and COUNTS of every document."""
-    names = ["doc_id", "lang", *COUNTS]
+    """doc_id, lang, text_key (a hash of the text) and COUNTS of every document."""
+    names = ["doc_id", "lang", "text_key", *COUNTS]
 
     def run(batches):
         for part in slices(batches):
             found = [counts(t) for t in part.column("text").to_pylist()]
             columns = zip(*found, strict=True) if found else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(x, pa.int64()) for x in columns)], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("text_key"), *(pa.array(x, pa.int64()) for x in columns)], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("lang").alias("lang"), blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{x} long" for x in COUNTS))
+    rows = documents.select("doc_id", blank("lang").alias("lang"), blank("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, lang string, text_key long, " + ", ".join(f"{x} long" for x in COUNTS))
 
 
 def statistics() -> dict:
@@ -153,7 +154,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: f
 
 
 def judge(documents: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept, and rejected_by: the rules whose cutoff the document exceeds."""
+    """doc_id, lang, text_key, COUNTS, base_failed, kept, and rejected_by: the rules whose cutoff the document exceeds."""
     stats = cut(measured(documents), "statistics")
     chosen = thresholds(stats, labels, risk, error).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     rows = join_checked(stats, cut(chosen, "cutoffs"), ["lang"], "left")
