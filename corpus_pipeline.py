@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexine.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
-from codexine.llm.common import cut, fresh_path, table
+from codexine.llm.common import blank, cut, fresh_path, table
 
 #: The stages can't all be expressed in SQL; tests hold run() against the stages' definitions.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A row is known by id, language and text, as ids may be null or repeated."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("lang").alias("_gone_lang"), F.col("text_key").alias("_gone_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (blank("lang") == gone["_gone_lang"]) & (F.xxhash64(blank("text")) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one of the least doc_id."""
-    kept = ngram_join.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    # Rows of equal ids are one document's.
-    return rows.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth")
+    """One document of each group of linked documents stays: the first by id, null ids last, and of equal ids by text.
+
+    Rows that share id and text are one document, of which one row stays; rows that share an id alone are several."""
+    kept = ngram_join.join(docs).filter("is_first").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
+    rows = docs.withColumn("_text", F.xxhash64(blank("text")))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows["_text"] == kept["_kept_text"]), "left_semi")
+    # Spark keeps the first of each before it shuffles, so many equal rows don't meet in a task.
+    first = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("lang", "source", "n_chars"))
+    return rows.withColumn("_nth", first).filter(F.col("_nth") == 1).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
