@@ -49,5 +49,17 @@ def test_run(spark, sf_dir, tables):
     assert corpus_pipeline.run(spark, tables(documents=[(1, None), (2, ""), (None, None)])).collect() == []
 
 
+def test_null_and_repeated_ids(spark, tables):
+    """A bad row takes no other row of its id along, and a group's row no row of another group."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, words(1)), (None, words(2)), (None, words(2)), (None, "bad"), (None, None), (7, words(3)), (7, words(4)), (7, "bad"), (8, words(4)), (9, words(1) + " end")]
+    folder = tables(documents=[(i, t, "en", "s", len(t or "")) for i, t in rows])
+    docs = table(spark, folder, "documents")
+    good = cut(corpus_pipeline.quality(spark, docs, folder), "good")
+    assert Counter((r["doc_id"], r["text"]) for r in good.collect()) == Counter((i, t) for i, t in rows if t and t != "bad")
+    left = corpus_pipeline.near_copies(spark, good, "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(None, words(2)), (7, words(3)), (7, words(4)), (9, words(1) + " end")])
+
+
 def test_empty(spark, tables):
     assert corpus_pipeline.run(spark, tables()).collect() == []
