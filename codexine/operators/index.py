@@ -6,10 +6,12 @@ many are answered at once; they meet postings in an equal join on the token, nev
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import text
 
 #: Constants of the ranking function, and the share of the mean weight that words of more than half of all texts get.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -52,9 +54,48 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple = ("query_i
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """query_id, id, score of a stated set of queries against all vectors. queries (query_id, query): few, and checked to be."""
-    return vectors.join(F.broadcast(queries)).filter(F.col(id_column) != F.col("query_id")).select("query_id", F.col(id_column).alias("id"), arrays.cosine("query", vector).alias("score"))
+def cosine_top(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, group: int = 4096, block: int = 1024) -> DataFrame:
+    """query_id, id, score of the k best of every group of vectors for each query, so of the k best of all, too.
+
+    queries (query_id, query): any number. Both sides are counted and dealt to groups and blocks by hash; every group meets
+    every block in a cell. Scores have nine digits, so that ties go by id however sums are taken. A vector isn't compared
+    with the query of its id; null ids and vectors with a null, infinite or undefined element have no score."""
+
+    def fine(df, id_column, vector):
+        x = F.col(vector).cast("array<double>")
+        return df.select(F.col(id_column).alias("id"), x.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & (F.size("v") > 0))
+
+    own, asked = fine(vectors, id_column, vector), fine(queries, "query_id", "query")
+    groups, blocks = max(1, -(-own.count() // group)), max(1, -(-asked.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("_group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("_block", every(blocks))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_group", every(groups))
+    key = ["_group", "_block", F.size("v").alias("_size")]
+
+    def matrix(rows):
+        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        m = flat.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
+        return rows.column("id").to_numpy(), m, np.sqrt((m * m).sum(1))
+
+    def run(left, right):
+        out = [[], [], []]
+        if left.num_rows and right.num_rows:
+            ids, v, length = matrix(left)
+            order = np.argsort(ids, kind="stable")
+            ids, v, length = ids[order], v[order], length[order]
+            query_ids, q, asked_length = matrix(right)
+            scores = np.round(q @ v.T / np.maximum(asked_length[:, None] * length[None], 1e-12), 9) + 0.0
+            for query_id, row in zip(query_ids, scores, strict=True):
+                at = np.flatnonzero(ids != query_id)
+                if len(at) > k:
+                    at = at[row[at] >= np.partition(row[at], -k)[-k]]
+                    at = at[np.argsort(-row[at], kind="stable")[:k]]
+                for to, x in zip(out, (np.full(len(at), query_id), ids[at], row[at]), strict=True):
+                    to.append(x)
+        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (right.schema.field("id").type, left.schema.field("id").type, pa.float64()), strict=True)], ["query_id", "id", "score"])
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, own)]
+    return own.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def fuse_weighted(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:

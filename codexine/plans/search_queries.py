@@ -47,15 +47,31 @@ cs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e,
 """
 
 
-def _cosine(embeddings):
-    """The first eight vectors are the stated queries, against all vectors."""
-    queries = embeddings.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return index.cosine_scores(embeddings, queries, "vec_id", "embedding").withColumn("score", F.round("score", 9))
+#: The vectors that the registered SQL asks for, and those of the whole job.
+_FEW, _ALL = "vec_id < 8", "vec_id % 20 = 0"
+
+
+def _whole(name: str) -> str:
+    """SQL of a search over the whole set of queries."""
+    return SQL[name].replace(_FEW, _ALL).replace(" AND query_id < 8", "")
+
+
+def _cosine(embeddings, asked: str = _FEW, k: int = 60):
+    """At least the k best of each stated query against all vectors."""
+    queries = embeddings.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.cosine_top(embeddings, queries, "vec_id", "embedding", k)
 
 
 @query("embeddings", sql=f"WITH {_COS}, r AS (SELECT *, {_RANK} AS rank FROM cs) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 10")
 def cosine_topk(embeddings):
-    return _out(index.top_k(_cosine(embeddings), 10))
+    """The first eight vectors as queries, as the SQL has it; cosine_topk_all asks the whole set."""
+    return _out(index.top_k(_cosine(embeddings, k=10), 10))
+
+
+@query("embeddings", sql=_whole("cosine_topk"))
+def cosine_topk_all(embeddings):
+    """Every vector whose id is divisible by 20 as a query, against all vectors."""
+    return _out(index.top_k(_cosine(embeddings, _ALL, 10), 10))
 
 
 _TWO = f"""
@@ -63,6 +79,11 @@ c AS (SELECT query_id, id, score, {_RANK} AS rank FROM cs), b AS (SELECT query_i
 """
 
 
+def _fused(fuse, vector, lexical):
+    out = fuse(vector, lexical, 10).withColumn("score", F.round("score", 9))
+    return index.top_k(out, 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
 @query(
     "documents", "benchmark", "embeddings",
     sql=f"""WITH {_BM25}, {_COS}, {_TWO}
@@ -71,9 +92,14 @@ f AS (SELECT query_id, id, 0.65 * coalesce(round(c.score, 9), 0) + 0.35 * coales
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_weighted(documents, benchmark, embeddings):
-    lexical = _bm25(documents, benchmark.filter("item_id < 8"))
-    out = index.fuse_weighted(_cosine(embeddings), lexical, 10).withColumn("score", F.round("score", 9))
-    return index.top_k(out, 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+    """Eight queries, as the SQL has it; fused_weighted_all asks all of them."""
+    return _fused(index.fuse_weighted, _cosine(embeddings), _bm25(documents, benchmark.filter("item_id < 8")))
+
+
+@query("documents", "benchmark", "embeddings", sql=_whole("fused_weighted"))
+def fused_weighted_all(documents, benchmark, embeddings):
+    """Every vector whose id is divisible by 20 and every benchmark item as queries."""
+    return _fused(index.fuse_weighted, _cosine(embeddings, _ALL), _bm25(documents, benchmark))
 
 
 @query(
@@ -84,9 +110,14 @@ f AS (SELECT query_id, id, round(sum(part), 9) AS score FROM (SELECT query_id, i
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_ranks(documents, benchmark, embeddings):
-    lexical = _bm25(documents, benchmark.filter("item_id < 8"))
-    out = index.fuse_ranks(_cosine(embeddings), lexical, 10).withColumn("score", F.round("score", 9))
-    return index.top_k(out, 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+    """Eight queries, as the SQL has it; fused_ranks_all asks all of them."""
+    return _fused(index.fuse_ranks, _cosine(embeddings), _bm25(documents, benchmark.filter("item_id < 8")))
+
+
+@query("documents", "benchmark", "embeddings", sql=_whole("fused_ranks"))
+def fused_ranks_all(documents, benchmark, embeddings):
+    """Every vector whose id is divisible by 20 and every benchmark item as queries."""
+    return _fused(index.fuse_ranks, _cosine(embeddings, _ALL), _bm25(documents, benchmark))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codexine.functions import models, text
 from codexine.operators import aggregates, answers, chunking, evaluation, graph, index, joins, records, windows
+from codexine import plans
 from codexine.plans import planner, routes
 from codexine.sources import readers, sinks
 from codexine.streaming import incremental
@@ -113,6 +114,31 @@ def test_top_k_is_nested(spark, sf_dir):
     assert pre.join(docs.filter("lang <> 'en'"), F.col("id") == F.col("doc_id"), "left_semi").count() == 0
 
 
+def test_cosine_in_blocks(spark):
+    """Many groups and blocks, copies, and rows without a score, against every pair."""
+    dice = np.random.default_rng(5)
+    m = np.round(dice.normal(size=(90, 6)), 1)
+    m[40:60] = m[3]
+    data = [(k, v.tolist()) for k, v in enumerate(m)] + [(90, None), (None, [1.0] * 6), (91, [None] * 6), (92, [0.0] * 6), (93, [float("nan")] * 6)]
+    vectors = spark.createDataFrame(data, "id long, v array<double>")
+    best = index.top_k(index.cosine_top(vectors, vectors.select(F.col("id").alias("query_id"), F.col("v").alias("query")), "id", "v", 5, group=20, block=7), 5)
+    fine = [(k, np.array(v)) for k, v in data if k is not None and k <= 92 and v is not None and None not in v]
+    want = []
+    for a, x in fine:
+        scored = sorted((-round(float(x @ y / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-12)), 8), b) for b, y in fine if b != a)
+        want += [(a, b, rank) for rank, (_, b) in enumerate(scored[:5], 1)]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in best.collect()) == sorted(want)
+
+
+def test_searches_ask_the_whole_query_set(spark, sf_dir):
+    vectors, bench = readers.tables(spark, sf_dir, "embeddings", "benchmark")
+    asked = {r[0] for r in vectors.filter("vec_id % 20 = 0").select("vec_id").collect()}
+    items = {r[0] for r in bench.select("item_id").collect()}
+    found = lambda name: {r["query_id"] for r in plans.QUERIES[name](spark, sf_dir).collect()}
+    assert found("cosine_topk_all") == asked
+    assert found("fused_weighted_all") == found("fused_ranks_all") == asked | items
+
+
 def test_planner(spark):
     asked = [
         ("Mức phạt vượt đèn đỏ và nồng độ cồn với xe máy?", {"penalty", "rule", "scenario", "source_image"}, "penalty"), ("Biển P.115 có ý nghĩa là gì?", {"sign", "definition"}, "definition"),
