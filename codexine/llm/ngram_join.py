@@ -153,11 +153,11 @@ def streamed(batches, key: str):
 
 
 def _ties(rows: pa.Table) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the rows' texts that may be similar by their sketches; of two sides, only across."""
+    """A spanning forest of the rows' texts that may be similar by their sketches; in a cell of two blocks, only across."""
     nodes = rows.column("node").to_pylist()
     sides = rows.column("side").to_numpy()
     marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    two = sides.max() > 0
+    two = rows.column("two")[0].as_py()
     left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(len(nodes)),) * 2
     if not len(left) or not len(right):
         return []
@@ -182,7 +182,7 @@ def _ties(rows: pa.Table) -> list[tuple[bytes, bytes]]:
 
 
 def _bucket_ties(rows: DataFrame) -> DataFrame:
-    """cell, side, node, sketch to edges a, b."""
+    """cell, two, side, node, sketch to edges a, b."""
 
     def run(batches):
         for part in streamed(batches, "cell"):
@@ -194,11 +194,13 @@ def _bucket_ties(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
-    """Deals a group's nodes to cells, one for every two of its blocks; side tells the blocks of a cell apart."""
+    """Deals a group's nodes to cells, one for every two of its blocks; side tells the blocks of a cell apart.
+
+    two: the cell is of two blocks, also where one of them is empty."""
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda other: F.struct(F.least(F.col("_own"), other).alias("i"), F.greatest(F.col("_own"), other).alias("j")))
     rows = rows.withColumn("_own", own).withColumn("_cell", F.explode(cells))
-    return rows.withColumn("side", F.when(F.col("_cell.i") == F.col("_cell.j"), 0).otherwise((F.col("_own") == F.col("_cell.j")).cast("int"))).withColumn("cell", F.xxhash64(group, "_cell")).drop("_own", "_cell")
+    return rows.withColumn("side", F.when(F.col("_cell.i") == F.col("_cell.j"), 0).otherwise((F.col("_own") == F.col("_cell.j")).cast("int"))).withColumn("two", F.col("_cell.i") != F.col("_cell.j")).withColumn("cell", F.xxhash64(group, "_cell")).drop("_own", "_cell")
 
 
 def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,12 +255,12 @@ def candidates(reps: DataFrame) -> DataFrame:
         # As a table of its own, so that Spark may split the join where one bucket holds many texts.
         sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         sized = cut(rows.join(sizes, "key"), "sized")
-        edges.append(_bucket_ties(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("cell"), F.lit(0).alias("side"), "node", "sketch")))
+        edges.append(_bucket_ties(sized.filter(F.col("size") <= SMALL).select(F.col("key").alias("cell"), F.lit(False).alias("two"), F.lit(0).alias("side"), "node", "sketch")))
         large = sized.filter(F.col("size") > SMALL)
         if not large.take(1):
             break
         if level == LEVELS:
-            edges.append(_bucket_ties(_blocks(large.withColumn("size", F.ceil(F.col("size") / BLOCK)), "key", F.col("size")).select("cell", "side", "node", "sketch")))
+            edges.append(_bucket_ties(_blocks(large.withColumn("size", F.ceil(F.col("size") / BLOCK)), "key", F.col("size")).select("cell", "two", "side", "node", "sketch")))
             break
         near, rows = _pivoted(large)
         edges.append(near)
@@ -273,8 +275,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     return out
 
 
-def links_of(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The number of links of each set, with copies counted, and a spanning forest of them; of two sides, only across."""
+def links_of(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, two: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The number of links of each set, with copies counted, and a spanning forest of them; in a cell of two blocks, only across."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -292,7 +294,7 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray) -> t
         common += part @ part.T
     linked = 9 * common >= 4 * (sizes[:, None] + sizes[None])  # a Jaccard similarity of 0.8
     np.fill_diagonal(linked, False)
-    if sides.max() > 0:
+    if two:
         linked &= sides[:, None] != sides[None]
     links = linked @ copies
     root = np.arange(n)
@@ -313,17 +315,18 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray) -> t
 
 
 def _verified(cells: DataFrame) -> DataFrame:
-    """cell, side, node, copies, shingles to node, other (of a spanning forest, or null), links."""
+    """cell, two, side, node, copies, shingles to node, other (of a spanning forest, or null), links."""
 
     def run(batches):
         for _, rows in streamed(batches, "cell"):
             nodes = rows.column("node").to_pylist()
             sides, copies = rows.column("side").to_numpy(), rows.column("copies").to_numpy()
             once = [k for k, x in enumerate(nodes) if nodes.index(x) == k] if len(set(nodes)) < len(nodes) else list(range(len(nodes)))
-            if len(once) < 2:
+            two = rows.column("two")[0].as_py()
+            if len(once) < 2 or two and len(set(sides.tolist())) < 2:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-            links, forest = links_of([sets[k] for k in once], copies[once], sides[once])
+            links, forest = links_of([sets[k] for k in once], copies[once], sides[once], two)
             nodes = [nodes[k] for k in once]
             hit = np.flatnonzero(links)
             out = [(nodes[k], None, int(links[k])) for k in hit] + [(nodes[a], nodes[b], 0) for a, b in forest]
@@ -357,7 +360,7 @@ def join(documents: DataFrame) -> DataFrame:
             yield out.filter(pa.array(own))
 
     sets = found.mapInArrow(shingled, "node binary, root binary, copies long, blocks long, shingles binary")
-    results = cut(_verified(_blocks(sets, "root", F.col("blocks")).select("cell", "side", "node", "copies", "shingles")), "links")
+    results = cut(_verified(_blocks(sets, "root", F.col("blocks")).select("cell", "two", "side", "node", "copies", "shingles")), "links")
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(results.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = reps.select("node", "copies", "rep").join(links, "node", "left").join(tied, "node", "left")

@@ -150,6 +150,18 @@ def test_ngram_join_large_groups(spark, tables):
     assert Counter(map(tuple, ngram_join.op7_ngram_join(spark, tables(documents=rows)).collect())) == plain_join(rows)
 
 
+def test_ngram_join_empty_blocks(spark, tables, monkeypatch):
+    """Groups of few texts that get several blocks by weight, some of them empty."""
+    monkeypatch.setattr(ngram_join, "WEIGHT", 64)
+    dice = random.Random(6)
+    rows = []
+    for group in range(12):
+        words = [f"w{dice.randrange(10**6)}" for _ in range(120)]
+        rows += [" ".join([*words, f"end{k}"]) for k in range(2 + group % 3)]
+    rows = list(enumerate(rows))
+    assert Counter(map(tuple, ngram_join.op7_ngram_join(spark, tables(documents=rows)).collect())) == plain_join(rows)
+
+
 def test_components(spark):
     dice = random.Random(5)
     pairs = [(dice.randrange(400), dice.randrange(400)) for _ in range(300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 300)]
