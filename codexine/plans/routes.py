@@ -22,17 +22,25 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 8, id_column: str = "
 
 
 def general(rows: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
-    """Exact references, then lexical search of the first 3k, deduplicated by text and reranked by the lexical score.
+    """Exact references, then lexical search of the first 3k, deduplicated and reranked by the lexical score.
 
-    rows: id, rag_text, article (upper case or null). questions: query_id, question."""
+    One row stays of those that share document, article, clause, point and the first 240 folded characters; a row without
+    text is known by its id. rows: id, rag_text, article (upper case or null), and document, clause and point where rows have
+    them. questions: query_id, question."""
     hits = search(rows, questions, 3 * k).select("query_id", "id", "score")
     refs = questions.select("query_id", F.explode(F.array_distinct(F.transform(text.explicit_refs("question"), lambda r: r["article"]))).alias("article"))
     exact = refs.join(rows.select("id", "article"), "article").select("query_id", "id", F.lit(5.0).alias("score"))
     both = hits.unionByName(exact).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    full = both.join(rows.select("id", "rag_text"), "id").join(questions.select("query_id", "question"), "query_id")
+    place = [c for c in ("document", "article", "clause", "point") if c in rows.columns]
+    full = both.join(rows.select("id", "rag_text", *place), "id").join(questions.select("query_id", "question"), "query_id")
     words = text.content_tokens("question", digits=True)
     ranked = index.rerank(full, index.lexical_score(words, text.fold("rag_text"), text.content_tokens("rag_text", digits=True)))
-    once = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", F.substring(text.fold("rag_text"), 1, 240)).orderBy(F.desc("score"), "id"))).filter("_nth = 1")
+    start = F.substring(text.fold("rag_text"), 1, 240)
+    empty = start == ""
+    # Null and empty references are one; rows without text have their id as the key.
+    key = [F.when(~empty, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in place]
+    own = Window.partitionBy("query_id", start, *key, F.when(empty, F.col("id"))).orderBy(F.desc("score"), "id")
+    once = ranked.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1")
     return index.top_k(once.select("query_id", "id", "score"), k)
 
 

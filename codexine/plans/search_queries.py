@@ -133,8 +133,8 @@ def shared_words(documents, benchmark):
 
 @query("documents", "benchmark")
 def reranked_search(documents, benchmark):
-    """Rows only: lexical search of the first 24, deduplicated by text, reranked by shared words and phrases."""
-    rows = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("rag_text"), F.lit(None).cast("string").alias("article"))
+    """Rows only: lexical search of the first 24, deduplicated by document and text, reranked by shared words and phrases."""
+    rows = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("rag_text"), F.lit(None).cast("string").alias("article"), F.col("doc_id").alias("document"))
     return _out(routes.general(rows, benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), 8))
 
 

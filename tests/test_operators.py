@@ -139,6 +139,20 @@ def test_searches_ask_the_whole_query_set(spark, sf_dir):
     assert found("fused_weighted_all") == found("fused_ranks_all") == asked | items
 
 
+def test_general_keeps_documents_of_one_opening(spark):
+    """The opening of 240 characters is a part of the key only; rows without text are known by their ids."""
+    opening = "giay phep " * 30
+    data = [("a", "D1", "1", opening + "alpha"), ("b", "D2", "1", opening + "beta"), ("c", "D1", "1", opening + "gamma"), ("d", "D1", "2", opening), ("e", "D1", "ĐIỀU 5", None), ("f", "D1", "ĐIỀU 5", ""), *((f"z{k}", "D3", "9", f"khac {k}") for k in range(20))]
+    kept = spark.createDataFrame(data, "id string, document string, article string, rag_text string")
+    ask = spark.createDataFrame([(1, "giay phep"), (2, "Điều 5 quy định gì?")], "query_id long, question string")
+    # The article as the question's reference names it.
+    named = ask.filter("query_id = 2").select(F.explode(text.explicit_refs("question")).alias("r")).select("r.article").first()[0]
+    kept = kept.withColumn("article", F.when(F.col("article") == "ĐIỀU 5", F.lit(named)).otherwise(F.col("article")))
+    found = {(r["query_id"], r["id"]) for r in routes.general(kept, ask, 8).collect()}
+    assert {i for q, i in found if q == 1} == {"a", "b", "d"}
+    assert {(2, "e"), (2, "f")} <= found
+
+
 def test_planner(spark):
     asked = [
         ("Mức phạt vượt đèn đỏ và nồng độ cồn với xe máy?", {"penalty", "rule", "scenario", "source_image"}, "penalty"), ("Biển P.115 có ý nghĩa là gì?", {"sign", "definition"}, "definition"),
