@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WORD, vocabulary
+from .bpe import WORD, encoder, vocabulary
 from .common import blank, cut, slices, table
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces that are packed together, on average.
 BIN = 4096
+#: Characters of texts beyond which op3's encoder makes the ids: the faster library fails on white space of about a million.
+LONG = 1 << 18
 
 
 class Fit:
@@ -111,11 +113,12 @@ def pieces(documents: DataFrame, window: int = WINDOW, path: str | None = None)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        own = tokenizer(path or vocabulary())
+        own, slow = tokenizer(path or vocabulary()), encoder(path or vocabulary())
+        end = np.array([END_ID], "<u4").tobytes()
         for part in slices(batches):
             rows = [], [], [], [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                raw = np.array([*own.encode(text, allowed_special="all"), END_ID], "<u4").tobytes()
+                raw = (b"".join(slow.ids(text)) if len(text) > LONG else np.array(own.encode(text, allowed_special="all"), "<u4").tobytes()) + end
                 for at in range(0, len(raw), 4 * window):
                     piece = raw[at : at + 4 * window]
                     for to, x in zip(rows, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4), strict=True):

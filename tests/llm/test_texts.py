@@ -140,6 +140,17 @@ def test_packing(spark, sf_dir, tables, library, own):
         assert len(windows) <= -(-used // 2048) * 1.02 + 1
 
 
+def test_packing_long_white_space(spark, tables):
+    """Runs of white space on which the faster library fails."""
+    texts = [" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", " x" * packing.LONG + " " * 1000]
+    got = packing.op2_packing(spark, tables(documents=list(enumerate(texts)))).collect()
+    own, want = bpe.Encoder(bpe.vocabulary()), Counter()
+    for k, text in enumerate(texts):
+        raw = b"".join(own.ids(text)) + (1).to_bytes(4, "little")
+        want.update((k, at // 4, len(raw[at : at + 8192]) // 4, zlib.crc32(raw[at : at + 8192]), len(raw) // 4) for at in range(0, len(raw), 8192))
+    assert Counter(tuple(r)[:5] for r in got) == want
+
+
 def test_best_fit_takes_the_tightest_window():
     import random
 
