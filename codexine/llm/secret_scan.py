@@ -31,7 +31,7 @@ RULES = {
     "private_key": (1, _PEM, ("-----BEGIN",), 0, 1),
     "web_token": (1, re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("eyJ",), 0, 1),
     "forge_token": (1, re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"), ("gh", "glpat-", "xox"), 0, 1),
-    "url_password": (1, re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,100}@"), ("://",), 0, 1),
+    "url_password": (2, re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:[^\s/@]{3,}+@"), ("://",), 0, 1),
 }
 BASE = ("assign", "access", "hex")
 ORDER = {kind: k for k, kind in enumerate(RULES)}

@@ -68,6 +68,17 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert set(scans.values()) == {1} and len(scans) == 6
 
 
+def test_passwords_in_addresses():
+    """Without a user, and of any length; what holds no password isn't one."""
+    token = "t" * 300
+    for address in (f"https://bot:{token}@", f"https://{'u' * 300}:{token}@", "redis://:hunter2@", "ftp://a:b:c@"):
+        text = f"see {address}host/x"
+        assert [(x[0], x[2], x[3], x[4]) for x in secret_scan.find(text, ["url_password"])] == [(4, 4 + len(address), "url_password", 2)]
+    assert not secret_scan.find("http://host:80/a@b http://a@b http://:ab@c x://u:\nabc@h", ["url_password"])
+    # Work grows with the text only.
+    assert not secret_scan.find("ab://" + "u" * 10**6 + " ab://u:" + "p" * 10**6, ["url_password"])
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef1 b"), (2, None), (3, "x")], "doc_id long, text string")
     found = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.when(F.col("doc_id") == 1, F.expr("array(named_struct('start', 2L, 'ord', 0, 'end', 15L, 'kind', 'assign', 'version', 1))")).otherwise(F.expr("array()")).alias("findings"))
