@@ -186,6 +186,13 @@ def test_answers(spark):
     assert [r["intent"] for r in qa] == ["PENALTY"] and qa[0]["quote"] in qa[0]["answer"]
 
 
+def test_codes_of_a_large_catalogue(spark):
+    catalog = spark.range(10_500).select(F.format_string("W%05d", "id").alias("code"), F.format_string("bien so %05d", "id").alias("name"))
+    asked = spark.range(0, 10_500, 500).select(F.col("id").alias("query_id"), F.format_string("Biển số %05d là gì", "id").alias("question"))
+    found = answers.find_codes(asked, catalog, most=1, least=3.0).collect()
+    assert sorted((r["query_id"], r["code"]) for r in found) == [(k, f"W{k:05d}") for k in range(0, 10_500, 500)]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"records": [{"id": "1", "n": 2}, {"id": "2"}]}))
     (tmp_path / "b.json").write_text(json.dumps([{"id": "3", "n": 4}]))
