@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast after they were counted.
 BROADCAST_ROWS = 10_000
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,28 @@ def held_out(column: str, folds: int, fold: int) -> Column:
     return (F.crc32(blank(column)) % folds) == fold
 
 
+def arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow, with the session's batches of at most BATCH_BYTES: a batch is whole in the executor and in its Python worker.
+
+    The rows of a batch are limited by the session's own setting besides. A row is never split, so the longest text still counts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = conf.get(name).rstrip("b")
+    if not most.isdigit() or int(most) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in short slices, so that few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't hold, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

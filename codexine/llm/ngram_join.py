@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, cut, slices, table
+from .common import arrow, blank, cut, slices, table
 from .components import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -33,10 +33,11 @@ SPREAD = 2.0
 SMALL, BLOCK = 96, 512
 #: Levels at which large buckets are split.
 LEVELS = 4
-#: Shingles in a block of the exact comparison, at most on average.
-WEIGHT = 1 << 20
+#: Shingles in a block of the exact comparison, on average; and cells of the dense matrix that counts shared ones.
+WEIGHT, DENSE = 1 << 18, 1 << 22
 BINS = 64
-_CACHE = 400_000
+#: Words whose hashes a task keeps.
+_CACHE = 100_000
 
 
 def _runs(levels: int) -> int:
@@ -115,9 +116,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared / filled, np.sqrt(SIMILARITY * (1 - SIMILARITY) / filled)
 
 
+def _keys():
+    """Two hashes of text: together they tell texts apart at any size, as one of 64 bits wouldn't."""
+    return F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit("more"), "text").alias("text_more")
+
+
 def texts(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (of its set; null without words), n, paths, sketch of every document."""
-    names = ["doc_id", "text_key", "node", "n", "paths", "sketch"]
+    """doc_id, text_key and text_more (hashes of the text), node (of its set; null without words), n, paths, sketch of every document."""
+    names = ["doc_id", "text_key", "text_more", "node", "n", "paths", "sketch"]
     path = pa.list_(pa.struct([("key", pa.int64()), ("next", pa.list_(pa.int64()))]))
 
     def run(batches):
@@ -128,28 +134,30 @@ def texts(documents: DataFrame) -> DataFrame:
                 s = shingler(text)
                 for to, x in zip(rows, (xxhash.xxh3_128_digest(s.tobytes()), len(s), paths(s), sketch(s)) if len(s) else (None, 0, [], None), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], path), pa.array(rows[3], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], path), pa.array(rows[3], pa.binary())], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", blank("text").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node binary, n long, paths array<struct<key:long,next:array<long>>>, sketch binary")
+    rows = documents.select("doc_id", blank("text").alias("text")).select("doc_id", *_keys(), "text")
+    return arrow(rows, run, f"doc_id {kind}, text_key long, text_more long, node binary, n long, paths array<struct<key:long,next:array<long>>>, sketch binary")
 
 
 def streamed(batches, key: str):
     """(key, rows as a table) of partitions that are sorted by key."""
-    held = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([held, now]) if held is not None and held.num_rows else now
-        keys = now.column(key).to_numpy()
-        ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else []
+        keys = batch.column(key).to_numpy()
+        ends = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist() if len(keys) else []
+        if held and len(keys) and held[0].column(key)[0].as_py() != keys[0]:
+            ends = [0, *ends]
         at = 0
         for end in ends:
-            yield keys[at], now.slice(at, end - at)
-            at = int(end)
-        held = now.slice(at).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held.column(key)[0].as_py(), held
+            whole = pa.Table.from_batches([*held, batch.slice(at, end - at)])
+            held, at = [], end
+            yield whole.column(key)[0].as_py(), whole
+        if at < len(keys):
+            held.append(batch.slice(at))
+    if held:
+        yield held[0].column(key)[0].as_py(), pa.Table.from_batches(held)
 
 
 def _ties(rows: pa.Table) -> list[tuple[bytes, bytes]]:
@@ -190,7 +198,7 @@ def _bucket_ties(rows: DataFrame) -> DataFrame:
                 edges = _ties(part[1])
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
+    return arrow(rows.repartition("cell").sortWithinPartitions("cell"), run, "a binary, b binary")
 
 
 def _blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
@@ -219,7 +227,7 @@ def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(far), pa.array(far <= 0.5 - 0.8 / np.sqrt(filled))], ["key", "node", "sketch", "pivot", "far", "settled"])
 
     # Dealt by node first, as the rows of one bucket may lie in few files.
-    far = cut(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key").mapInArrow(run, "key long, node binary, sketch binary, pivot binary, far double, settled boolean"), "pivots")
+    far = cut(arrow(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key"), run, "key long, node binary, sketch binary, pivot binary, far double, settled boolean"), "pivots")
     return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), far.filter("not settled").select("key", "node", "sketch")
 
 
@@ -240,7 +248,7 @@ def _split(rows: DataFrame) -> DataFrame:
             taken = part.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(key), taken.column("node"), taken.column("sketch")], ["key", "node", "sketch"])
 
-    return rows.mapInArrow(run, "key long, node binary, sketch binary")
+    return arrow(rows, run, "key long, node binary, sketch binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -286,7 +294,7 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, two:
     order = np.argsort(column, kind="stable")
     row, column = row[order], np.unique(column[order], return_inverse=True)[1]
     common = np.zeros((n, n), np.float32)
-    width = max(1, (1 << 24) // n)
+    width = max(1, DENSE // n)
     for at in range(0, (int(column[-1]) + 1) if len(column) else 0, width):
         a, b = np.searchsorted(column, [at, at + width])
         part = np.zeros((n, min(width, int(column[-1]) + 1 - at)), np.float32)
@@ -321,7 +329,10 @@ def _verified(cells: DataFrame) -> DataFrame:
         for _, rows in streamed(batches, "cell"):
             nodes = rows.column("node").to_pylist()
             sides, copies = rows.column("side").to_numpy(), rows.column("copies").to_numpy()
-            once = [k for k, x in enumerate(nodes) if nodes.index(x) == k] if len(set(nodes)) < len(nodes) else list(range(len(nodes)))
+            first: dict[bytes, int] = {}
+            for k, x in enumerate(nodes):
+                first.setdefault(x, k)
+            once = list(first.values())
             two = rows.column("two")[0].as_py()
             if len(once) < 2 or two and len(set(sides.tolist())) < 2:
                 continue
@@ -332,7 +343,7 @@ def _verified(cells: DataFrame) -> DataFrame:
             out = [(nodes[k], None, int(links[k])) for k in hit] + [(nodes[a], nodes[b], 0) for a, b in forest]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], ["node", "other", "links"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node binary, other binary, links long")
+    return arrow(cells.repartition("cell").sortWithinPartitions("cell"), run, "node binary, other binary, links long")
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -340,16 +351,17 @@ def join(documents: DataFrame) -> DataFrame:
     class's first row, by id (null ids last) and hash of the text. Equal rows are first together."""
     rows = cut(texts(documents), "texts")
     named = rows.filter("node is not null")
-    reps = named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    reps = named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "text_more")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = cut(reps, "reps")
     groups = cut(components(candidates(reps)), "groups")
     active = cut(groups.join(reps.select("node", "rep", "copies", "n"), "node"), "active")
     sizes = active.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("blocks"))
     active = cut(active.join(cut(sizes, "sizes"), "root"), "active")
-    # The sets are made again from the texts of one document each, as to keep those of all would take more room.
-    wanted = active.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "root", "copies", "blocks").hint("shuffle_hash")
-    source = documents.select("doc_id", blank("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = source.join(wanted, source["doc_id"].eqNullSafe(wanted["rep_id"]) & (source["text_key"] == wanted["rep_key"])).select("node", "root", "copies", "blocks", "text")
+    # The sets are made again from one text each, as to keep those of all would take more room. Equal texts are put together
+    # before they are moved.
+    wanted = active.select("node", F.col("rep.text_key").alias("text_key"), F.col("rep.text_more").alias("text_more"), "root", "copies", "blocks").hint("shuffle_hash")
+    source = documents.select(blank("text").alias("text")).select(*_keys(), "text").groupBy("text_key", "text_more").agg(F.any_value("text").alias("text"))
+    found = source.join(wanted, ["text_key", "text_more"]).select("node", "root", "copies", "blocks", "text")
 
     def shingled(batches):
         shingler = Shingler()
@@ -359,7 +371,7 @@ def join(documents: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "root", "copies", "blocks")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "copies", "blocks", "shingles"])
             yield out.filter(pa.array(own))
 
-    sets = found.mapInArrow(shingled, "node binary, root binary, copies long, blocks long, shingles binary")
+    sets = arrow(found, shingled, "node binary, root binary, copies long, blocks long, shingles binary")
     results = cut(_verified(_blocks(sets, "root", F.col("blocks")).select("cell", "two", "side", "node", "copies", "shingles")), "links")
     links = results.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(results.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
