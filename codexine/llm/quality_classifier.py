@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, cut, held_out, slices, table
+from .common import arrow, blank, cut, held_out, slices, table
 from .quality_rules import SPACE, SYMBOLS, repeated_words
 
 FOLDS, HELD = 4, 2
@@ -79,7 +79,7 @@ def measured(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in x.T)], ["doc_id", *FEATURES])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} double" for x in FEATURES))
+    return arrow(documents.select("doc_id", blank("text").alias("text")), run, f"doc_id {kind}, " + ", ".join(f"{x} double" for x in FEATURES))
 
 
 @dataclass
@@ -142,7 +142,7 @@ def classify(documents: DataFrame, labels: DataFrame, train) -> DataFrame:
             x = np.stack([part.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], 1)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
