@@ -187,10 +187,11 @@ def clean_text(x) -> Column:
     text = F.regexp_replace(F.coalesce(col(x), F.lit("")), r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[\p{Cc}&&[^\n\t]]", " ")
     text = F.array_join(F.transform(F.filter(F.split(text, "\n", -1), lambda line: ~is_noise_line(line)), lambda line: F.rtrim(line)), "\n")
-    text = F.regexp_replace(text, r"\s+([.,:;!?])", "$1")
+    # A run of white space is tried from its start only, so that long runs take linear time.
+    text = F.regexp_replace(text, r"(?<!\s)\s++([.,:;!?])", "$1")
     text = F.regexp_replace(text, r"([.,:;!?])(?=[^\s\d])", "$1 ")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s++|(?<!\s)\s++$", "")
 
 
 def sentence_pieces(x, most: int = 85, piece: int = 60) -> Column:

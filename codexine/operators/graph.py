@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cleaning, text
+from ..sources.tables import cut
+
 #: Costs of edge types, and what going against a citation adds: fixed values.
 COSTS = {
     "HAS_PENALTY": 0.20, "HAS_PROCEDURE": 0.25, "HAS_TABLE": 0.35, "HAS_FIGURE": 0.35, "HAS_SIGN": 0.35, "REPRESENTS_SIGN": 0.35,
@@ -44,10 +44,75 @@ def hierarchy(rows: DataFrame, levels: list[tuple[str, str]]) -> tuple[DataFrame
     return out_nodes, out_edges
 
 
-def resolve_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with target_ref in place of a target get the least node of that reference key; those without any are dropped."""
-    refs = nodes.groupBy(F.col("ref_key").alias("target_ref")).agg(F.min("id").alias("_ref"))
-    return edges.join(refs, "target_ref", "left").withColumn("target", F.coalesce("target", "_ref")).drop("_ref").filter("target is not null")
+#: Nodes that one reference may stand for: a fixed value.
+PER_REFERENCE = 24
+
+
+def reference_keys(document, article, clause, point) -> tuple[Column, Column]:
+    """A node's keys with its document (of itself and of the levels above it) and without, the longest first."""
+    named = lambda letter, c: F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.concat(F.lit(letter), F.col(c)))
+    d, k, p = named("D", article), named("K", clause), named("P", point)
+    levels = [F.array_compact(F.array(d, k, p)), F.array_compact(F.array(d, k)), F.array_compact(F.array(d))]
+    whole = F.array(*[F.array_join(F.concat(F.array(F.coalesce(F.col(document), F.lit(""))), x), "|") for x in levels], F.coalesce(F.col(document), F.lit("")))
+    bare = F.filter(F.array(*[F.array_join(x, "|") for x in levels]), lambda x: x != "")
+    return F.array_distinct(whole), F.array_distinct(bare)
+
+
+def resolve_targets(edges: DataFrame, nodes: DataFrame, most: int = PER_REFERENCE) -> DataFrame:
+    """Edges with target_ref in place of a target, one for each node that the reference stands for; those without any are dropped.
+
+    The first of these that finds nodes counts: nodes of exactly that key, nodes below it, and, whatever the document, nodes
+    of the longest part of it. nodes: id, document, article, clause, point. Each step is an equal join on keys."""
+    whole, bare = reference_keys("document", "article", "clause", "point")
+    keyed = nodes.select("id", whole.alias("_whole"), bare.alias("_bare"))
+    with_document = keyed.select("id", F.posexplode("_whole").alias("_at", "_key")).select("id", "_key", F.when(F.col("_at") == 0, 0).otherwise(1).alias("_tier"))
+    without = keyed.select("id", F.explode("_bare").alias("_key"))
+    # Of each key the first few nodes, so that no key brings more rows than count.
+    first = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
+    asked = edges.filter("target IS NULL AND target_ref IS NOT NULL").select("target_ref").distinct()
+    hits = asked.join(first(with_document, "_key", "_tier"), F.col("target_ref") == F.col("_key")).select("target_ref", "id", "_tier")
+    parts = F.filter(F.split(F.regexp_replace("target_ref", r"^[^|]*\|?", ""), r"\|", -1), lambda x: x != "")
+    shorter = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "|").alias("key")))
+    suffixes = asked.filter(F.size(parts) > 0).select("target_ref", F.explode(shorter).alias("_s")).select("target_ref", F.col("_s.key").alias("_key"), (F.lit(10) - F.col("_s.n")).alias("_tier"))
+    loose = suffixes.join(first(without, "_key"), "_key").select("target_ref", "id", "_tier")
+    both = hits.unionByName(loose)
+    least = both.groupBy("target_ref").agg(F.min("_tier").alias("_tier"))
+    best = first(both.join(least, ["target_ref", "_tier"], "left_semi").select("target_ref", "id").distinct(), "target_ref").withColumnRenamed("id", "_ref")
+    open_ = edges.filter("target IS NULL").join(best, "target_ref").withColumn("target", F.col("_ref")).drop("_ref")
+    return edges.filter("target IS NOT NULL").unionByName(open_.select(edges.columns))
+
+
+def related_assets(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = ("HAS_TABLE", "HAS_FIGURE")) -> DataFrame:
+    """The tables and figures that seeds (column id) have: seed and the node's columns."""
+    own = edges.filter(F.col("type").isin(*kinds)).join(seeds.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    return own.select(F.col("source").alias("seed"), F.col("target").alias("id")).join(nodes, "id").select("seed", *nodes.columns)
+
+
+def detail_nodes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, name, text) and edges of what records hold: a penalty, a procedure, and signs, which are one node for each
+    code with all images and figures of it.
+
+    records: id, text, penalty, has_procedure, figures array<struct<id, code, name, image_path>>."""
+    ident = lambda kind: F.concat(F.lit(f"{kind}::"), cleaning.safe_id("id"))
+    none = F.array().cast("array<string>")
+    columns = lambda kind, name, body: (ident(kind).alias("id"), F.lit(kind).alias("type"), name.alias("name"), body.alias("text"), none.alias("images"), none.alias("figures"))
+    penal, proc = records.filter("penalty IS NOT NULL"), records.filter("has_procedure")
+    nodes = penal.select(*columns("penalty", F.lit(""), F.col("penalty"))).unionByName(proc.select(*columns("procedure", F.lit(""), F.substring("text", 1, 2000))))
+    edges = penal.select(F.col("id").alias("source"), ident("penalty").alias("target"), F.lit("HAS_PENALTY").alias("type")).unionByName(proc.select(F.col("id").alias("source"), ident("procedure").alias("target"), F.lit("HAS_PROCEDURE").alias("type")))
+    shown = records.select("id", F.explode("figures").alias("f")).withColumn("code", text.normalize_sign_code("f.code")).filter("code <> ''")
+    sign = F.concat(F.lit("sign::"), F.col("code"))
+    signs = shown.groupBy("code").agg(F.max_by("f.name", F.struct("id", "f.id")).alias("name"), F.array_sort(F.array_compact(F.collect_set("f.image_path"))).alias("images"), F.array_sort(F.collect_set("f.id")).alias("figures"))
+    nodes = nodes.unionByName(signs.select(sign.alias("id"), F.lit("sign").alias("type"), F.coalesce("name", F.lit("")).alias("name"), text.sign_group("code").alias("text"), "images", "figures"))
+    has = shown.select(F.col("id").alias("source"), sign.alias("target"), F.lit("HAS_SIGN").alias("type")).distinct()
+    shows = shown.select(F.col("f.id").alias("source"), sign.alias("target"), F.lit("REPRESENTS_SIGN").alias("type")).distinct()
+    return nodes, edges.unionByName(has).unionByName(shows)
+
+
+def cited_documents(x, at: Column, own: Column, aliases) -> Column:
+    """The documents that stand near a citation at a place of a text, or the text's own if none does."""
+    near = text.fold(F.substring(text.col(x), F.greatest(at - 119, F.lit(1)), F.lit(380)))
+    found = F.array_compact(F.array(*[F.when(text.contains_any(near, terms), F.lit(name)) for name, terms in aliases]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(own))
 
 
 def merge(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -70,30 +135,42 @@ def neighbours(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return there.unionByName(kept.select(F.col("target").alias("a"), F.col("source").alias("b"), edge_cost(F.col("type"), F.lit(True)).alias("cost")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codexine-")
-    path = f"{root}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | None = None, weighted: bool = True, most: int | None = None) -> DataFrame:
     """Nodes within depth hops of the seeds (column id), by any direction: id, hops, cost of the cheapest path of at most so
     many hops. Exact for the limit: each hop relaxes the cheapest cost of every node reached in one hop more. most: keep the
     cheapest so many nodes, ties by hops and id."""
     around = neighbours(edges, kinds)
-    reached = _cut(seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.lit(0.0).alias("cost")))
+    reached = cut(seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.lit(0.0).alias("cost")))
     front = reached
-    for hop in range(1, max(0, min(depth, 5)) + 1):
+    for hop in range(1, max(0, depth) + 1):
         step = front.join(around, front["id"] == around["a"]).groupBy(F.col("b").alias("id")).agg(F.min(front["cost"] + (around["cost"] if weighted else F.lit(1.0))).alias("cost"))
         step = step.select("id", F.lit(hop).alias("hops"), "cost")
         better = step.join(reached.select("id", F.col("cost").alias("old")), "id", "left").filter("old is null or cost < old").drop("old")
-        front = _cut(better)
-        reached = _cut(reached.unionByName(front).groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("_m")).select("id", "_m.hops", "_m.cost"))
+        front = cut(better)
+        if not front.take(1):
+            break
+        reached = cut(reached.unionByName(front).groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("_m")).select("id", "_m.hops", "_m.cost"))
     return reached.orderBy("cost", "hops", "id").limit(most) if most else reached
 
 
+def expand_hits(hits: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None, per_query: int = 200) -> DataFrame:
+    """query_id, id, score of the nodes around each query's hits (query_id, id, score), which aren't hits themselves: the cheapest
+    path of at most so many hops from any hit, and a score from the best hit's. Each query keeps its cheapest few."""
+    around = cut(neighbours(edges, kinds), "around")
+    reached = cut(hits.select("query_id", "id", F.lit(0.0).alias("cost")).distinct(), "reached")
+    front = reached
+    nearest = Window.partitionBy("query_id").orderBy("cost", "id")
+    for _ in range(depth):
+        step = front.join(around, front["id"] == around["a"]).groupBy("query_id", F.col("b").alias("id")).agg(F.min(front["cost"] + around["cost"]).alias("cost"))
+        better = step.join(reached.select("query_id", "id", F.col("cost").alias("old")), ["query_id", "id"], "left").filter("old IS NULL OR cost < old").drop("old")
+        front = cut(better, "front")
+        reached = cut(reached.unionByName(front).groupBy("query_id", "id").agg(F.min("cost").alias("cost")), "reached")
+    best = hits.groupBy("query_id").agg(F.max("score").alias("_best"))
+    new = reached.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= per_query)
+    score = F.greatest(F.lit(0.9), F.least(F.col("_best") - 0.22 * F.col("cost"), F.greatest(F.lit(1.8), 0.72 * F.col("_best"))))
+    return new.join(best, "query_id").select("query_id", "id", score.alias("score"))
+
+
 def graph_scores(seed_best: float, cost: Column) -> Column:
     """Scores of nodes that an expansion found, from the best seed's."""
     return F.greatest(F.lit(0.9), F.least(F.lit(seed_best) - 0.22 * cost, F.lit(max(1.8, 0.72 * seed_best))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +25,12 @@ def without_fallbacks(rows: DataFrame, chunk: str = "source_chunk_id", kind: str
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), files_by: str | None = None) -> None:
-    """Writes beside the path's old contents first, so that a failed job leaves them whole."""
+    """Overwrites a path that df doesn't read. A job that fails leaves it incomplete; where that matters, tables.replace keeps versions."""
     out = df.repartition(files_by) if files_by else df
     writer = out.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrites a table that df may read itself: writes elsewhere, then over the path."""
-    spark, beside = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    spark.read.schema(df.schema).parquet(beside).write.mode("overwrite").parquet(path)
-
-
 def write_report(df: DataFrame, path: str) -> None:
     """A small result as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
