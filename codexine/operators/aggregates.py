@@ -40,12 +40,14 @@ def missing_numbers(rows: DataFrame, by: list[str], number: str, first: int = 20
 
 
 def nearest_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Elements at index round((n - 1) * share) of each group's sorted values, halves to even: by numbering the rows in
-    order, not by gathering them."""
-    order = Window.partitionBy(*by).orderBy(value)
-    numbered = rows.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(order) - 1).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
-    picks = [F.max(F.when(F.col("_at") == F.bround((F.col("_n") - 1) * F.lit(s)).cast("long"), F.col(value))).alias(name) for name, s in shares.items()]
-    return numbered.groupBy(*by).agg(*picks)
+    """Elements at index round((n - 1) * share) of each group's sorted values, halves to even: by counting equal values and
+    adding up the counts in order, so a group's distinct values are put in order, not its rows."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
+    placed = counted.withColumn("_to", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = lambda s: F.bround((F.col("_all") - 1) * F.lit(s)).cast("long")
+    picks = [F.max(F.when((F.col("_to") - F.col("_n") <= at(s)) & (at(s) < F.col("_to")), F.col(value))).alias(name) for name, s in shares.items()]
+    return placed.groupBy(*by).agg(*picks)
 
 
 def profile(rows: DataFrame, by: list[str], **conditions: Column) -> DataFrame:

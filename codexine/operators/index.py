@@ -1,7 +1,7 @@
 """Text and vector indexes as tables, and ranked search over them.
 
-A text index is two tables: postings (id, token, tf) and lengths (id, n_tokens). Queries are a table too (query_id, token), so
-many are answered at once; they meet postings in an equal join on the token, never in a cross join.
+A text index is one table of postings (id, token, tf, n_tokens), made and written once. Queries are a table too (query_id,
+token), so many are answered at once; they meet postings in an equal join on the token, never in a cross join.
 """
 
 from __future__ import annotations
@@ -12,18 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import cut
 
 #: Constants of the ranking function, and the share of the mean weight that words of more than half of all texts get.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    words = rows.select(F.col(id_column).alias("id"), F.explode(text.tokens(text_column)).alias("token"))
-    return words.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return rows.select(F.col(id_column).alias("id"), F.size(text.tokens(text_column)).cast("long").alias("n_tokens"))
+    """id, token, tf, n_tokens: each token of a text once, with its count and the text's length."""
+    words = rows.select(F.col(id_column).alias("id"), text.tokens(text_column).alias("_t")).select("id", F.size("_t").cast("long").alias("n_tokens"), F.explode("_t").alias("token"))
+    return words.groupBy("id", "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf")).select("id", "token", "tf", "n_tokens")
 
 
 def query_tokens(queries: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -31,19 +29,36 @@ def query_tokens(queries: DataFrame, id_column: str, text_column: str) -> DataFr
     return words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def idf(posting: DataFrame, length: DataFrame) -> DataFrame:
-    """token, df, idf; negative weights become a share of the mean weight. The two totals are one row each."""
-    df = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avgdl"))
+def idf(posting: DataFrame, n_texts: DataFrame) -> DataFrame:
+    """token, df, idf, avgdl; negative weights become a share of the mean weight. The totals are one row each.
+
+    n_texts: one row, n: also texts without tokens count."""
+    df = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf"))
+    total = n_texts.join(F.broadcast(df.agg(F.sum("_tf").alias("_all")))).select("n", (F.coalesce("_all", F.lit(0)) / F.col("n")).alias("avgdl"))
     raw = df.join(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("token", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posting: DataFrame, length: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of every text that shares a token with the query. Only the queries' tokens are read further."""
-    asked = queries.join(idf(posting, length), "token")
-    hits = posting.join(asked, "token").join(length, "id")
+#: Rows of query tokens that may be broadcast after they were counted.
+FEW_TOKENS = 100_000
+
+
+def bm25(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of every text that shares a token with a query (query_id, token, qtf).
+
+    The index is written once; document frequencies and hits are read from it. If the queries' tokens were counted and are
+    few, postings are dealt by text and meet them in a broadcast join, so the many hits of common words are summed where
+    they arise. Otherwise both sides are shuffled by token, where Spark splits the common ones."""
+    index = cut(postings(rows, id_column, text_column), "postings")
+    weights = idf(index, rows.agg(F.count(F.lit(1)).alias("n")))
+    asked = queries.join(weights, "token").select("query_id", "token", "qtf", "idf", "avgdl")
+    if len(queries.select("token").take(FEW_TOKENS + 1)) <= FEW_TOKENS:
+        asked = cut(asked, "asked")
+        own = index.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").repartition("id")
+        hits = own.join(F.broadcast(asked), "token")
+    else:
+        hits = index.join(asked, "token")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import evaluation, graph, index
+from ..sources import tables as store
 from ..streaming import incremental
 from . import routes
 from .registry import QUERIES, SQL, content, fold, query, tokens
@@ -28,7 +26,7 @@ _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
 
 
 def _bm25(documents, benchmark):
-    scored = index.bm25(index.postings(documents, "doc_id", "text"), index.lengths(documents, "doc_id", "text"), index.query_tokens(benchmark, "item_id", "text"))
+    scored = index.bm25(documents, "doc_id", "text", index.query_tokens(benchmark, "item_id", "text"))
     return scored.withColumn("score", F.round("score", 9))
 
 
@@ -43,37 +41,21 @@ def bm25_topk(documents, benchmark):
 
 _COS = """
 v AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
-cs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e, v.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)), 1e-12), 9) AS score FROM v JOIN (SELECT * FROM v WHERE vec_id < 8) q ON q.vec_id <> v.vec_id)
+cs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e, v.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)), 1e-12), 9) AS score FROM v JOIN (SELECT * FROM v WHERE vec_id % 20 = 0) q ON q.vec_id <> v.vec_id)
 """
 
 
-#: The vectors that the registered SQL asks for, and those of the whole job.
-_FEW, _ALL = "vec_id < 8", "vec_id % 20 = 0"
-
-
-def _whole(name: str) -> str:
-    """SQL of a search over the whole set of queries."""
-    return SQL[name].replace(_FEW, _ALL).replace(" AND query_id < 8", "")
-
-
-def _cosine(embeddings, asked: str = _FEW, k: int = 60):
-    """At least the k best of each stated query against all vectors."""
-    queries = embeddings.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _cosine(embeddings, k: int = 60):
+    """At least the k best of each query, every vector whose id is divisible by 20, against all vectors."""
+    queries = embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return index.cosine_top(embeddings, queries, "vec_id", "embedding", k)
 
 
 @query("embeddings", sql=f"WITH {_COS}, r AS (SELECT *, {_RANK} AS rank FROM cs) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 10")
 def cosine_topk(embeddings):
-    """The first eight vectors as queries, as the SQL has it; cosine_topk_all asks the whole set."""
     return _out(index.top_k(_cosine(embeddings, k=10), 10))
 
 
-@query("embeddings", sql=_whole("cosine_topk"))
-def cosine_topk_all(embeddings):
-    """Every vector whose id is divisible by 20 as a query, against all vectors."""
-    return _out(index.top_k(_cosine(embeddings, _ALL, 10), 10))
-
-
 _TWO = f"""
 c AS (SELECT query_id, id, score, {_RANK} AS rank FROM cs), b AS (SELECT query_id, id, round(score, 9) AS score, {_RANK} AS rank FROM bm),
 """
@@ -87,37 +69,23 @@ def _fused(fuse, vector, lexical):
 @query(
     "documents", "benchmark", "embeddings",
     sql=f"""WITH {_BM25}, {_COS}, {_TWO}
-lx AS (SELECT query_id, id, score / (max(score) OVER (PARTITION BY query_id) + 1e-9) AS lex FROM b WHERE rank <= 60 AND query_id < 8),
+lx AS (SELECT query_id, id, score / (max(score) OVER (PARTITION BY query_id) + 1e-9) AS lex FROM b WHERE rank <= 60),
 f AS (SELECT query_id, id, 0.65 * coalesce(round(c.score, 9), 0) + 0.35 * coalesce(lex, 0) AS score0, round(score0, 9) AS score FROM (SELECT * FROM c WHERE rank <= 60) c FULL JOIN lx USING (query_id, id)),
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_weighted(documents, benchmark, embeddings):
-    """Eight queries, as the SQL has it; fused_weighted_all asks all of them."""
-    return _fused(index.fuse_weighted, _cosine(embeddings), _bm25(documents, benchmark.filter("item_id < 8")))
-
-
-@query("documents", "benchmark", "embeddings", sql=_whole("fused_weighted"))
-def fused_weighted_all(documents, benchmark, embeddings):
-    """Every vector whose id is divisible by 20 and every benchmark item as queries."""
-    return _fused(index.fuse_weighted, _cosine(embeddings, _ALL), _bm25(documents, benchmark))
+    return _fused(index.fuse_weighted, _cosine(embeddings), _bm25(documents, benchmark))
 
 
 @query(
     "documents", "benchmark", "embeddings",
     sql=f"""WITH {_BM25}, {_COS}, {_TWO}
-lx AS (SELECT query_id, id, 0.35 * score / (max(score) OVER (PARTITION BY query_id) + 1e-9) + 1.0 / (60 + rank) AS part FROM b WHERE rank <= 40 AND query_id < 8),
+lx AS (SELECT query_id, id, 0.35 * score / (max(score) OVER (PARTITION BY query_id) + 1e-9) + 1.0 / (60 + rank) AS part FROM b WHERE rank <= 40),
 f AS (SELECT query_id, id, round(sum(part), 9) AS score FROM (SELECT query_id, id, round(score, 9) + 1.0 / (60 + rank) AS part FROM c WHERE rank <= 40 UNION ALL SELECT * FROM lx) GROUP BY 1, 2),
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_ranks(documents, benchmark, embeddings):
-    """Eight queries, as the SQL has it; fused_ranks_all asks all of them."""
-    return _fused(index.fuse_ranks, _cosine(embeddings), _bm25(documents, benchmark.filter("item_id < 8")))
-
-
-@query("documents", "benchmark", "embeddings", sql=_whole("fused_ranks"))
-def fused_ranks_all(documents, benchmark, embeddings):
-    """Every vector whose id is divisible by 20 and every benchmark item as queries."""
-    return _fused(index.fuse_ranks, _cosine(embeddings, _ALL), _bm25(documents, benchmark))
+    return _fused(index.fuse_ranks, _cosine(embeddings), _bm25(documents, benchmark))
 
 
 @query(
@@ -262,9 +230,10 @@ def number_accuracy(orders):
 @query(
     "documents",
     sql=f"""
-WITH w AS (SELECT doc_id AS id, list_distinct({tokens("text")}) AS s FROM documents), x AS (SELECT id, len(s) AS n, unnest(s) AS t FROM w),
+WITH w AS (SELECT doc_id AS id, list_sort(list_distinct({tokens("text")})) AS s FROM documents), g AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS rep FROM w WHERE len(s) > 0),
+x AS (SELECT id, len(s) AS n, unnest(s) AS t FROM g WHERE id = rep),
 j AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id)
-SELECT a, b, CAST(round(shared / (na + nb - shared), 6) AS DOUBLE) AS similarity FROM j WHERE shared / (na + nb - shared) >= 0.8
+SELECT a, b, CAST(round(shared / (na + nb - shared), 6) AS DOUBLE) AS similarity FROM j WHERE shared / (na + nb - shared) >= 0.8 UNION ALL SELECT rep, id, CAST(1 AS DOUBLE) FROM g WHERE id > rep
 """,
 )
 def near_pairs(documents):
@@ -276,10 +245,9 @@ def stream_last_turns(spark, sf_dir):
     """The last eight turns of each conversation, kept as state of a stream that reads the table once."""
     from ..sources import readers
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codexine-")
-    out, place = f"{root}/turns-{uuid.uuid4().hex}", f"{root}/state-{uuid.uuid4().hex}"
+    out, place = store.fresh_path(spark, "turns"), store.fresh_path(spark, "state")
     (table,) = readers.tables(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "conversations", root))
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "conversations"))
 
     def keep(batch, n):
         batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
@@ -290,9 +258,9 @@ def stream_last_turns(spark, sf_dir):
     return rows.join(last, ["conv_id", "batch"], "left_semi").drop("batch")
 
 
-def _folder(spark, sf_dir: str, name: str, root: str) -> str:
+def _folder(spark, sf_dir: str, name: str) -> str:
     """A folder of the table's files, as streams read folders: a copy, as the table may be one file."""
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = store.fresh_path(spark, "stream")
     spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(path)
     return path
 
@@ -301,12 +269,11 @@ def stream_upsert(spark, sf_dir):
     """The costliest order of each customer, kept by a stream of upserts."""
     from ..sources import readers
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codexine-")
-    out, place = f"{root}/upsert-{uuid.uuid4().hex}", f"{root}/state-{uuid.uuid4().hex}"
+    out, place = store.fresh_path(spark, "upsert"), store.fresh_path(spark, "state")
     (table,) = readers.tables(spark, sf_dir, "orders")
-    stream = spark.readStream.schema(table.schema).parquet(_folder(spark, sf_dir, "orders", root)).select("o_custkey", "o_orderkey", "o_totalprice")
+    stream = spark.readStream.schema(table.schema).parquet(_folder(spark, sf_dir, "orders")).select("o_custkey", "o_orderkey", "o_totalprice")
     incremental.upsert_stream(stream, out, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], place).awaitTermination()
-    return spark.read.parquet(out)
+    return store.current(spark, out)
 
 
 QUERIES["stream_last_turns"] = stream_last_turns

@@ -1,6 +1,7 @@
 """Operators, planning, sources, sinks, models and streams on worked examples."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from codexine.functions import models, text
 from codexine.operators import aggregates, answers, chunking, evaluation, graph, index, joins, records, windows
 from codexine import plans
 from codexine.plans import planner, routes
-from codexine.sources import readers, sinks
+from codexine.sources import readers, sinks, tables
 from codexine.streaming import incremental
 
 
@@ -74,8 +75,34 @@ def test_graph_finds_the_cheapest_path_within_hops(spark):
     assert {r["id"]: round(r["cost"], 2) for r in graph.expand(edges, seeds, 3).collect()}["d"] == 1.3
     back = {r["id"]: round(r["cost"], 2) for r in graph.expand(edges.filter("type = 'CITES'"), spark.createDataFrame([("b",)], "id string"), 1).collect()}
     assert back == {"b": 0.0, "a": 0.9}  # against a citation
-    refs = graph.resolve_targets(spark.createDataFrame([("a", None, "k1"), ("a", None, "zz")], "source string, target string, target_ref string"), spark.createDataFrame([("n2", "k1"), ("n1", "k1")], "id string, ref_key string"))
-    assert rows(refs.select("source", "target")) == [("a", "n1")]
+    long_path = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "OTHER") for k in range(9)], "source string, target string, type string")
+    assert graph.expand(long_path, spark.createDataFrame([("n0",)], "id string"), 8).count() == 9
+
+
+def test_graph_resolves_references_in_tiers(spark):
+    nodes = spark.createDataFrame([("a", "d1", "6", "2", ""), ("b", "d1", "6", "2", "a"), ("c", "d1", "6", "3", ""), ("d", "d2", "7", "1", "")], "id string, document string, article string, clause string, point string")
+    edges = spark.createDataFrame([("x", None, "d1|D6|K2"), ("x", None, "d1|D6"), ("x", None, "d9|D7|K1|Pz"), ("x", None, "d9|D99"), ("x", "y", None)], "source string, target string, target_ref string")
+    got = rows(graph.resolve_targets(edges, nodes).select("target_ref", "target"))
+    assert set(got) == {("d1|D6|K2", "a"), ("d1|D6", "a"), ("d1|D6", "b"), ("d1|D6", "c"), ("d9|D7|K1|Pz", "d"), (None, "y")}
+    kinds = spark.createDataFrame([("a", "t", "HAS_TABLE"), ("a", "b", "CITES")], "source string, target string, type string")
+    more = nodes.unionByName(spark.createDataFrame([("t", "d1", "", "", "")], nodes.schema))
+    assert rows(graph.related_assets(kinds, more, nodes.filter("id = 'a'")).select("seed", "id")) == [("a", "t")]
+
+
+def test_graph_around_hits_of_queries(spark):
+    edges = spark.createDataFrame([("a", "b", "HAS_PENALTY"), ("b", "c", "HAS_PENALTY"), ("c", "d", "OTHER")], "source string, target string, type string")
+    hits = spark.createDataFrame([("q", "a", 4.0), ("r", "c", 1.0)], "query_id string, id string, score double")
+    got = {(r["query_id"], r["id"]): round(r["score"], 3) for r in graph.expand_hits(hits, edges, 2).collect()}
+    assert got == {("q", "b"): 2.88, ("q", "c"): 2.88, ("r", "b"): 0.956, ("r", "a"): 0.912, ("r", "d"): 0.9}
+
+
+def test_graph_details(spark):
+    figures = "array<struct<id:string,code:string,name:string,image_path:string>>"
+    got = spark.createDataFrame([("r1", "Hồ sơ", "Phạt 1 đồng", True, [("f1", "P.102", "Cấm", "a.png"), ("f2", "", "x", None)]), ("r2", "", None, False, [("f3", "p 102", "Cấm đi", "b.png")])], f"id string, text string, penalty string, has_procedure boolean, figures {figures}")
+    nodes, edges = graph.detail_nodes(got)
+    sign = nodes.filter("type = 'sign'").collect()
+    assert len(sign) == 1 and sign[0]["images"] == ["a.png", "b.png"] and sign[0]["figures"] == ["f1", "f3"] and sign[0]["text"] == "prohibition"
+    assert sorted(r["type"] for r in edges.collect()) == ["HAS_PENALTY", "HAS_PROCEDURE", "HAS_SIGN", "HAS_SIGN", "REPRESENTS_SIGN", "REPRESENTS_SIGN"]
 
 
 def test_expand_records(spark):
@@ -135,8 +162,8 @@ def test_searches_ask_the_whole_query_set(spark, sf_dir):
     asked = {r[0] for r in vectors.filter("vec_id % 20 = 0").select("vec_id").collect()}
     items = {r[0] for r in bench.select("item_id").collect()}
     found = lambda name: {r["query_id"] for r in plans.QUERIES[name](spark, sf_dir).collect()}
-    assert found("cosine_topk_all") == asked
-    assert found("fused_weighted_all") == found("fused_ranks_all") == asked | items
+    assert found("cosine_topk") == asked
+    assert found("fused_weighted") == found("fused_ranks") == asked | items
 
 
 def test_general_keeps_documents_of_one_opening(spark):
@@ -209,9 +236,17 @@ def test_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     old, new = spark.createDataFrame([(1, 1, "o"), (2, 3, "o")], "id int, p int, v string"), spark.createDataFrame([(1, 1, "n"), (2, 1, "n"), (3, 1, "n")], "id int, p int, v string")
     path = str(tmp_path / "t")
-    sinks.write_table(old, path)
-    sinks.replace_table(sinks.upserted(spark.read.parquet(path), new, ["id"], [F.desc("p")]), path)
-    assert rows(spark.read.parquet(path)) == [(1, 1, "n"), (2, 3, "o"), (3, 1, "n")]
+    tables.replace(old, path)
+    tables.replace(sinks.upserted(tables.current(spark, path), new, ["id"], [F.desc("p")]), path)
+    assert rows(tables.current(spark, path)) == [(1, 1, "n"), (2, 3, "o"), (3, 1, "n")]
+    # A job that ends between its files and its marker leaves the last version; the next one takes its place.
+    broken = path + "/v000000002"
+    old.write.parquet(broken)
+    os.remove(broken + "/_SUCCESS")
+    assert rows(tables.current(spark, path)) == [(1, 1, "n"), (2, 3, "o"), (3, 1, "n")]
+    tables.replace(new, path)
+    assert rows(tables.current(spark, path)) == rows(new) and tables.versions(spark, path) == [1, 2]
+    assert tables.current(spark, path + "x") is None
     sent = str(tmp_path / "sent")
 
     def connect():
@@ -260,3 +295,26 @@ def test_streams(spark, tmp_path):
     assert run() == [(1, "X"), (2, "Y")]
     feed("2", [(1, "a", "x"), (2, "c", "z")])
     assert run() == [(1, "X"), (2, "Y"), (2, "Z")]
+
+
+def test_upsert_stream_wants_its_table(spark, tmp_path):
+    import shutil
+
+    source, out, schema = tmp_path / "in", str(tmp_path / "out"), "id long, n long"
+
+    def feed(name, data):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(source / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
+        incremental.upsert_stream(stream, out, ["id"], [F.desc("n")], str(tmp_path / "state")).awaitTermination()
+        return rows(tables.current(spark, out))
+
+    feed("1", [(1, 1), (1, 2)])
+    assert run() == [(1, 2)]
+    feed("2", [(1, 5), (2, 1)])
+    assert run() == [(1, 5), (2, 1)]
+    shutil.rmtree(out)
+    feed("3", [(3, 1)])
+    with pytest.raises(Exception, match="finds no table"):
+        run()
