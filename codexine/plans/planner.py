@@ -129,15 +129,14 @@ def expected_seconds(level: Column, profile: str = "balanced") -> Column:
 def hints(question) -> Column:
     """What a question leaves open: the vehicle, the speed, the alcohol level, the outcome of an accident, the sign's code."""
     q = text.fold(question)
-    penal = text.contains_any(q, ("phat", "xu phat", "muc phat", "vi pham", "bi gi", "xu ly", "tru diem", "tuoc"))
-    moving = text.contains_any(q, ("xe", "phuong tien", "chay", "toc do", "bien", "p127", "p.127", "tat ca", "toan bo"))
+    penal, moving = text.contains_any(q, rules.HINT_PENALTY), text.contains_any(q, rules.HINT_MOVING)
     found = (
         ("vehicle", penal & moving & ~(_any(q, "catalog") & _any(q, "sanction")) & ~_any(q, "vehicle")),
-        ("speed", text.contains_any(q, ("toc do", "qua toc", "vuot toc", "p127", "p.127")) & ~q.rlike(r"\d+(?:[.,]\d+)?\s*km/?h")),
-        ("alcohol", text.contains_any(q, ("nong do con", "hoi con", "ruou bia", "say xin", "co con")) & ~q.rlike(r"\d")),
+        ("speed", text.contains_any(q, rules.HINT_SPEED) & ~q.rlike(r"\d+(?:[.,]\d+)?\s*km/?h")),
+        ("alcohol", text.contains_any(q, rules.HINT_ALCOHOL) & ~q.rlike(r"\d")),
         ("accident", text.contains_any(q, ("tai nan", "gay tai nan"))),
         ("sign", text.contains_any(q, ("bien", "vach")) & (F.size(text.sign_codes(question)) == 0) & ~text.contains_any(q, ("anh", "hinh"))),
-        ("statistics", text.contains_any(q, ("hay vi pham", "pho bien", "thuong gap"))),
+        ("statistics", text.contains_any(q, rules.HINT_FREQUENT)),
     )
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in found]))
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import index, joins
-from . import planner
+from ..functions import arrays, text
+from ..operators import graph, index, joins
+from ..sources.tables import cut
+from . import planner, rules, scoring
 
 
 def search(rows: DataFrame, questions: DataFrame, k: int = 8, id_column: str = "id", text_column: str = "rag_text", question_id: str = "query_id", question: str = "question", condition=None, filter_mode: str = "pre") -> DataFrame:
     """Lexical search with a filter before ranking (pre), or after the first max(3k, 100) of each question (post)."""
     kept = rows.filter(condition) if condition is not None and filter_mode == "pre" else rows
-    scored = index.bm25(index.postings(kept, id_column, text_column), index.lengths(kept, id_column, text_column), index.query_tokens(questions, question_id, question))
+    scored = index.bm25(kept, id_column, text_column, index.query_tokens(questions, question_id, question))
     if condition is None or filter_mode == "pre":
         return index.top_k(scored, k)
     first = index.top_k(scored, max(3 * k, 100)).drop("rank")
@@ -21,27 +22,256 @@ def search(rows: DataFrame, questions: DataFrame, k: int = 8, id_column: str = "
     return index.top_k(first.join(inside, "id", "left_semi"), k)
 
 
-def general(rows: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
+def general(rows: DataFrame, questions: DataFrame, k: int = 8, edges: DataFrame | None = None, depth: int = 2, vectors: DataFrame | None = None) -> DataFrame:
     """Exact references, then lexical search of the first 3k, deduplicated and reranked by the lexical score.
 
-    One row stays of those that share document, article, clause, point and the first 240 folded characters; a row without
-    text is known by its id. rows: id, rag_text, article (upper case or null), and document, clause and point where rows have
-    them. questions: query_id, question."""
+    vectors (query_id, id, score): hits of a vector search, which are fused with the lexical ones by rank. edges: a graph whose
+    nodes around the hits come in, up to depth hops. One row stays of those that share document, article, clause, point and
+    the first 240 folded characters; a row without text is known by its id. rows: id, rag_text, article (upper case or null),
+    and document, clause and point where rows have them. questions: query_id, question."""
     hits = search(rows, questions, 3 * k).select("query_id", "id", "score")
+    if vectors is not None:
+        hits = index.top_k(index.fuse_ranks(vectors, hits, 3 * k), 3 * k).select("query_id", "id", "score")
     refs = questions.select("query_id", F.explode(F.array_distinct(F.transform(text.explicit_refs("question"), lambda r: r["article"]))).alias("article"))
     exact = refs.join(rows.select("id", "article"), "article").select("query_id", "id", F.lit(5.0).alias("score"))
     both = hits.unionByName(exact).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    place = [c for c in ("document", "article", "clause", "point") if c in rows.columns]
-    full = both.join(rows.select("id", "rag_text", *place), "id").join(questions.select("query_id", "question"), "query_id")
+    if edges is not None:
+        both = cut(both, "hits")
+        both = both.unionByName(graph.expand_hits(both, edges, depth))
+    full = both.join(rows.select("id", "rag_text", *place(rows)), "id").join(questions.select("query_id", "question"), "query_id")
+    return index.top_k(deduped(reranked(full), place(rows)).select("query_id", "id", "score"), k)
+
+
+def place(rows: DataFrame) -> list[str]:
+    return [c for c in ("document", "article", "clause", "point") if c in rows.columns]
+
+
+def reranked(full: DataFrame) -> DataFrame:
+    """Adds the lexical score to the first of each query. full: score, rag_text, question."""
     words = text.content_tokens("question", digits=True)
-    ranked = index.rerank(full, index.lexical_score(words, text.fold("rag_text"), text.content_tokens("rag_text", digits=True)))
+    return index.rerank(full, index.lexical_score(words, text.fold("rag_text"), text.content_tokens("rag_text", digits=True)))
+
+
+def deduped(full: DataFrame, place: list[str]) -> DataFrame:
     start = F.substring(text.fold("rag_text"), 1, 240)
     empty = start == ""
     # Null and empty references are one; rows without text have their id as the key.
     key = [F.when(~empty, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in place]
     own = Window.partitionBy("query_id", start, *key, F.when(empty, F.col("id"))).orderBy(F.desc("score"), "id")
-    once = ranked.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1")
-    return index.top_k(once.select("query_id", "id", "score"), k)
+    return full.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1").drop("_nth")
+
+
+def prepared(questions: DataFrame) -> DataFrame:
+    """Questions with what routes look at: qa (folded, of a sub-question its focus), vehicle, named and meant documents, behaviours, terms."""
+    own = questions.select("query_id", "question", text.fold(scoring.focused("question")).alias("qa"), text.fold("question").alias("_q"))
+    return own.select("query_id", "question", "qa", scoring.vehicle(F.col("_q")).alias("vehicle"), scoring.documents(F.col("_q")).alias("named"), scoring.scope(F.col("_q")).alias("meant"), scoring.searched(F.col("qa")).alias("behaviours"), scoring.definition_terms("question").alias("terms"))
+
+
+#: What rows of a corpus hold, besides id and rag_text; columns that a table lacks are null.
+ROW = "document string, article string, clause string, point string, modality string, sign_codes array<string>, images array<string>"
+
+
+def corpus(rows: DataFrame) -> DataFrame:
+    kinds = [c.strip().split(" ") for c in ROW.split(", ")]
+    return rows.select("id", "rag_text", *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
+
+
+def _full(hits: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """hits (query_id, id, score, reasons), each once, with the columns that scoring reads."""
+    best = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
+    return best.join(rows, "id").join(asked, "query_id").withColumn("body", text.fold("rag_text"))
+
+
+def _general(rows: DataFrame, questions: DataFrame, route: str, k: int, edges=None) -> DataFrame:
+    worded = questions.select("query_id", F.concat_ws(" ", scoring.expanded("question"), F.lit(rules.ROUTE_WORDS[route])).alias("question"))
+    return general(rows, worded, k, edges).select("query_id", "id", "score", F.array(F.lit(f"{route}_route")).alias("reasons"))
+
+
+def _finished(full: DataFrame, k: int) -> DataFrame:
+    """The k best of each question after reranking: query_id, id, rank, score, reasons."""
+    return index.top_k(reranked(deduped(full, ["document", "article", "clause", "point"])).select("query_id", "id", "score", "reasons"), k)
+
+
+def behaviour_rows(rows: DataFrame, most: int = 120) -> DataFrame:
+    """behaviour, article, id, score, reason of the rows of the penalty decree that are about a behaviour, and of the clauses
+    above them. Of each behaviour and article the first few by id, so the table is bounded whatever the corpus."""
+    inside = rows.filter(F.contains(text.fold("document"), F.lit("nghi dinh 168")) & F.col("article").isin(*rules.RULE_ARTICLES.values()))
+    own = inside.select("id", "document", "article", "clause", "point", F.explode(scoring.shown(text.fold("rag_text"))).alias("behaviour"))
+    first = own.withColumn("_nth", F.row_number().over(Window.partitionBy("behaviour", "article").orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
+    above = inside.filter((F.coalesce("point", F.lit("")) == "") & (F.coalesce("clause", F.lit("")) != "")).select("document", "article", "clause", F.col("id").alias("above"))
+    parents = first.filter(F.coalesce("point", F.lit("")) != "").join(above, ["document", "article", "clause"]).select("behaviour", "article", F.col("above").alias("id"), F.lit(6.5).alias("score"), F.lit("behavior_clause_context").alias("reason")).distinct()
+    return first.select("behaviour", "article", "id", F.lit(9.0).alias("score"), F.lit("behavior_anchor").alias("reason")).unionByName(parents)
+
+
+def _scoped(full: DataFrame, inside: Column, add: float = 0.0) -> DataFrame:
+    """The rows inside a scope, with a boost, or all of a question that has none there."""
+    some = F.max(inside.cast("int")).over(Window.partitionBy("query_id"))
+    kept = full.withColumn("_some", some).filter(inside | (F.col("_some") == 0)).drop("_some")
+    return kept.withColumn("score", F.col("score") + F.when(inside, add).otherwise(0.0)) if add else kept
+
+
+def penalty(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """General search, the rows on the behaviours that are asked for, the rows of the vehicle's article; then the boosts of penalties."""
+    rows, asked = corpus(rows), prepared(questions)
+    named = F.when(F.size("meant") > 0, F.array_join("meant", " ")).otherwise(F.lit(rules.PENALTY_DOCUMENT))
+    worded = asked.select("query_id", F.concat_ws(" ", scoring.expanded("question"), named).alias("question"))
+    known = F.size("behaviours") > 0
+    first = _general(rows, worded, "penalty", max(2 * k, 16), edges)
+    acts = asked.select("query_id", "vehicle", F.explode("behaviours").alias("behaviour")).join(cut(behaviour_rows(rows), "behaviours"), "behaviour")
+    article = F.create_map(*[F.lit(x) for pair in rules.RULE_ARTICLES.items() for x in pair])
+    own = F.get(F.transform(F.array("vehicle"), lambda v: article[v]), F.lit(0))
+    acts = acts.filter(F.col("vehicle").isNull() | (F.col("article") == own)).withColumn("score", F.col("score") + F.when(F.col("vehicle").isNotNull() & (F.col("score") == 9.0), 1.0).otherwise(0.0))
+    acts = acts.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("_nth <= 120").select("query_id", "id", "score", F.array("reason").alias("reasons"))
+    wide = F.create_map(*[y for v, a in rules.VEHICLE_ARTICLES.items() for y in (F.lit(v), F.array(*map(F.lit, a)))])
+    # Of each article the first few rows: they only come in with a small score, and boosts that hold for the article.
+    of_article = rows.filter(F.contains(text.fold("document"), F.lit("nghi dinh 168"))).select("id", "article").withColumn("_nth", F.row_number().over(Window.partitionBy("article").orderBy("id"))).filter("_nth <= 120").drop("_nth")
+    articles = F.when(known, F.array(own)).otherwise(F.get(F.transform(F.array("vehicle"), lambda v: wide[v]), F.lit(0)))
+    here = (F.size("meant") == 0) | F.array_contains("meant", rules.PENALTY_DOCUMENT)
+    prefix = asked.filter(F.col("vehicle").isNotNull() & here).select("query_id", F.explode(articles).alias("article")).join(of_article, "article").select("query_id", "id", F.lit(0.8).alias("score"), F.array(F.lit("vehicle_article_prefix")).alias("reasons"))
+    full = _full(first.unionByName(acts).unionByName(prefix), rows, asked)
+    full = _scoped(full, (F.size("meant") > 0) & F.array_contains("meant", F.col("document")), 3.0)
+    out = _finished(scoring.boosted(full, *scoring.vehicle_boosts(), *scoring.penalty_boosts(), *scoring.license_boosts()), max(k, 12))
+    wider = asked.select("query_id", F.when(known & F.col("vehicle").isNull(), max(k, 12)).otherwise(k).alias("_k"))
+    return out.join(wider, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def sign(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """Rows of the codes that a question names (1.0, and 9.0 for the code's own row), and lexical search of questions without any."""
+    rows, asked = corpus(rows), prepared(questions)
+    named = questions.select("query_id", F.explode(text.sign_codes("question")).alias("code"))
+    coded = rows.select("id", "modality", F.explode(F.array_distinct(F.transform("sign_codes", text.normalize_sign_code))).alias("code"))
+    hits = named.join(coded, "code").select("query_id", "id", F.when(F.col("modality") == "sign", 9.0).otherwise(1.0).alias("score"), F.array(F.lit("sign_code")).alias("reasons"))
+    rest = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return _finished(_full(hits.unionByName(_general(rows, rest, "sign", max(2 * k, 12))), rows, asked), k)
+
+
+def table(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """Search among tables, in the documents that are meant; a question on the limit of expressways takes only tables on it."""
+    rows, asked = corpus(rows), prepared(questions)
+    full = _full(_general(rows.filter("modality = 'table'"), questions, "table", max(2 * k, 16)), rows, asked)
+    full = _scoped(full, (F.size("meant") > 0) & F.array_contains("meant", F.col("document")), 3.0)
+    limit = F.contains("qa", F.lit("toc do")) & F.contains("qa", F.lit("cao toc"))
+    return _finished(full.filter(~limit | scoring.speed_on_expressway(F.col("qa"), F.col("body"))), k)
+
+
+def definition_rows(rows: DataFrame, asked: DataFrame, most: int = 80) -> DataFrame:
+    """Rows with a mark of definitions that hold the term that is asked for: they meet by the term's first word."""
+    marked = rows.select("id", text.fold("rag_text").alias("body")).filter(text.contains_any("body", rules.DEFINITION_MARKS))
+    words = marked.select("id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([a-z0-9]+)"), 1))).alias("word"))
+    terms = asked.select("query_id", F.explode("terms").alias("term")).withColumn("word", F.regexp_extract("term", r"([a-z0-9]+)", 1))
+    hits = terms.join(words, "word").filter(F.contains("body", "term")).select("query_id", "id").distinct()
+    first = hits.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("_nth") <= most)
+    return first.select("query_id", "id", F.lit(3.0).alias("score"), F.array(F.lit("deterministic_definition_match")).alias("reasons"))
+
+
+def definition(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    rows, asked = corpus(rows), prepared(questions)
+    hits = _general(rows, questions, "definition", max(2 * k, 16), edges).unionByName(definition_rows(rows, asked))
+    return _finished(scoring.boosted(_full(hits, rows, asked), *scoring.definition_boosts()), k)
+
+
+def procedure(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    rows, asked = corpus(rows), prepared(questions)
+    return _finished(scoring.boosted(_full(_general(rows, questions, "procedure", max(3 * k, 24), edges), rows, asked), *scoring.procedure_boosts()), k)
+
+
+def priority(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    rows, asked = corpus(rows), prepared(questions)
+    return _finished(scoring.boosted(_full(_general(rows, questions, "priority", max(3 * k, 24), edges), rows, asked), *scoring.priority_boosts()), k)
+
+
+def scenario(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """General search; tables only where nothing else is found, or where the question asks for one."""
+    rows, asked = corpus(rows), prepared(questions)
+    full = _full(_general(rows, questions, "scenario", max(3 * k, 24), edges), rows, asked)
+    wants = F.array_contains(planner.facets("question"), "table")
+    full = _scoped(full, wants | (F.coalesce("modality", F.lit("text")) != "table"))
+    return _finished(scoring.boosted(full, *scoring.scenario_boosts()), k)
+
+
+def source_image(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """General search with tables and signs; rows with images come first, and alone if there are any."""
+    rows, asked = corpus(rows), prepared(questions)
+    n = max(3 * k, 24)
+    facets = questions.withColumn("_f", planner.facets("question"))
+    of = lambda facet: facets.filter(F.array_contains("_f", facet)).select("query_id", "question")
+    hits = _general(rows, questions, "source_image", n, edges)
+    for route, facet in ((table, "table"), (sign, "sign")):
+        hits = hits.unionByName(route(rows, of(facet), max(k, 8)).select("query_id", "id", "score", "reasons"))
+    full = _full(hits, rows, asked)
+    family = text.contains_any(text.fold("document"), ("nghi dinh 168", "luat trat tu", "qcvn", "thong tu 51"))
+    act = (F.size("behaviours") > 0) | text.contains_any("qa", ("phat", "xu phat", "tai nan", "vi pham"))
+    paper = text.contains_any("qa", ("thu tuc", "ho so", "cap doi", "cap lai", "sat hach", "dao tao"))
+    full = _scoped(full, ~act | paper | F.coalesce(family, F.lit(False)))
+    full = scoring.boosted(full, *scoring.image_boosts())
+    return _finished(_scoped(full, F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0), k)
+
+
+def license_points(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """The clause on the points of a licence: rows that name the twelve points first."""
+    rows = corpus(rows).filter((F.col("document") == "Luật Trật tự ATGT 2024 (Tiếp)") & (F.col("article") == "58") & (F.col("clause") == "1"))
+    said = F.contains(text.fold("rag_text"), F.lit("bao gom 12 diem"))
+    best = rows.select("id", (F.lit(72.0) + F.when(said, 1.0).otherwise(0.0)).alias("score")).orderBy(F.desc("score"), "id").limit(k)  # a top-k: k rows
+    hits = questions.select("query_id").join(F.broadcast(best)).withColumn("reasons", F.array(F.lit("topic_license_points_total")))
+    return index.top_k(hits.select("query_id", "id", "score", "reasons"), k)
+
+
+def legal_rows(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """Every row under the reference that a question names, in natural order, up to 40: in the documents that it names, or in any."""
+    rows, asked = corpus(rows), prepared(questions)
+    ref = F.get(text.explicit_refs("question"), F.lit(0))
+    probes = asked.select("query_id", "named", ref.alias("r")).select("query_id", "named", F.col("r.article").alias("article"), F.coalesce("r.clause", F.lit("")).alias("_c"), F.coalesce("r.point", F.lit("")).alias("_p")).filter("article IS NOT NULL")
+    same = lambda want, have: (F.col(want) == "") | (F.lower(F.coalesce(F.col(have), F.lit(""))) == F.lower(F.col(want)))
+    hits = probes.join(rows, "article").filter(((F.size("named") == 0) | F.array_contains("named", F.col("document"))) & same("_c", "clause") & same("_p", "point"))
+    order = F.struct("document", arrays.natural_key("clause"), arrays.natural_key("point"), "id")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order))).filter(F.col("rank") <= max(k, 40))
+    return ranked.select("query_id", "id", (F.lit(120.0) - F.col("rank")).alias("score"), F.array(F.lit("legal_detail_route")).alias("reasons"), "rank")
+
+
+def overview(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """The first row of each article of the documents that a question names, in natural order, up to 64."""
+    rows, asked = corpus(rows), prepared(questions)
+    heads = rows.filter(F.coalesce("article", F.lit("")) != "").groupBy("document", "article").agg(F.min("id").alias("id"))
+    hits = asked.select("query_id", F.explode("named").alias("document")).join(heads, "document")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document", arrays.natural_key("article")))).filter(F.col("rank") <= max(k, 64))
+    return ranked.select("query_id", "id", (F.lit(100.0) - F.col("rank")).alias("score"), F.array(F.lit("document_overview_route")).alias("reasons"), "rank")
+
+
+def aggregation_kind(question) -> Column:
+    """Which statistic of the corpus a question asks for: frequency, suspension, points, fines, or unsupported."""
+    q = text.fold(question)
+    listed = text.contains_any(q, rules.TERMS["catalog"]) & F.contains(q, F.lit("tuoc")) & text.contains_any(q, ("bang lai", "gplx", "giay phep lai xe"))
+    return (
+        F.when(text.contains_any(q, ("hay vi pham", "pho bien nhat", "thuong gap", "nhieu vi pham", "dieu nao vi pham nhat")), "frequency")
+        .when(listed, "suspension")
+        .when(F.contains(q, F.lit("tru diem")), "points")
+        .when(text.contains_any(q, ("phat", "tien")), "fines")
+        .otherwise("unsupported")
+    )
+
+
+#: The route of each intent; others take the general one.
+ROUTES = {
+    "penalty": penalty, "sign": sign, "table": table, "definition": definition, "procedure": procedure, "priority": priority, "scenario": scenario, "source_image": source_image,
+    "legal_detail": legal_rows, "document_overview": overview,
+}
+
+
+def retrieve(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
+    """Each question by the route of its intent: query_id, id, score, rank, reasons, route. Questions out of scope find nothing."""
+    known = cut(questions.select("query_id", "question", planner.intent(planner.facets("question")).alias("intent")), "questions")
+    found = None
+    for (name,) in known.select("intent").distinct().collect():  # at most one row for each intent
+        if name == "out_of_scope":
+            continue
+        own = known.filter(F.col("intent") == name).select("query_id", "question")
+        if name in ROUTES:
+            out = ROUTES[name](rows, own, k, edges)
+        else:
+            out = general(corpus(rows), own, k, edges).withColumn("reasons", F.array(F.lit("general_route")))
+        out = out.select("query_id", "id", "score", "rank", "reasons", F.lit(name).alias("route"))
+        found = out if found is None else found.unionByName(out)
+    return found
 
 
 def routed(questions: DataFrame, question: str = "question") -> DataFrame:
