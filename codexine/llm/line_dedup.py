@@ -24,23 +24,38 @@ def _words(line):
     return F.trim(F.regexp_replace(line, r"\s+", " "))
 
 
-def repeated(documents: DataFrame, lines: int = LINES) -> DataFrame:
-    """_ld_id, _ld_text (a hash) and _ld_gone of documents that lose lines: each with the place of the next line that has a word."""
-    rows = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64(blank("text")).alias("_ld_text"), F.transform(F.split(blank("text"), "\n", -1), _words).alias("line"))
-    rows = rows.withColumn("kept", F.filter(F.transform("line", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"] != "")).filter(F.size("kept") > 0)
-    until = lambda i: F.coalesce(F.get(F.col("kept"), i + 1)["at"], F.size("line"))
-    rows = rows.select("_ld_id", "_ld_text", F.transform("kept", lambda x, i: F.struct(x["at"], until(i).alias("until"))).alias("places"), F.transform("kept", lambda x: x["line"]).alias("kept"))
+def _has_words(line):
+    return line.rlike(r"\S")
+
+
+def windows(documents: DataFrame, lines: int = LINES) -> DataFrame:
+    """_ld_id, _ld_text (a hash), at, until, a, b of every window: its lines' places, up to the next line that has a word, and two hashes.
+
+    A document's work is linear in its lines: a window is a struct of numbers before it becomes a row."""
+    rows = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64(blank("text")).alias("_ld_text"), F.split(blank("text"), "\n", -1).alias("line"))
+    rows = rows.withColumn("kept", F.filter(F.transform("line", lambda x, i: F.struct(i.alias("at"), _words(x).alias("line"))), lambda x: x["line"] != "")).filter(F.size("kept") > 0)
+    rows = rows.select("_ld_id", "_ld_text", "kept", F.size("line").alias("end"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("kept") - lines, F.lit(0)))
-    window = lambda i: F.array_join(F.slice("kept", i + 1, F.lit(lines)), "\n")
-    rows = rows.select("_ld_id", "_ld_text", "places", F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(window(i)).alias("a"), F.xxhash64(F.lit("window"), window(i)).alias("b")))).alias("w"))
-    rows = rows.select("_ld_id", "_ld_text", F.slice("places", F.col("w.i") + 1, F.lit(lines)).alias("places"), "w.a", "w.b")
+    content = lambda i: F.array_join(F.transform(F.slice("kept", i + 1, F.lit(lines)), lambda x: x["line"]), "\n")
+
+    def window(i):
+        text = content(i)
+        until = F.coalesce(F.get(F.col("kept"), i + lines)["at"], F.col("end"))
+        return F.struct(F.get(F.col("kept"), i)["at"].alias("at"), until.alias("until"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("window"), text).alias("b"))
+
+    return rows.select("_ld_id", "_ld_text", F.explode(F.transform(starts, window)).alias("w")).select("_ld_id", "_ld_text", "w.*")
+
+
+def repeated(documents: DataFrame, lines: int = LINES) -> DataFrame:
+    """_ld_id, _ld_text (a hash) and _ld_gone of documents that lose lines: the places of the lines that go."""
     # Without an id a row comes after those that have one.
-    place = F.struct(F.col("_ld_id").isNull().alias("none"), F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text"), F.col("places")[0]["at"].alias("at"))
-    rows = cut(rows.withColumn("place", place), "windows")
+    place = F.struct(F.col("_ld_id").isNull().alias("none"), F.col("_ld_id").alias("id"), F.col("_ld_text").alias("text"), "at")
+    rows = cut(windows(documents, lines), "windows").withColumn("place", place)
     first = rows.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # As a table of its own, so that Spark may split the join where one window is very common.
     later = rows.join(cut(first, "first"), ["a", "b"]).filter(~F.col("place").eqNullSafe(F.col("first")))
-    return later.groupBy("_ld_id", "_ld_text").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("_ld_gone"))
+    spans = later.groupBy("_ld_id", "_ld_text").agg(F.collect_set(F.struct("at", "until")).alias("spans"))
+    return spans.select("_ld_id", "_ld_text", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["until"] - 1)))).alias("_ld_gone"))
 
 
 def dedup(documents: DataFrame, lines: int = LINES) -> DataFrame:
@@ -49,10 +64,12 @@ def dedup(documents: DataFrame, lines: int = LINES) -> DataFrame:
     rows = documents.withColumn("_ld_key", F.xxhash64(blank("text")))
     on = rows["doc_id"].eqNullSafe(gone["_ld_id"]) & (rows["_ld_key"] == gone["_ld_text"])
     rows = rows.join(gone.hint("shuffle_hash"), on, "left").drop("_ld_id", "_ld_text", "_ld_key")
-    # A blank line goes with the line before it.
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_ld_gone", lambda g: (i >= g["at"]) & (i < g["until"])))
-    n_lines = F.size(F.filter(F.split(blank("text"), "\n", -1), lambda x: _words(x) != ""))
-    return rows.withColumn("_ld_lines", n_lines.cast("long")).withColumn("_ld_removed", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_ld_gone")
+    rows = rows.withColumn("_ld_all", F.split(blank("text"), "\n", -1))
+    worded = lambda places: F.size(F.filter(places, lambda i: _has_words(F.get(F.col("_ld_all"), i))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_all") - 1), "_ld_gone")
+    text = F.array_join(F.transform(left, lambda i: F.get(F.col("_ld_all"), i)), "\n")
+    rows = rows.withColumn("_ld_lines", F.size(F.filter("_ld_all", _has_words)).cast("long")).withColumn("_ld_removed", F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(worded("_ld_gone")).cast("long"))
+    return rows.withColumn("text", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text)).drop("_ld_gone", "_ld_all")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
