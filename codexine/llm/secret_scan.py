@@ -14,21 +14,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, cut, fresh_path, slices, table
+from .common import arrow, blank, cut, fresh_path, slices, table, unused
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----END))*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+#: A header, then lines that are Base64 or the headers of an encrypted key, also with escaped line ends, then the last line if it
+#: is there. Prose after a header that stands alone is none of these.
+_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info): [^\n\\]{1,200}|[A-Za-z0-9+/]{24,}+={0,2}(?![^\s\\-])))*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,76}+={0,2})?+(?:\s|\\[nr])*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 
 #: kind: version, pattern, a literal that any match holds, group and least length that a match must have. In the order of ties.
 RULES = {
     "assign": (1, _ASSIGN, (":", "="), 2, 6),
     "access": (1, re.compile(r"AKIA[A-Z0-9]+"), ("AKIA",), 0, 20),
     "hex": (1, re.compile(r"[0-9a-f]{24,}"), (), 0, 24),
-    "private_key": (1, _PEM, ("-----BEGIN",), 0, 1),
+    "private_key": (2, _PEM, ("-----BEGIN",), 0, 1),
     "web_token": (1, re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("eyJ",), 0, 1),
     "forge_token": (1, re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"), ("gh", "glpat-", "xox"), 0, 1),
     "url_password": (2, re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:[^\s/@]{3,}+@"), ("://",), 0, 1),
@@ -69,9 +72,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("blob"), pa.array(rules, pa.list_(pa.string())), pa.array(found, pa.list_(finding))], ["blob", "scanned", "findings"])
 
 
-def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """One row for each blob, with the pairs run over it and the findings by place."""
+def read_ledger(spark: SparkSession, ledger: str, blobs: DataFrame | None = None) -> DataFrame:
+    """One row for each blob, with the pairs run over it and the findings by place; of the blobs named only, if some are."""
     rows = spark.read.schema(_LEDGER).parquet(ledger)
+    if blobs is not None:
+        rows = rows.join(blobs.select("blob"), "blob", "left_semi")
     return rows.groupBy("blob").agg(
         F.array_distinct(F.flatten(F.collect_set("scanned"))).alias("scanned"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("findings")))).alias("findings"),
@@ -81,23 +86,23 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 def scan(documents: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", kinds=tuple(RULES), begin: bool = False) -> DataFrame:
     """Scans what the ledger (a folder of Parquet files) lacks, appends it there, and returns path, blob and findings of every row.
 
-    begin: the ledger doesn't exist yet. Only the findings of the current versions of the rules named are returned."""
+    begin: the ledger doesn't exist yet. Only the findings of the current versions of the rules named are returned.
+    A blob is scanned once, however many rows hold it: copies are put together before they are moved, so a blob that a
+    third of all rows hold is moved once by each task that reads it."""
     spark = documents.sparkSession
     rows = documents.select(F.col(path).alias("path"), blank(text).alias("text")).withColumn("blob", F.sha2("text", 256))
     wanted = F.array(*[F.lit(pair(k)) for k in kinds])
-    todo = rows.groupBy("blob").agg(F.min("path").alias("rep"))
+    fresh = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
     if begin:
-        todo = todo.withColumn("pending", wanted)
+        fresh = fresh.withColumn("pending", wanted)
     else:
-        done = read_ledger(spark, ledger).select("blob", "scanned")
-        todo = todo.join(done, "blob", "left").withColumn("pending", F.array_except(wanted, F.coalesce("scanned", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("pending") > 0)
-    # One path of each unseen blob hands over its text; the text is moved once, and is not sorted.
-    one = todo.select(F.col("blob").alias("todo_blob"), "rep", "pending").hint("shuffle_hash")
-    fresh = rows.join(one, rows["path"].eqNullSafe(one["rep"]) & (rows["blob"] == one["todo_blob"])).select("blob", "text", "pending")
-    fresh.mapInArrow(_scan, _LEDGER).write.mode("append").parquet(ledger)
+        done = read_ledger(spark, ledger, rows.select("blob").distinct()).select("blob", "scanned")
+        fresh = fresh.join(done, "blob", "left").withColumn("pending", F.array_except(wanted, F.coalesce("scanned", F.array().cast("array<string>"))))
+        fresh = fresh.filter(F.size("pending") > 0)
+    arrow(fresh.select("blob", "text", "pending"), _scan, _LEDGER).write.mode("append").parquet(ledger)
     current = F.array(*[F.lit(pair(k)) for k in kinds])
-    seen = read_ledger(spark, ledger).select("blob", F.filter("findings", lambda x: F.array_contains(current, F.concat(x["kind"], F.lit("@"), x["version"].cast("string")))).alias("findings"))
+    seen = read_ledger(spark, ledger, None if begin else rows.select("blob").distinct())
+    seen = seen.select("blob", F.filter("findings", lambda x: F.array_contains(current, F.concat(x["kind"], F.lit("@"), x["version"].cast("string")))).alias("findings"))
     # As a table of its own, so that Spark may split the join where many paths hold one blob.
     return rows.select("path", "blob").join(cut(seen, "findings"), "blob")
 
@@ -111,15 +116,18 @@ def _of(kind: str):
 
 
 def redact(documents: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """documents with every span in findings (blob, findings) replaced by its kind in brackets; spans that overlap become one."""
-    blobs = findings.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).filter(F.size("_findings") > 0).distinct()
-    rows = documents.withColumn("_blob", F.sha2(blank(text), 256)).join(blobs, "_blob", "left")
+    """documents with every span in findings (blob, findings) replaced by its kind in brackets; spans that overlap become one.
+
+    The columns that this needs meanwhile have names that documents doesn't hold."""
+    blob, found = unused(documents, "blob"), unused(documents, "findings")
+    blobs = findings.select(F.col("blob").alias(blob), F.col("findings").alias(found)).filter(F.size(found) > 0).distinct()
+    rows = documents.withColumn(blob, F.sha2(blank(text), 256)).join(blobs, blob, "left")
 
     @F.pandas_udf("string")
-    def cleaned(texts, findings):
-        return __import__("pandas").Series([t if f is None else replaced(t, f) for t, f in zip(texts, findings, strict=True)], dtype=object)
+    def cleaned(texts: pd.Series, findings: pd.Series) -> pd.Series:
+        return pd.Series([t if f is None else replaced(t, f) for t, f in zip(texts, findings, strict=True)], dtype=object)
 
-    return rows.withColumn(text, F.when(F.col("_findings").isNull(), F.col(text)).otherwise(cleaned(F.when(F.col("_findings").isNotNull(), F.col(text)), "_findings"))).drop("_blob", "_findings")
+    return rows.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(cleaned(F.when(F.col(found).isNotNull(), F.col(text)), found))).drop(blob, found)
 
 
 def replaced(text: str, findings) -> str:
