@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import references, text
 from ..operators import aggregates, answers, chunking, index
-from .registry import content, query, tokens
+from .registry import content, fold, query, tokens
 
 
 def _pages(lineitem):
@@ -17,9 +17,16 @@ def _pages(lineitem):
     return rows.groupBy("doc", F.col("part").alias("page")).agg(F.concat(F.lit("Điều 1a. Phần "), F.col("page"), F.lit("\n"), body).alias("text"))
 
 
-@query("lineitem", sql="SELECT 'NĐ ' || l_suppkey AS doc, 'clause' AS kind, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'NĐ ' || l_suppkey, 'article', count(DISTINCT l_partkey) FROM lineitem GROUP BY 1")
+_CLAUSE = "l_linenumber || '. Phạt tiền ' || l_orderkey || ' đồng đối với hành vi ' || l_returnflag"
+_ARTICLE = "'Điều 1a. Phần ' || l_partkey"
+_SUMS = "count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS n_chars, CAST(sum(len(c)) AS BIGINT) AS n_context, min(t) AS first_text, max(t) AS last_text, max(c) AS last_context"
+
+
+@query("lineitem", sql=f"SELECT 'NĐ ' || l_suppkey AS doc, 'clause' AS kind, {_SUMS} FROM (SELECT l_suppkey, {_CLAUSE} AS t, 'Điều 1a. Phần ' || min(l_partkey) OVER (PARTITION BY l_suppkey) AS c FROM lineitem) GROUP BY 1 UNION ALL SELECT 'NĐ ' || l_suppkey, 'article', {_SUMS} FROM (SELECT DISTINCT l_suppkey, {_ARTICLE} AS t, '' AS c FROM lineitem) GROUP BY 1")
 def decree_chunks(lineitem):
-    return chunking.decree_chunks(_pages(lineitem)).groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """All articles of a document have one number here, so the first one's heading is the context of every clause."""
+    out = chunking.decree_chunks(_pages(lineitem)).groupBy("doc", "kind")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.length("context")).alias("n_context"), F.min("text").alias("first_text"), F.max("text").alias("last_text"), F.max("context").alias("last_context"))
 
 
 @query("documents", sql="SELECT source AS doc, count(*) AS n_sections, CAST(min(doc_id) AS BIGINT) AS first_page FROM documents GROUP BY 1")
@@ -28,10 +35,13 @@ def regulation_chunks(documents):
     return chunking.regulation_chunks(pages).groupBy("doc").agg(F.count(F.lit(1)).alias("n_sections"), F.min("page_start").alias("first_page"))
 
 
-@query("documents", sql="SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'regulation' WHEN doc_id % 4 = 1 THEN 'decree' WHEN doc_id % 4 = 2 THEN 'circular' ELSE 'law' END AS kind FROM documents")
+_NAMED = "CASE doc_id % 4 WHEN 0 THEN 'QCVN 41:2024' WHEN 1 THEN 'Nghị định 168/2024/NĐ-CP' WHEN 2 THEN 'Thông tư 35' ELSE 'Luật Đường bộ' END || ' ' || coalesce(text, '')"
+
+
+@query("documents", sql=f"SELECT doc_id, CASE WHEN contains(f, 'qcvn') OR contains(f, 'quy chuan') THEN 'regulation' WHEN contains(f, 'nghi dinh') OR contains(f, 'nd-cp') THEN 'decree' WHEN contains(f, 'thong tu') THEN 'circular' ELSE 'law' END AS kind FROM (SELECT doc_id, {fold(f'({_NAMED})')} AS f FROM documents)")
 def document_router(documents):
-    names = F.array(*map(F.lit, ("QCVN 41:2024", "Nghị định 168/2024/NĐ-CP", "Thông tư 35", "Luật Đường bộ")))
-    return documents.select("doc_id", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("name")).select("doc_id", chunking.document_kind("name").alias("kind"))
+    """Documents by the names that stand before their whole texts."""
+    return documents.selectExpr("doc_id", f"{_NAMED} AS name").select("doc_id", chunking.document_kind("name").alias("kind"))
 
 
 @query("documents", sql=r"WITH l AS (SELECT doc_id, unnest(list_distinct([trim(regexp_replace(x, '^\s*(?:[-*+]|\d+[.)])\s*', '')) for x in string_split_regex(coalesce(text, ''), '\r?\n')])) AS line FROM documents) SELECT doc_id, least(count(*), 24) AS n_claims FROM l WHERE len(line) >= 28 AND line NOT LIKE '#%' AND NOT regexp_matches(line, '^[-:|\s]+$') AND len(string_split(line, '|')) < 3 GROUP BY doc_id")
@@ -54,14 +64,13 @@ def sign_catalog(part):
     return answers.sign_catalog(figures).select("code", "name", F.size("support").alias("n_support"))
 
 
-@query("benchmark")
-def sign_search(benchmark):
-    """Rows only: codes that questions speak for; tests hold them against worked examples."""
-    spark = benchmark.sparkSession
-    catalog = spark.createDataFrame([("P102", "Cấm đi ngược chiều"), ("P122", "Dừng lại"), ("W225", "Trẻ em"), ("R301", "Hướng đi phải theo")], "code string, name string")
+@query("benchmark", "part")
+def sign_search(benchmark, part):
+    """Rows only: codes that questions, before every whole benchmark text, speak for; tests hold them against worked examples."""
+    figures = part.select(F.col("p_partkey").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, ("P. ", "W. ", "R. "))), (F.col("p_partkey") % 3 + 1).cast("int")), 101 + F.col("p_partkey") % 150).alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("quality"))
     asked = F.array(*map(F.lit, ("Biển tròn nền đỏ vạch ngang là gì?", "Biển cảnh báo trẻ em", "Ý nghĩa biển P.122", "Biển stop hình bát giác")))
-    questions = benchmark.select(F.col("item_id").alias("query_id"), F.element_at(asked, (F.col("item_id") % 4 + 1).cast("int")).alias("question"))
-    return answers.find_codes(questions, catalog)
+    questions = benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.element_at(asked, (F.col("item_id") % 4 + 1).cast("int")), "text").alias("question"))
+    return answers.find_codes(questions, answers.sign_catalog(figures).select("code", "name"))
 
 
 @query("benchmark", "documents")
@@ -77,11 +86,17 @@ def fallback_questions(documents):
     return answers.fallback_qa(rows, "body", "citation").groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("documents", sql="SELECT doc_id, CAST(doc_id % 3 <> 0 AS BOOLEAN) AS found FROM documents WHERE len(trim(text)) >= 20")
+_CANON = "trim(regexp_replace(translate(lower({0}), '“”„‟‘’‚‛–—', '\"\"\"\"''--'), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+@query("documents", sql=f"WITH q AS (SELECT d.doc_id, d.text AS t, substring(s.text, CAST(len(s.text) // 2 AS BIGINT), 40) AS quote FROM documents d JOIN documents s ON s.doc_id = CASE WHEN d.doc_id % 2 = 0 THEN d.doc_id ELSE d.doc_id - 1 END WHERE d.text IS NOT NULL AND len(s.text) >= 80) SELECT doc_id, len(quote) >= 8 AND (contains({_CANON.format('t')}, {_CANON.format('quote')}) OR contains({_NORM.format('t')}, {_NORM.format('quote')})) AS found FROM q")
 def quote_audit(documents):
-    rows = documents.filter(F.length(F.trim("text")) >= 20)
-    quote = F.when(F.col("doc_id") % 3 == 0, F.lit("zq xj không có trong nguồn zq")).otherwise(F.substring(F.trim("text"), 1, 20))
-    return rows.select("doc_id", answers.quote_in_source(quote, "text").alias("found"))
+    """Quotes from the middle of a text, sought in that text or in the next document's."""
+    source = documents.select(F.col("doc_id").alias("_s"), F.col("text").alias("_t")).filter(F.length("_t") >= 80)
+    rows = documents.filter("text IS NOT NULL").join(source, F.col("_s") == F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1))
+    quote = F.substring("_t", F.floor(F.length("_t") / 2).cast("int"), F.lit(40))
+    return rows.select("doc_id", "text", quote.alias("quote")).select("doc_id", answers.quote_in_source("quote", "text").alias("found"))
 
 
 @query("documents", "benchmark")
