@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codexine import plans
 from codexine.functions import cleaning, text
-from codexine.operators import assets, audits, sanctions, truth
+from codexine.operators import answers, assets, audits, sanctions, truth
 from codexine.plans import decompose, planner, routes, rules, scoring
 
 
@@ -135,6 +135,14 @@ def test_leakage_against_all_pairs(spark, sf_dir):
     assert got == want
 
 
+def test_fallback_questions(spark):
+    df = spark.createDataFrame([("Hồ sơ gồm đơn đề nghị và giấy khám", "Điều 6", False), ("Hình minh họa của đường hai chiều", "Điều 7", True)], "body string, c string, fig boolean")
+    got = {r["c"]: r for r in answers.fallback_qa(df, "body", "c", has_figure=F.col("fig")).collect()}
+    assert got["Điều 6"]["intent"] == "PROCEDURE" and got["Điều 7"]["intent"] == "SIGN_MEANING" and all(r["validated"] and r["difficulty"] == "EASY" and len(r["search_queries"]) == 2 for r in got.values())
+    row = one(spark, answers.canonical_pair(F.lit(" penalty"), F.lit("?")).alias("p"))["p"]
+    assert tuple(row) == ("PENALTY", "MEDIUM")
+
+
 def test_lists(spark):
     row = one(
         spark, assets.distinct_folded(F.array(F.lit("Đèn  đỏ"), F.lit("den do"), F.lit(""), F.lit("xe"))).alias("a"), assets.allowed(F.array(F.lit("m2"), F.lit("x"), F.lit("m1"), F.lit("m2")), ("m1", "m2")).alias("b"),
