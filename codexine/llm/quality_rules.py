@@ -1,14 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule is a statistic of a document and a cutoff above which the document is rejected. Cutoffs are chosen per
-stratum (language) on labelled documents: of a rule's candidate cutoffs, the lowest whose exact upper binomial bound
-(Clopper-Pearson) on the share of good documents rejected is at most the rule's part of the allowed risk. The bounds
-hold together, as the error probability is divided by the number of all bounds that are computed (Bonferroni). A rule
-without a certified cutoff in a stratum rejects nothing there.
+stratum (language) on labelled documents, in two parts that a hash of the text tells apart. On the first part (one text in
+TUNING) all pairs of a rule and a cutoff are put in an order: those that reject few good documents for each bad one come
+first. On the second part, the holdout, the pairs are taken in that order, and what all pairs so far reject together is
+tested: the exact upper binomial bound (Clopper-Pearson) on the share of good documents rejected must be at most RISK. The
+first failure ends it, so no correction is needed within a stratum (a fixed sequence); the error probability is divided by
+the number of strata (Bonferroni). What was reached holds together for all rules. A rule without a certified cutoff in a
+stratum rejects nothing there.
+
+With no good document rejected, a stratum of n holdout texts needs n >= log(strata / ERROR) / -log(1 - RISK): 217 of them,
+so about 290 labelled good texts, with four strata. Below that nothing is certified there. Equal texts count once, as they
+aren't independent trials; near copies count each, so the bound is as good as they are few.
 
 Defined cases: a null text has no words; a text without words fails the base rules; a null language is a stratum of
 its own; equal rows stay; equal statistics are treated alike (only a statistic above the cutoff rejects); without labels
-no cutoff is certified; a null or repeated label counts as the rows say; extra columns aren't read.
+no cutoff is certified; null labels are left out, and a text is good if any of its labels is 1; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, cut, join_checked, slices, table
+from .common import arrow, blank, cut, join_checked, slices, table
 
 #: White space between words, as bytes: fixed values.
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Good documents that all rules together may reject, and the probability that a stratum's bound doesn't hold.
+#: Good documents that all rules together may reject, and the probability that any stratum's bound doesn't hold.
 RISK, ERROR = 0.02, 0.05
+#: One labelled text in so many only serves to put the cutoffs in order.
+TUNING = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
 #: Statistics, with the candidate cutoffs: fixed grids, so that they don't depend on the data.
 RULES = {
@@ -79,18 +88,19 @@ def counts(text: str) -> tuple[int, ...]:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, text_key (a hash of the text) and COUNTS of every document."""
-    names = ["doc_id", "lang", "text_key", *COUNTS]
+    """doc_id, lang, stratum (which keeps a null language apart), text_key (a hash of the text) and COUNTS of every document."""
+    names = ["doc_id", "lang", "stratum", "text_key", *COUNTS]
 
     def run(batches):
         for part in slices(batches):
             found = [counts(t) for t in part.column("text").to_pylist()]
             columns = zip(*found, strict=True) if found else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("text_key"), *(pa.array(x, pa.int64()) for x in columns)], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), *(pa.array(x, pa.int64()) for x in columns)], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", blank("lang").alias("lang"), blank("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, text_key long, " + ", ".join(f"{x} long" for x in COUNTS))
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    rows = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), stratum.alias("stratum"), F.xxhash64(blank("text")).alias("text_key"), blank("text").alias("text"))
+    return arrow(rows, run, f"doc_id {kind}, lang string, stratum string, text_key long, " + ", ".join(f"{x} long" for x in COUNTS))
 
 
 def statistics() -> dict:
@@ -125,42 +135,76 @@ def upper_bound(failed: int, n: int, error: float) -> float:
     return high
 
 
+TESTS = [(rule, cutoff) for rule, grid in RULES.items() for cutoff in sorted(grid, reverse=True)]
+
+
+def _order(frames):
+    """stratum, and of each of TESTS the good and bad tuning texts it rejects, to the place of each test in the order."""
+    for frame in frames:
+        out = []
+        for row in frame.to_dict("records"):
+            order = sorted(range(len(TESTS)), key=lambda k: ((row[f"g{k}"] + 1) / (row[f"b{k}"] + 1), k))
+            rank = [0] * len(TESTS)
+            for at, k in enumerate(order):
+                rank[k] = at
+            out.append((row["stratum"], rank))
+        yield pd.DataFrame(out, columns=["stratum", "rank"])
+
+
+def certified(rank: list[int], first: dict, n: int, risk: float, error: float) -> list[tuple]:
+    """(rule, cutoff, rejected, bound) of the tests in their order, until the bound on what all reject together is above risk.
+
+    first: how many good holdout texts the test of each place is the first to reject."""
+    out, failed = [], 0
+    for at, k in enumerate(sorted(range(len(TESTS)), key=rank.__getitem__)):
+        failed += first.get(at, 0)
+        bound = upper_bound(failed, n, error)
+        if bound > risk:
+            break
+        out.append((*TESTS[k], failed, bound))
+    return out
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """lang, rule, cutoff, n_good, n_rejected, bound: the certified cutoffs, from the counts of all labelled documents."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    rows = stats.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [(r, c) for r, grid in RULES.items() for c in grid]
+    """stratum, rule, cutoff, n_good, n_rejected (by all rules up to this cutoff), bound: the certified cutoffs.
+
+    All labelled texts count; what goes beyond aggregates is one row for each stratum."""
+    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("good"))
     columns = statistics()
-    rows = rows.select("lang", *[columns[r].alias(r) for r in RULES])
-    table_of = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_good"), *[F.count_if(F.col(r) > c).alias(f"t{k}") for k, (r, c) in enumerate(tests)])
-    table_of = table_of.withColumn("strata", F.lit(1))
-    n_strata = table_of.agg(F.count(F.lit(1)).alias("n_strata"), F.lit(1).alias("strata"))
-    table_of = table_of.join(F.broadcast(n_strata), "strata").drop("strata")  # one row
+    texts = stats.filter(~base_failed()).join(marks, "doc_id").select("stratum", "text_key", "good", *[columns[r].alias(r) for r in RULES])
+    texts = cut(texts.groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *[F.max(r).alias(r) for r in RULES]), "labelled")
+    tuning = F.pmod(F.xxhash64("text_key", F.lit("tuning")), F.lit(TUNING)) == 0
+    fires = [F.col(r) > c for r, c in TESTS]
+    # A stratum without tuning texts still gets an order.
+    of_tuning = [F.count_if(tuning & f & (F.col("good") == mark)).alias(f"{name}{k}") for k, f in enumerate(fires) for name, mark in (("g", 1), ("b", 0))]
+    order = cut(texts.groupBy("stratum").agg(*of_tuning).mapInPandas(_order, "stratum string, rank array<int>"), "order")
+    held = join_checked(texts.filter(~tuning & (F.col("good") == 1)), order, ["stratum"])
+    first = F.array_min(F.array(*[F.when(f, F.get("rank", F.lit(k))) for k, f in enumerate(fires)]))
+    counted = held.groupBy("stratum", "rank", F.coalesce(first, F.lit(len(TESTS))).alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    of_stratum = counted.groupBy("stratum", "rank").agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("first"), F.sum("n").alias("n_good"))
+    n_strata = of_stratum.agg(F.count(F.lit(1)).alias("n_strata"))
 
     def certify(frames):
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                each = error / (row["n_strata"] * len(tests))
-                chosen: dict = {}
-                for k, (rule, cutoff) in enumerate(tests):
-                    bound = upper_bound(row[f"t{k}"], row["n_good"], each)
-                    if bound <= risk / len(RULES) and rule not in chosen:
-                        chosen[rule] = (row["lang"], rule, cutoff, row["n_good"], row[f"t{k}"], bound)
-                out += chosen.values()
-            yield pd.DataFrame(out, columns=["lang", "rule", "cutoff", "n_good", "n_rejected", "bound"])
+                found = certified(list(row["rank"]), dict(row["first"]), row["n_good"], risk, error / row["n_strata"])
+                strictest = {rule: (cutoff, failed, bound) for rule, cutoff, failed, bound in sorted(found, key=lambda x: -x[1])}
+                out += [(row["stratum"], rule, cutoff, row["n_good"], failed, bound) for rule, (cutoff, failed, bound) in strictest.items()]
+            yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "n_rejected", "bound"])
 
-    return table_of.mapInPandas(certify, "lang string, rule string, cutoff double, n_good long, n_rejected long, bound double")
+    of_stratum = of_stratum.withColumn("one", F.lit(1)).join(F.broadcast(n_strata.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    return of_stratum.mapInPandas(certify, "stratum string, rule string, cutoff double, n_good long, n_rejected long, bound double")
 
 
 def judge(documents: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """doc_id, lang, text_key, COUNTS, base_failed, kept, and rejected_by: the rules whose cutoff the document exceeds."""
     stats = cut(measured(documents), "statistics")
-    chosen = thresholds(stats, labels, risk, error).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    rows = join_checked(stats, cut(chosen, "cutoffs"), ["lang"], "left")
+    chosen = thresholds(stats, labels, risk, error).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    rows = join_checked(stats, cut(chosen, "cutoffs"), ["stratum"], "left")
     broken = [F.when(column > F.col("cutoffs")[rule], F.lit(rule)) for rule, column in statistics().items()]
     rows = rows.withColumn("rejected_by", F.array_compact(F.array(*broken))).withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs", "stratum")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
