@@ -276,6 +276,38 @@ def stream_upsert(spark, sf_dir):
     return store.current(spark, out)
 
 
+def stream_windows(spark, sf_dir):
+    """Events by hour and type, counted by a stream; of each window the last count that the stream gave."""
+    from ..sources import readers
+
+    out, place = store.fresh_path(spark, "windows"), store.fresh_path(spark, "state")
+    (table,) = readers.tables(spark, sf_dir, "events")
+    # Watermarks need times of a zone; the session's is used both ways.
+    stream = spark.readStream.schema(table.schema).parquet(_folder(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def keep(batch, n):
+        batch.select(F.col("window.start").alias("start"), "event_type", "n", F.lit(n).alias("batch")).write.mode("append").parquet(out)
+
+    incremental.windowed_counts(stream, "ts", "event_type").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+def stream_enrich(spark, sf_dir):
+    """Documents enriched by a stream that leaves out what was done with the same text."""
+    from ..sources import readers
+
+    out, place = store.fresh_path(spark, "enriched"), store.fresh_path(spark, "state")
+    (table,) = readers.tables(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(table.schema).parquet(_folder(spark, sf_dir, "documents")).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    incremental.enrich_stream(stream, lambda df: df.select("doc_id", "digest", F.size(text.tokens("text")).alias("n_tokens")), out, "doc_id", "digest", place).awaitTermination()
+    return spark.read.parquet(out)
+
+
+QUERIES["stream_windows"] = stream_windows
+SQL["stream_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+QUERIES["stream_enrich"] = stream_enrich
+SQL["stream_enrich"] = f"SELECT doc_id, sha256(coalesce(text, '')) AS digest, CAST(len({tokens('text')}) AS INTEGER) AS n_tokens FROM documents"
 QUERIES["stream_last_turns"] = stream_last_turns
 SQL["stream_last_turns"] = "SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8"
 QUERIES["stream_upsert"] = stream_upsert
