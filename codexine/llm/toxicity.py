@@ -3,8 +3,8 @@
 Each word of a document is tagged clean or toxic. Labelled tokens come from labelled documents: in a toxic document, the
 words with a feature (the word, or its beginning) that toxic documents have and clean ones don't, beyond chance. The
 field has weights for a word's features and for pairs of neighbouring tags, fitted by gradient ascent on the
-likelihood with forward-backward sums. A document's score is a logistic function of its words' toxic marginals; words
-whose marginal is at least a half are offending spans, in code points. Chains have at most CHAIN words.
+likelihood with forward-backward sums. A document is one chain, whatever its length. Its score is a logistic function of
+its words' toxic marginals; words whose marginal is at least a half are offending spans, in code points.
 
 The field is fitted on a bounded sample of labelled documents of the training folds: at most SAMPLE toxic and twice as
 many clean ones of at most SAMPLE_CHARS characters, the first by a hash of their id. Every document is scored whole.
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, held_out, slices, table
+from .common import arrow, blank, cut, held_out, slices, table
 
 FOLDS, HELD = 3, 1
 SAMPLE, SAMPLE_CHARS = 800, 20_000
-CHAIN, STEPS, CUT = 64, 60, 0.7
+#: Words of a part of a chain: parts run side by side.
+PART = 64
+STEPS, CUT = 60, 0.7
 CACHE = 400_000
 _EDGE = ".,;:!?\"'()[]{}*#&%$|<>-…"
 _WORD = re.compile(r"\S+")
@@ -46,46 +48,77 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, sums: bool = False
     """Toxic marginals of chains x places; with sums, also the log of Z and the expected pairs of tags.
 
     emissions: the toxic tag's weight over the clean one's, nan after a chain's end."""
-    chains, places = emissions.shape
     real = ~np.isnan(emissions)
-    toxic = np.exp(np.clip(np.where(real, emissions, 0), -30, 30))
-    step = np.exp(transitions)
-    forward, scale = np.empty((places, 2, chains)), np.ones((places, chains))
-    for t in range(places):
-        if t:
-            a, b = forward[t - 1]
-            now = np.stack([a * step[0, 0] + b * step[1, 0], (a * step[0, 1] + b * step[1, 1]) * toxic[:, t]])
-        else:
-            now = np.stack([np.ones(chains), toxic[:, 0]])
-        scale[t] = now.sum(0)
-        now /= scale[t]
-        forward[t] = np.where(real[:, t], now, forward[t - 1] if t else now)
-    out, backward = np.empty((places, chains)), np.ones((2, chains))
-    pairs = np.zeros((2, 2))
-    for t in range(places - 1, -1, -1):
-        joint = forward[t] * backward
-        out[t] = joint[1] / joint.sum(0)
-        if t:
-            seen = np.stack([backward[0], backward[1] * toxic[:, t]])
-            if sums:
-                each = forward[t - 1][:, None, :] * step[:, :, None] * seen[None]
-                pairs += (each / each.sum((0, 1)))[:, :, real[:, t]].sum(2)
-            back = np.stack([step[0, 0] * seen[0] + step[0, 1] * seen[1], step[1, 0] * seen[0] + step[1, 1] * seen[1]])
-            backward = np.where(real[:, t], back / back.sum(0), backward)
-    return (out.T, np.log(scale)[real.T].sum(), pairs) if sums else out.T
-
-
-def chained(values: np.ndarray, ends: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all documents as chains x places, filled with nan; and where each value stands there."""
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, int)
-    lengths = ends - starts
-    n_chains = -(-lengths // chain)
-    first = np.cumsum(n_chains) - n_chains
-    place = np.arange(len(values)) - np.repeat(starts, lengths)
-    cells = (np.repeat(first, lengths) + place // chain) * chain + place % chain
-    out = np.full(int(n_chains.sum()) * chain, np.nan)
-    out[cells] = values
-    return out.reshape(-1, chain), cells
+    found = flat_marginals(emissions[real], np.cumsum(real.sum(1)), transitions, sums)
+    out = np.zeros(emissions.shape)
+    out[real] = found[0] if sums else found
+    return (out, *found[1:]) if sums else out
+
+
+def flat_marginals(emissions: np.ndarray, ends: np.ndarray, transitions: np.ndarray, sums: bool = False, part: int = PART):
+    """Toxic marginals of the words of whole chains, one after another; ends: where each chain ends.
+
+    A chain of any length is worked on in parts that run side by side. The product of a part's transfer matrices carries
+    the messages over it, so that each part begins and ends with those of the whole chain: the marginals are exact."""
+    lengths = np.diff(ends, prepend=0)
+    n_parts = -(-lengths // part)
+    total = int(n_parts.sum())
+    if not total:
+        return (emissions, 0.0, np.zeros((2, 2))) if sums else emissions
+    first = np.cumsum(n_parts) - n_parts
+    place = np.arange(len(emissions)) - np.repeat(ends - lengths, lengths)
+    row, at = np.repeat(first, lengths) + place // part, place % part
+    odds, real = np.ones((part, total)), np.zeros((part, total), bool)
+    odds[at, row], real[at, row] = np.exp(np.clip(emissions, -30, 30)), True
+    starts = np.zeros(total, bool)
+    starts[first[n_parts > 0]] = True
+    (s00, s01), (s10, s11) = np.exp(transitions)
+    # carry[a, b]: from tag a before a part to tag b at its end, but for a factor. A chain's first word has no transition.
+    carry = np.zeros((2, 2, total))
+    carry[0, 0] = carry[1, 1] = 1
+    if n_parts.max() > 1:
+        for t in range(part):
+            x = odds[t]
+            a, b, c, d = carry[0, 0], carry[0, 1], carry[1, 0], carry[1, 1]
+            now = np.stack([a * s00 + b * s10, (a * s01 + b * s11) * x, c * s00 + d * s10, (c * s01 + d * s11) * x]).reshape(2, 2, total)
+            if t == 0:
+                now[:, 0, starts], now[:, 1, starts] = 1, x[starts]
+            carry = np.where(real[t], now / now.sum((0, 1)), carry)
+    # Messages as odds of toxic over clean: before each part, and after its last word.
+    before, after = np.ones(total), np.ones(total)
+    order = np.argsort(-n_parts, kind="stable")
+    many = np.searchsorted(-n_parts[order], -np.arange(1, n_parts.max() + 1), "right")  # chains of so many parts and more
+    for k in range(1, int(n_parts.max())):
+        own = first[order[: many[k]]] + k
+        a, b, c, d = carry[0, 0, own - 1], carry[0, 1, own - 1], carry[1, 0, own - 1], carry[1, 1, own - 1]
+        before[own] = (b + before[own - 1] * d) / (a + before[own - 1] * c)
+    for k in range(int(n_parts.max()) - 1, 0, -1):
+        own = first[order[: many[k]]] + k
+        a, b, c, d = carry[0, 0, own], carry[0, 1, own], carry[1, 0, own], carry[1, 1, own]
+        after[own - 1] = (c + after[own] * d) / (a + after[own] * b)
+    forward, backward = np.empty((part, total)), np.empty((part, total))
+    now = before
+    for t in range(part):
+        step = (s01 + now * s11) / (s00 + now * s10) * odds[t]
+        forward[t] = now = np.where(starts, odds[t], step) if t == 0 else step
+    now = after
+    for t in range(part - 1, -1, -1):
+        backward[t] = now
+        x = odds[t] * now
+        now = np.where(real[t], (s10 + s11 * x) / (s00 + s01 * x), now)
+    f, b = forward[at, row], backward[at, row]
+    out = f * b / (1 + f * b)
+    if not sums:
+        return out
+    f_before = np.concatenate([[1.0], f[:-1]])
+    inner = place > 0
+    f_before, x, b_own = f_before[inner], odds[at, row][inner], b[inner]
+    each = np.stack([np.full(len(x), s00), s01 * x * b_own, f_before * s10, f_before * s11 * x * b_own])
+    pairs = (each / each.sum(0)).sum(1).reshape(2, 2)
+    # Z as the product of what each word adds: the sum of its forward message, given the one before as a distribution.
+    share = f_before / (1 + f_before)
+    z = np.log(1 + odds[at, row][place == 0]).sum() + np.log((1 - share) * (s00 + s01 * x) + share * (s10 + s11 * x)).sum()
+    return out, z, pairs
 
 
 class Field:
@@ -111,8 +144,7 @@ class Field:
         words = [t.split() for t in texts]
         ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, int)
         e = np.fromiter((self.emission(w) for x in words for w in x), float, int(ends[-1]) if len(ends) else 0)
-        cells, at = chained(e, ends)
-        return (marginals(cells, self.transitions).ravel()[at] if len(e) else e), ends
+        return flat_marginals(e, ends, self.transitions), ends
 
     def summary(self, marginal: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each document 1, the log odds of its most toxic word, and the log of one more than the expected toxic words."""
@@ -191,11 +223,10 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
     lengths = np.array([len(x) for x in words])
     gold = marked[flat] & np.repeat(toxic > 0, lengths)
     ends = np.cumsum(lengths)
-    cells_of = lambda v: chained(v.astype(float), ends)
-    gold_cells, at = cells_of(gold)
-    both = ~np.isnan(gold_cells[:, 1:])
-    pair = lambda a, b: float(((gold_cells[:, :-1] == a) & (gold_cells[:, 1:] == b) & both).sum())
-    gold_pairs = np.array([[pair(0, 0), pair(0, 1)], [pair(1, 0), pair(1, 1)]])
+    inner = np.ones(len(flat), bool)
+    inner[(ends - lengths)[lengths > 0]] = False
+    inner = np.flatnonzero(inner)
+    gold_pairs = np.bincount(2 * gold[inner - 1].astype(int) + gold[inner], minlength=4).reshape(2, 2).astype(float)
     gold_words = np.bincount(flat, gold, len(distinct) + 1)
     n = max(1, len(flat))
     theta = np.zeros(len(ids) + 1 + 1 + 4)
@@ -203,8 +234,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
     for step in range(1, steps + 1):
         w, bias, transitions = theta[: len(ids) + 1], theta[len(ids) + 1], theta[-4:].reshape(2, 2)
         emission = (w[grid].sum(1) + bias)[flat]
-        p, _, pairs = marginals(chained(emission, ends)[0], transitions, True)
-        by_word = gold_words - np.bincount(flat, p.ravel()[at], len(distinct) + 1)
+        p, _, pairs = flat_marginals(emission, ends, transitions, True)
+        by_word = gold_words - np.bincount(flat, p, len(distinct) + 1)
         slope = np.zeros_like(theta)
         slope[: len(ids) + 1] = np.bincount(grid.ravel(), np.repeat(by_word, most), len(ids) + 1)
         slope[len(ids)] = 0  # the place of features that a word hasn't
@@ -231,11 +262,13 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Field:
 def sample(documents: DataFrame, labels: DataFrame, train, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """The bounded sample that a field is fitted on."""
     rows = documents.select("doc_id", blank("text").alias("text")).filter(F.length("text") <= chars)
+    marked = labels.filter(train & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+    # Only labels of documents that are there and short enough count towards the bound.
+    known = cut(rows.select("doc_id").join(marked, "doc_id").distinct(), "labelled")
     texts, marks = [], []
     for mark, most in ((1, size), (0, 2 * size)):
-        of = labels.filter(train & (F.col("toxic") == mark)).select("doc_id").distinct()
         # The ids are chosen first, so that only their texts are moved.
-        first = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+        first = known.filter(F.col("toxic") == mark).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         found = rows.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
         own = [r["text"] for r in found.select("text").collect()]
         texts += own
@@ -265,7 +298,7 @@ def score(documents: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, spans)], ["doc_id", "score", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long,marginal:double>>")
+    return arrow(documents.select("doc_id", blank("text").alias("text")), run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long,marginal:double>>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
