@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WORD, encoder, vocabulary
-from .common import blank, cut, slices, table
+from .common import arrow, blank, cut, slices, table
 
 WINDOW = 2048
 END_ID = 1
@@ -126,7 +126,7 @@ def pieces(documents: DataFrame, window: int = WINDOW, path: str | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], part.schema.field("doc_id").type), *(pa.array(x, pa.int64()) for x in rows[1:])], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow(documents.select("doc_id", blank("text").alias("text")), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(parts: DataFrame, window: int = WINDOW, bin_size: int = BIN) -> DataFrame:
@@ -134,14 +134,15 @@ def pack(parts: DataFrame, window: int = WINDOW, bin_size: int = BIN) -> DataFra
     parts = cut(parts, "pieces")
     bins = max(1, -(-parts.count() // bin_size))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         windows, offsets = best_fit(frame["length"].tolist(), window)
         frame["sequence_id"] = np.array(windows, np.int64) + (int(key[0]) << 32)
         frame["offset"] = np.array(offsets, np.int64)
         return frame.drop(columns="bin")
 
-    binned = parts.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    # A row's place in the table tells equal pieces apart, so many of them don't meet in a bin.
+    binned = parts.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(bins)))
     out = ", ".join(f"{n} {t}" for n, t in parts.dtypes)
     return binned.groupBy("bin").applyInPandas(run, f"{out}, sequence_id long, offset long")
 
