@@ -7,7 +7,7 @@ one conversation. The messages are rendered with a template that marks roles and
 escaped, so the turns can be read back from the output exactly.
 
 Defined cases: a null text is the empty text, a null role the empty role, a null conversation a conversation; null
-sequences come first; events that tie are put in order by kind, role and text; equal rows count each; a conversation
+sequences come first; events that tie are put in order by kind, role and text, and turns of one number, each by itself, by role and text; equal rows count each; a conversation
 without messages isn't in the output; other columns aren't read.
 """
 
@@ -23,6 +23,8 @@ BEGIN, HEAD, END = "<s>[", "]\n", "</s>"
 #: What can't stand in a text or role as it is. The first is replaced first and put back last.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"), ("]", "&rb;"))
 TRAINED = "assistant"
+#: Characters of a delta.
+DELTA = 1024
 
 
 def escape(text: Column) -> Column:
@@ -94,11 +96,14 @@ def masked(formatted: Column, mask: Column) -> Column:
     return F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int"))))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: one delta for each row."""
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("seq"), F.lit("delta").alias("kind"), blank("role").alias("role"), blank("text").alias("text"))
+def events_of(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
+    """A table of whole turns as a log: each turn is streamed as deltas of at most so many characters, in sequence."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text"))
     # Each row is a message of its own, even if a turn comes twice.
-    return rows.withColumn("message", F.struct("seq", F.monotonically_increasing_id().alias("row")))
+    rows = rows.withColumn("message", F.struct("turn", F.monotonically_increasing_id().alias("row")))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest((F.ceil(F.length("text") / delta) - 1).cast("int"), F.lit(0)))))
+    piece = F.substring("text", F.col("part") * delta + 1, F.lit(delta))
+    return rows.select("conv_id", F.struct("turn", "part").alias("seq"), F.lit("delta").alias("kind"), "role", piece.alias("text"), "message")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
