@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow, cut, table
 
 K, SCALE, EVERY = 20, 64, 20
 BLOCK, GROUP, PACK = 128, 4096, 1024
@@ -60,7 +60,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         if ids:
             yield out(size)
 
-    return rows.sortWithinPartitions("vec_id").mapInArrow(run, _PACKED)
+    return arrow(rows.sortWithinPartitions("vec_id"), run, _PACKED)
 
 
 def _matrix(row) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, group: int = GROUP, pack: in
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[place], pa.int64()), pa.array(place + row["q"] * pack, pa.int64()), pa.array(vec_ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "asked", "vec_id", "score"])
 
     cells = groups.join(asked, ["g", "q"])
-    found = cells.mapInArrow(run, "query_id long, asked long, vec_id long, score long")
+    found = arrow(cells, run, "query_id long, asked long, vec_id long, score long")
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
