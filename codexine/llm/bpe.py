@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, slices, table
+from .common import arrow, blank, slices, table
 
 BLOCK = 1 << 16
 CACHE = 400_000
@@ -272,7 +272,7 @@ def encode_decode(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(["".join(own.decode(x)) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return arrow(documents.select("doc_id", blank("text").alias("text")), run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -298,7 +298,7 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", blank("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow(documents.select("doc_id", blank("text").alias("text")), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
