@@ -192,6 +192,10 @@ class Encoder:
             at = m.end()
         yield from self._plain(text, at, len(text), block)
 
+    def plain(self, text: str, block: int = BLOCK) -> Iterator[bytes]:
+        """The ids where the strings of special tokens are plain text."""
+        return self._plain(text, 0, len(text), block)
+
     def _plain(self, text: str, at: int, end: int, block: int) -> Iterator[bytes]:
         cache, word = self.cache, self.word
         while end - at > block + 8:

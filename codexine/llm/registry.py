@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, toxicity, vector_topk
+from . import bpe, chat_format, conversation_repair, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, simhash, token_alignment, toxicity, vector_topk
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLE_SQL = {"op5_vector_topk": vector_topk.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
