@@ -165,16 +165,6 @@ def gate(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count_if(~F.coalesce("passed", F.lit(False))).alias("n_failed"), F.array_sort(F.array_compact(F.collect_set(F.when(~F.coalesce("passed", F.lit(False)), F.col("name"))))).alias("failed"))
 
 
-def leakage(rows: DataFrame, id_column: str, words: str, least: float = 0.88, one_in: int = 5) -> DataFrame:
-    """test_id, train_id, similarity: rows of a split of one in so many that are nearly the same as a row outside it."""
-    from . import evaluation
-
-    pairs = evaluation.near_pairs(rows, id_column, words, least)
-    held = lambda c: F.pmod(F.xxhash64(c), F.lit(one_in)) == 0
-    across = pairs.filter(held("a") != held("b"))
-    return across.select(F.when(held("a"), F.col("a")).otherwise(F.col("b")).alias("test_id"), F.when(held("a"), F.col("b")).otherwise(F.col("a")).alias("train_id"), "similarity")
-
-
 def topic_counts(rows: DataFrame, topics: dict[str, tuple[str, ...]], body: str = "text") -> DataFrame:
     """topic, n: rows whose folded text holds one of the topic's terms."""
     found = rows.select(F.explode(F.array_compact(F.array(*[F.when(text.contains_any(text.fold(body), terms), F.lit(name)) for name, terms in topics.items()]))).alias("topic"))

@@ -44,10 +44,6 @@ def hierarchy(rows: DataFrame, levels: list[tuple[str, str]]) -> tuple[DataFrame
     return out_nodes, out_edges
 
 
-#: Nodes that one reference may stand for: a fixed value.
-PER_REFERENCE = 24
-
-
 def reference_keys(document, article, clause, point) -> tuple[Column, Column]:
     """A node's keys with its document (of itself and of the levels above it) and without, the longest first."""
     named = lambda letter, c: F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.concat(F.lit(letter), F.col(c)))
@@ -58,17 +54,17 @@ def reference_keys(document, article, clause, point) -> tuple[Column, Column]:
     return F.array_distinct(whole), F.array_distinct(bare)
 
 
-def resolve_targets(edges: DataFrame, nodes: DataFrame, most: int = PER_REFERENCE) -> DataFrame:
+def resolve_targets(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """Edges with target_ref in place of a target, one for each node that the reference stands for; those without any are dropped.
 
     The first of these that finds nodes counts: nodes of exactly that key, nodes below it, and, whatever the document, nodes
-    of the longest part of it. nodes: id, document, article, clause, point. Each step is an equal join on keys."""
+    of the longest part of it. nodes: id, document, article, clause, point. Each step is an equal join on keys. most: of each
+    reference only the first so many nodes by id; all, if it isn't given."""
     whole, bare = reference_keys("document", "article", "clause", "point")
     keyed = nodes.select("id", whole.alias("_whole"), bare.alias("_bare"))
     with_document = keyed.select("id", F.posexplode("_whole").alias("_at", "_key")).select("id", "_key", F.when(F.col("_at") == 0, 0).otherwise(1).alias("_tier"))
     without = keyed.select("id", F.explode("_bare").alias("_key"))
-    # Of each key the first few nodes, so that no key brings more rows than count.
-    first = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
+    first = lambda df, *by: df if most is None else df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
     asked = edges.filter("target IS NULL AND target_ref IS NOT NULL").select("target_ref").distinct()
     hits = asked.join(first(with_document, "_key", "_tier"), F.col("target_ref") == F.col("_key")).select("target_ref", "id", "_tier")
     parts = F.filter(F.split(F.regexp_replace("target_ref", r"^[^|]*\|?", ""), r"\|", -1), lambda x: x != "")
@@ -153,20 +149,22 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | No
     return reached.orderBy("cost", "hops", "id").limit(most) if most else reached
 
 
-def expand_hits(hits: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None, per_query: int = 200) -> DataFrame:
+def expand_hits(hits: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None, per_query: int | None = None) -> DataFrame:
     """query_id, id, score of the nodes around each query's hits (query_id, id, score), which aren't hits themselves: the cheapest
-    path of at most so many hops from any hit, and a score from the best hit's. Each query keeps its cheapest few."""
+    path of at most so many hops from any hit, and a score from the best hit's. per_query: each query keeps its cheapest so many;
+    all, if it isn't given."""
     around = cut(neighbours(edges, kinds), "around")
     reached = cut(hits.select("query_id", "id", F.lit(0.0).alias("cost")).distinct(), "reached")
     front = reached
-    nearest = Window.partitionBy("query_id").orderBy("cost", "id")
     for _ in range(depth):
         step = front.join(around, front["id"] == around["a"]).groupBy("query_id", F.col("b").alias("id")).agg(F.min(front["cost"] + around["cost"]).alias("cost"))
         better = step.join(reached.select("query_id", "id", F.col("cost").alias("old")), ["query_id", "id"], "left").filter("old IS NULL OR cost < old").drop("old")
         front = cut(better, "front")
         reached = cut(reached.unionByName(front).groupBy("query_id", "id").agg(F.min("cost").alias("cost")), "reached")
     best = hits.groupBy("query_id").agg(F.max("score").alias("_best"))
-    new = reached.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= per_query)
+    new = reached.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    if per_query is not None:
+        new = new.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "id"))).filter(F.col("_nth") <= per_query)
     score = F.greatest(F.lit(0.9), F.least(F.col("_best") - 0.22 * F.col("cost"), F.greatest(F.lit(1.8), 0.72 * F.col("_best"))))
     return new.join(best, "query_id").select("query_id", "id", score.alias("score"))
 

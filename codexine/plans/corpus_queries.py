@@ -29,10 +29,25 @@ def decree_chunks(lineitem):
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.length("context")).alias("n_context"), F.min("text").alias("first_text"), F.max("text").alias("last_text"), F.max("context").alias("last_context"))
 
 
-@query("documents", sql="SELECT source AS doc, count(*) AS n_sections, CAST(min(doc_id) AS BIGINT) AS first_page FROM documents GROUP BY 1")
+_HEADED = "CASE WHEN doc_id % 3 = 0 THEN 'Phụ lục ' || doc_id % 7 ELSE (doc_id % 9) || '.' || (doc_id % 4) || ' Phần mở đầu' END || chr(10) || replace(coalesce(text, ''), '. ', '.' || chr(10) || (doc_id % 5) || ' ')"
+
+
+@query(
+    "documents",
+    sql=rf"""
+WITH t AS (SELECT source AS doc, doc_id AS page, string_split({_HEADED}, chr(10)) AS l FROM documents), l AS (SELECT doc, page, unnest(range(len(l))) AS pos, unnest(l) AS line FROM t),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*(?:#\s*)?[pP][hH][ụỤ]\s+[lL][ụỤ][cC]\s+[a-zA-ZđĐ\d]+\b') THEN 'PL ' || upper(regexp_extract(line, '[cC]\s+([a-zA-ZđĐ\d]+)', 1)) ELSE nullif(regexp_extract(line, '^\s*(?:#\s*)?(\d+(?:\.\d+){{0,2}})\.?\s+\p{{Lu}}', 1), '') END AS head FROM l WHERE trim(line) <> ''),
+i AS (SELECT *, count(head) OVER (PARTITION BY doc ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS island FROM h),
+s AS (SELECT doc, island, max(head) AS section, min(page) AS page_start, max(page) AS page_end, string_agg(line, chr(10) ORDER BY page, pos) AS text FROM i GROUP BY 1, 2)
+SELECT doc, section, count(*) AS n_sections, min(page_start) AS first_page, max(page_end) AS last_page, CAST(sum(len(text)) AS BIGINT) AS n_chars FROM s WHERE len(string_split_regex(trim(text), '\s+')) >= 3 GROUP BY 1, 2
+""",
+)
 def regulation_chunks(documents):
-    pages = documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(F.lit("1.2 Phần mở đầu\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^\s*(#\s*)?\d", "x")).alias("text"))
-    return chunking.regulation_chunks(pages).groupBy("doc").agg(F.count(F.lit(1)).alias("n_sections"), F.min("page_start").alias("first_page"))
+    """Whole texts as pages of their source: each begins with a heading or an appendix, and its sentences with a number, which is a
+    heading where a capital follows."""
+    pages = documents.selectExpr("source AS doc", "doc_id AS page", f"{_HEADED} AS text")
+    out = chunking.regulation_chunks(pages).groupBy("doc", "section")
+    return out.agg(F.count(F.lit(1)).alias("n_sections"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.sum(F.length("text")).alias("n_chars"))
 
 
 _NAMED = "CASE doc_id % 4 WHEN 0 THEN 'QCVN 41:2024' WHEN 1 THEN 'Nghị định 168/2024/NĐ-CP' WHEN 2 THEN 'Thông tư 35' ELSE 'Luật Đường bộ' END || ' ' || coalesce(text, '')"

@@ -53,10 +53,8 @@ def route_document_overview(orders, benchmark):
     sql=f"""WITH {_REC} SELECT item_id AS query_id, id FROM benchmark JOIN rec ON id % 50 = 0 WHERE item_id % 8 = 5""",
 )
 def route_sign(orders, benchmark):
-    """The rows of the codes that questions name; all of them are asked for, so that every hit by a code stays."""
-    # Texts are made distinct, so that none is left out as a copy.
-    rows = corpus(orders).withColumn("rag_text", F.concat_ws(" ", F.col("id").cast("string"), "rag_text"))
-    return routes.sign(rows, asked(benchmark), 10_000).filter(F.array_contains("reasons", "sign_code")).select("query_id", "id")
+    """All rows of the codes that questions name."""
+    return routes.coded(corpus(orders), asked(benchmark)).select("query_id", "id")
 
 
 @query("benchmark")

@@ -92,15 +92,14 @@ def _finished(full: DataFrame, k: int) -> DataFrame:
     return index.top_k(reranked(deduped(full, ["document", "article", "clause", "point"])).select("query_id", "id", "score", "reasons"), k)
 
 
-def behaviour_rows(rows: DataFrame, most: int = 120) -> DataFrame:
-    """behaviour, article, id, score, reason of the rows of the penalty decree that are about a behaviour, and of the clauses
-    above them. Of each behaviour and article the first few by id, so the table is bounded whatever the corpus."""
+def behaviour_rows(rows: DataFrame) -> DataFrame:
+    """behaviour, article, id, score, reason of all rows of the penalty decree that are about a behaviour, and of the clauses above them."""
     inside = rows.filter(F.contains(text.fold("document"), F.lit("nghi dinh 168")) & F.col("article").isin(*rules.RULE_ARTICLES.values()))
     own = inside.select("id", "document", "article", "clause", "point", F.explode(scoring.shown(text.fold("rag_text"))).alias("behaviour"))
-    first = own.withColumn("_nth", F.row_number().over(Window.partitionBy("behaviour", "article").orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
     above = inside.filter((F.coalesce("point", F.lit("")) == "") & (F.coalesce("clause", F.lit("")) != "")).select("document", "article", "clause", F.col("id").alias("above"))
-    parents = first.filter(F.coalesce("point", F.lit("")) != "").join(above, ["document", "article", "clause"]).select("behaviour", "article", F.col("above").alias("id"), F.lit(6.5).alias("score"), F.lit("behavior_clause_context").alias("reason")).distinct()
-    return first.select("behaviour", "article", "id", F.lit(9.0).alias("score"), F.lit("behavior_anchor").alias("reason")).unionByName(parents)
+    held = own.filter(F.coalesce("point", F.lit("")) != "").select("behaviour", "document", "article", "clause").distinct()
+    parents = held.join(above, ["document", "article", "clause"]).select("behaviour", "article", F.col("above").alias("id"), F.lit(6.5).alias("score"), F.lit("behavior_clause_context").alias("reason")).distinct()
+    return own.select("behaviour", "article", "id", F.lit(9.0).alias("score"), F.lit("behavior_anchor").alias("reason")).unionByName(parents)
 
 
 def _scoped(full: DataFrame, inside: Column, add: float = 0.0) -> DataFrame:
@@ -121,10 +120,9 @@ def penalty(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> Da
     article = F.create_map(*[F.lit(x) for pair in rules.RULE_ARTICLES.items() for x in pair])
     own = F.get(F.transform(F.array("vehicle"), lambda v: article[v]), F.lit(0))
     acts = acts.filter(F.col("vehicle").isNull() | (F.col("article") == own)).withColumn("score", F.col("score") + F.when(F.col("vehicle").isNotNull() & (F.col("score") == 9.0), 1.0).otherwise(0.0))
-    acts = acts.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("_nth <= 120").select("query_id", "id", "score", F.array("reason").alias("reasons"))
+    acts = acts.select("query_id", "id", "score", F.array("reason").alias("reasons"))
     wide = F.create_map(*[y for v, a in rules.VEHICLE_ARTICLES.items() for y in (F.lit(v), F.array(*map(F.lit, a)))])
-    # Of each article the first few rows: they only come in with a small score, and boosts that hold for the article.
-    of_article = rows.filter(F.contains(text.fold("document"), F.lit("nghi dinh 168"))).select("id", "article").withColumn("_nth", F.row_number().over(Window.partitionBy("article").orderBy("id"))).filter("_nth <= 120").drop("_nth")
+    of_article = rows.filter(F.contains(text.fold("document"), F.lit("nghi dinh 168"))).select("id", "article")
     articles = F.when(known, F.array(own)).otherwise(F.get(F.transform(F.array("vehicle"), lambda v: wide[v]), F.lit(0)))
     here = (F.size("meant") == 0) | F.array_contains("meant", rules.PENALTY_DOCUMENT)
     prefix = asked.filter(F.col("vehicle").isNotNull() & here).select("query_id", F.explode(articles).alias("article")).join(of_article, "article").select("query_id", "id", F.lit(0.8).alias("score"), F.array(F.lit("vehicle_article_prefix")).alias("reasons"))
@@ -135,12 +133,18 @@ def penalty(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> Da
     return out.join(wider, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
 
 
+def coded(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, id, score of all rows that hold a code that a question names: 1.0, and 9.0 of a sign's own row."""
+    named = questions.select("query_id", F.explode(F.array_distinct(text.sign_codes("question"))).alias("code"))
+    held = corpus(rows).select("id", "modality", F.explode(F.array_distinct(F.transform("sign_codes", text.normalize_sign_code))).alias("code"))
+    score = F.max(F.when(F.col("modality") == "sign", 9.0).otherwise(1.0)).alias("score")
+    return named.join(held, "code").groupBy("query_id", "id").agg(score)
+
+
 def sign(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
-    """Rows of the codes that a question names (1.0, and 9.0 for the code's own row), and lexical search of questions without any."""
+    """The k best rows of the codes that a question names, and lexical search of questions without any."""
     rows, asked = corpus(rows), prepared(questions)
-    named = questions.select("query_id", F.explode(text.sign_codes("question")).alias("code"))
-    coded = rows.select("id", "modality", F.explode(F.array_distinct(F.transform("sign_codes", text.normalize_sign_code))).alias("code"))
-    hits = named.join(coded, "code").select("query_id", "id", F.when(F.col("modality") == "sign", 9.0).otherwise(1.0).alias("score"), F.array(F.lit("sign_code")).alias("reasons"))
+    hits = coded(rows, questions).withColumn("reasons", F.array(F.lit("sign_code")))
     rest = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return _finished(_full(hits.unionByName(_general(rows, rest, "sign", max(2 * k, 12))), rows, asked), k)
 
@@ -154,14 +158,13 @@ def table(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> Data
     return _finished(full.filter(~limit | scoring.speed_on_expressway(F.col("qa"), F.col("body"))), k)
 
 
-def definition_rows(rows: DataFrame, asked: DataFrame, most: int = 80) -> DataFrame:
-    """Rows with a mark of definitions that hold the term that is asked for: they meet by the term's first word."""
+def definition_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """All rows with a mark of definitions that hold the term that is asked for: they meet by the term's first word."""
     marked = rows.select("id", text.fold("rag_text").alias("body")).filter(text.contains_any("body", rules.DEFINITION_MARKS))
     words = marked.select("id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([a-z0-9]+)"), 1))).alias("word"))
     terms = asked.select("query_id", F.explode("terms").alias("term")).withColumn("word", F.regexp_extract("term", r"([a-z0-9]+)", 1))
     hits = terms.join(words, "word").filter(F.contains("body", "term")).select("query_id", "id").distinct()
-    first = hits.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("_nth") <= most)
-    return first.select("query_id", "id", F.lit(3.0).alias("score"), F.array(F.lit("deterministic_definition_match")).alias("reasons"))
+    return hits.select("query_id", "id", F.lit(3.0).alias("score"), F.array(F.lit("deterministic_definition_match")).alias("reasons"))
 
 
 def definition(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codexine import plans
 from codexine.functions import cleaning, text
-from codexine.operators import answers, assets, audits, sanctions, truth
+from codexine.operators import answers, assets, audits, evaluation, sanctions, truth
 from codexine.plans import decompose, planner, routes, rules, scoring
 
 
@@ -122,17 +122,30 @@ def test_test_sets(spark):
     assert {r["case_id"]: r["review_required"] for r in truth.review(spark.range(1, 4).select(F.col("id").cast("int").alias("case_id")), chunks).collect()} == {1: False, 2: True, 3: True}
 
 
-def test_leakage_against_all_pairs(spark, sf_dir):
-    got = {(r["test_id"], r["train_id"]) for r in plans.QUERIES["leakage_pairs"](spark, sf_dir).collect()}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.tokens("text").alias("w"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")).collect()
-    sets = {r["doc_id"]: (frozenset(r["w"]), r["held"]) for r in docs if r["w"]}
-    first = {}
-    for k in sorted(sets):
-        first.setdefault(sets[k][0], k)
-    alike = lambda a, b: len(a & b) / len(a | b) >= 0.88
-    pairs = {(a, b) for a in first.values() for b in first.values() if a < b and alike(sets[a][0], sets[b][0])} | {(first[s], k) for k, (s, _) in sets.items() if first[s] < k}
-    want = {(a, b) if sets[a][1] else (b, a) for a, b in pairs if sets[a][1] != sets[b][1]}
-    assert got == want
+def test_leakage_hides_behind_no_copy(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = [*words[:-1], "x"]
+    df = spark.createDataFrame([(0, words), (7, words), (10, words), (1, near), (15, near), (20, ["alone"]), (20, ["other"]), (21, ["other"])], "id long, words array<string>")
+    got = {(r["test_id"], r["train_id"], round(r["similarity"], 3)) for r in evaluation.leakage(df, "id", "words", F.col("id") % 5 == 0).collect()}
+    assert got == {(0, 7, 1.0), (10, 7, 1.0), (0, 1, 0.951), (10, 1, 0.951), (15, 1, 1.0), (15, 7, 0.951), (20, 21, 1.0)}
+
+
+def test_near_pairs_where_ids_repeat(spark):
+    df = spark.createDataFrame([(1, list("abcde")), (1, list("pqrst")), (2, list("pqrstu")), (3, list("abcdef")), (3, list("abcde"))], "id long, words array<string>")
+    got = {(r["a"], r["b"], round(r["similarity"], 3)) for r in evaluation.near_pairs(df, "id", "words", 0.8).collect()}
+    assert got == {(1, 2, 0.833), (1, 3, 0.833), (1, 3, 1.0)}
+
+
+def test_no_hit_by_a_code_or_behaviour_is_cut(spark):
+    rows = spark.range(12000).select(F.col("id"), F.concat(F.lit("khoản "), "id").alias("rag_text"), F.array(F.lit("P.102")).alias("sign_codes"), F.lit("sign").alias("modality"))
+    asked = spark.createDataFrame([(1, "Biển P.102 và P102 nghĩa là gì?")], "query_id long, question string")
+    out = routes.coded(rows, asked)
+    assert out.count() == 12000 and out.filter("score = 9").count() == 12000
+    acts = spark.range(300).select("id", F.lit(f"Hành vi {rules.SEARCHED[0][2][0]} bị phạt").alias("rag_text"), F.lit("Nghị định 168/2024/NĐ-CP").alias("document"), F.lit("6").alias("article"), F.lit("9").alias("clause"), F.concat(F.lit("p"), "id").alias("point"))
+    about = routes.behaviour_rows(routes.corpus(acts))
+    assert about.count() == 300 * about.select("behaviour").distinct().count() > 0
+    marked = spark.range(200).select("id", F.concat(F.lit("Xe thô sơ là xe đạp, được hiểu là số "), "id").alias("rag_text"))
+    assert routes.definition_rows(marked, spark.createDataFrame([(1, ["xe tho so"])], "query_id long, terms array<string>")).count() in (0, 200)
 
 
 def test_fallback_questions(spark):
