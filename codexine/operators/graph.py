@@ -149,6 +149,32 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | No
     return reached.orderBy("cost", "hops", "id").limit(most) if most else reached
 
 
+def paths(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
+    """id, hops, cost, path, kinds of the nodes within depth hops of the seeds (column id): the cheapest path of at most so many hops,
+    from its seed on, and what joins its nodes (`-TYPE>`, or `<TYPE-` against an edge). Ties go by fewer hops, then by the nodes.
+
+    Each hop takes the paths that got better one node on; a path never comes back to a node of its own. So rows carry depth
+    nodes at most, and a node one path at a time."""
+    kept = edges.filter(F.col("type").isin(*kinds)) if kinds else edges
+    around = kept.select(F.col("source").alias("a"), F.col("target").alias("b"), edge_cost(F.col("type"), F.lit(False)).alias("step"), F.concat(F.lit("-"), "type", F.lit(">")).alias("by"))
+    around = around.unionByName(kept.select(F.col("target").alias("a"), F.col("source").alias("b"), edge_cost(F.col("type"), F.lit(True)).alias("step"), F.concat(F.lit("<"), "type", F.lit("-")).alias("by")))
+    around = cut(around.groupBy("a", "b").agg(F.min(F.struct("step", "by")).alias("s")).select("a", "b", "s.step", "s.by"), "around")
+    reached = seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.lit(0.0).alias("cost"), F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"))
+    reached = front = cut(reached, "reached")
+    # Sums are rounded, so that equal costs tie whatever the order that they are summed in.
+    better = F.min(F.struct("cost", "hops", "path", "kinds")).alias("m")
+    for hop in range(1, max(0, depth) + 1):
+        step = front.join(around, front["id"] == around["a"]).filter(~F.array_contains("path", F.col("b")))
+        step = step.select(F.col("b").alias("id"), F.lit(hop).alias("hops"), F.round(F.col("cost") + F.col("step"), 9).alias("cost"), F.array_append("path", F.col("b")).alias("path"), F.array_append("kinds", F.col("by")).alias("kinds"))
+        step = step.groupBy("id").agg(better).select("id", "m.hops", "m.cost", "m.path", "m.kinds")
+        old = reached.select("id", F.struct("cost", "hops", "path", "kinds").alias("old"))
+        front = cut(step.join(old, "id", "left").filter(F.col("old").isNull() | (F.struct("cost", "hops", "path", "kinds") < F.col("old"))).drop("old"), "front")
+        if not front.take(1):
+            break
+        reached = cut(reached.unionByName(front).groupBy("id").agg(better).select("id", "m.hops", "m.cost", "m.path", "m.kinds"), "reached")
+    return reached
+
+
 def expand_hits(hits: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None, per_query: int | None = None) -> DataFrame:
     """query_id, id, score of the nodes around each query's hits (query_id, id, score), which aren't hits themselves: the cheapest
     path of at most so many hops from any hit, and a score from the best hit's. per_query: each query keeps its cheapest so many;

@@ -1,7 +1,8 @@
 """Text and vector indexes as tables, and ranked search over them.
 
-A text index is one table of postings (id, token, tf, n_tokens), made and written once. Queries are a table too (query_id,
-token), so many are answered at once; they meet postings in an equal join on the token, never in a cross join.
+A text index is one table of postings (id, token, tf, n_tokens), made and written once; operators.stored_index keeps one that
+grows. Queries are a table too (query_id, token), so many are answered at once; they meet postings in an equal join on the
+token, never in a cross join. Where only the k best are wanted, top_bm25 leaves out what can't be among them.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ def idf(posting: DataFrame, n_texts: DataFrame) -> DataFrame:
     """token, df, idf, avgdl; negative weights become a share of the mean weight. The totals are one row each.
 
     n_texts: one row, n: also texts without tokens count."""
-    df = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf"))
+    return inverse(posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf")), n_texts)
+
+
+def inverse(df: DataFrame, n_texts: DataFrame) -> DataFrame:
+    """token, df, idf, avgdl from sums by token (token, df, _tf)."""
     total = n_texts.join(F.broadcast(df.agg(F.sum("_tf").alias("_all")))).select("n", (F.coalesce("_all", F.lit(0)) / F.col("n")).alias("avgdl"))
     raw = df.join(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -63,12 +68,106 @@ def bm25(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame)
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
 
 
+#: Postings of a query's strongest words from which the first guess at its k best is taken; and what sums of floats may be off by.
+FIRST_HITS, SLACK = 1000, 1e-6
+
+
+def weighted(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """query_id, token, w, most, df, avgdl: each query word's weight, and the most that it can add to a score.
+
+    queries: query_id, token, qtf; weights: token, df, idf, avgdl, max_tf and min_tokens of the texts that hold the token."""
+    w = F.col("qtf") * F.col("idf")
+    most = F.greatest(w * contribution(F.col("max_tf"), F.col("min_tokens"), F.col("avgdl")), F.lit(0.0))
+    return queries.join(weights, "token").select("query_id", "token", w.alias("w"), most.alias("most"), "df", "avgdl")
+
+
+def contribution(tf: Column, n_tokens: Column, avgdl: Column) -> Column:
+    """What a word of weight 1 adds to a text: more with tf, less with the text's length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / avgdl))
+
+
+def _strongest(asked: DataFrame) -> DataFrame:
+    """The words of each query that can add most, up to so many postings, and one at least."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
+    ranked = asked.withColumns({"_nth": F.row_number().over(by), "_hits": F.sum("df").over(by)})
+    return ranked.filter((F.col("_nth") == 1) | (F.col("_hits") <= FIRST_HITS)).drop("_nth", "_hits")
+
+
+def essential(asked: DataFrame, least: DataFrame) -> DataFrame:
+    """asked with least (null where a query has no bound), rest and is_essential: the weakest words of a query, which together can't
+    reach its least score, aren't; rest is what those add at most."""
+    by = Window.partitionBy("query_id").orderBy("most", F.desc("df"), "token")
+    rows = asked.join(least, "query_id", "left").withColumn("_sum", F.sum("most").over(by))
+    rows = rows.withColumn("is_essential", F.col("least").isNull() | (F.col("_sum") >= F.col("least") - SLACK)).drop("_sum")
+    rest = F.coalesce(F.sum(F.when(~F.col("is_essential"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    return rows.withColumn("rest", rest)
+
+
+def top_bm25(posting: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score of at least each query's k best texts (ties at the k-th place included): exactly those that bm25 finds.
+
+    posting: id, token, tf, n_tokens, a table that is cheap to read again; asked: of weighted(). The texts that a query's
+    strongest words find are scored exactly; their k-th score is the least that counts. Words that can't reach it together
+    bring no texts in. Texts that the others find are dropped where these and the most of the rest stay below it, and only
+    what is left meets the rest. A query with fewer than k first texts has no bound, and all of its words count."""
+    asked = cut(asked, "asked")
+    few = len(asked.select("token").take(FEW_TOKENS + 1)) <= FEW_TOKENS
+    small = F.broadcast if few else (lambda df: df)
+    own = posting.join(small(asked.select("token").distinct()), "token", "left_semi")
+    own = cut(own.repartition("id") if few else own, "own")  # postings of the words that are asked for, dealt by text
+    own_part = F.col("w") * contribution(F.col("tf"), F.col("n_tokens"), F.col("avgdl"))
+
+    def found(words: DataFrame) -> DataFrame:
+        """query_id, id, score by these words alone."""
+        return own.join(small(words.select("query_id", "token", "w", "avgdl")), "token").groupBy("query_id", "id").agg(F.sum(own_part).alias("score"))
+
+    def added(pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """query_id, id, more: what these words add to the pairs' texts."""
+        wanted = pairs.select("query_id", "id").join(small(words.select("query_id", "token", "w", "avgdl")), "query_id")
+        return wanted.join(own, ["id", "token"]).groupBy("query_id", "id").agg(F.sum(own_part).alias("more"))
+
+    first = cut(top_k(found(_strongest(asked)), k).select("query_id", "id"), "first")
+    least = added(first, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("more").alias("least")).filter(F.col("_n") >= k).drop("_n")
+    asked = cut(essential(asked, least), "essential")
+    bounds = asked.select("query_id", "least", "rest").distinct()
+    some = found(asked.filter("is_essential")).join(small(bounds), "query_id")
+    some = cut(some.filter(F.col("least").isNull() | (F.col("score") + F.col("rest") >= F.col("least") - SLACK)).select("query_id", "id", "score"), "some")
+    rest = added(some, asked.filter(~F.col("is_essential")))
+    return some.join(rest, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def bm25_top(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame, k: int) -> DataFrame:
+    """top_bm25 of texts that no index is kept of."""
+    index = cut(postings(rows, id_column, text_column), "postings")
+    weights = idf(index, rows.agg(F.count(F.lit(1)).alias("n")))
+    most = index.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"))
+    return top_bm25(index, weighted(queries, weights.join(most, "token")), k)
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple = ("query_id",), ties: str = "id") -> DataFrame:
     """Each query's k best, with their rank; ties by id."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), ties))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def page(scored: DataFrame, k: int, after: DataFrame | None = None) -> DataFrame:
+    """The next k of each query in the order of score and id, with their rank on the page. after: query_id, score, id of the row that a
+    query's last page ended with (cursors); queries without one have no further page. Without after, the first page.
+
+    A page starts behind a place in the order, not behind a number of rows, so rows that come in or go meanwhile neither
+    repeat a row nor leave one out."""
+    if after is None:
+        return top_k(scored, k)
+    mark = after.select("query_id", F.col("score").alias("_score"), F.col("id").alias("_id"))
+    rest = scored.join(mark, "query_id").filter((F.col("score") < F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("id") > F.col("_id"))))
+    return top_k(rest.drop("_score", "_id"), k)
+
+
+def cursors(paged: DataFrame, k: int) -> DataFrame:
+    """query_id, score, id of the last row of each full page: where the next one starts."""
+    return paged.filter(F.col("rank") == k).select("query_id", "score", "id")
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, group: int = 4096, block: int = 1024) -> DataFrame:
     """query_id, id, score of the k best of every group of vectors for each query, so of the k best of all, too.
 

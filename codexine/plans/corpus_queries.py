@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import references, text
-from ..operators import aggregates, answers, chunking, index
+from ..operators import aggregates, answers, chunking, index, spatial
 from .registry import content, fold, query, tokens
 
 
@@ -79,13 +79,28 @@ def sign_catalog(part):
     return answers.sign_catalog(figures).select("code", "name", F.size("support").alias("n_support"))
 
 
-@query("benchmark", "part")
+_SIGNS = ", ".join(f"('{f}', '{t}', {w})" for f, targets, w in answers.SIGN_FEATURES for t in targets)
+
+
+@query(
+    "benchmark", "part",
+    sql=rf"""
+WITH f AS (SELECT (['P', 'W', 'R'])[CAST(p_partkey % 3 + 1 AS INTEGER)] || (101 + p_partkey % 150) AS code, p_name, row_number() OVER (PARTITION BY p_partkey % 3, p_partkey % 150 ORDER BY p_size DESC, p_partkey) AS nth FROM part),
+c AS (SELECT code, {fold("p_name")} AS folded FROM f WHERE nth = 1), s AS (SELECT * FROM (VALUES {_SIGNS}) AS v(feature, target, weight)),
+r AS (SELECT feature, code, weight FROM s JOIN c ON (len(target) > 1 AND target = code) OR (len(target) = 1 AND target = code[1]) UNION ALL SELECT folded, code, 3.0 FROM c WHERE folded <> ''),
+q AS (SELECT item_id AS query_id, (['Biển tròn nền đỏ vạch ngang là gì?', 'Biển cảnh báo trẻ em', 'Ý nghĩa biển P.122', 'Biển stop hình bát giác'])[CAST(item_id % 4 + 1 AS INTEGER)] || coalesce(' ' || text, '') AS question FROM benchmark),
+e AS (SELECT query_id, unnest(list_distinct([upper(regexp_replace(x, '[\s.]+', '', 'g')) FOR x IN regexp_extract_all(question, '(?i)\b(?:DP|IE|P|W|R|I|S|E)\s*\.?\s*\d{{2,3}}[a-zđ]?\b')])) AS code FROM q),
+h AS (SELECT query_id, code, weight FROM (SELECT query_id, {fold("question")} AS body FROM q) JOIN r ON contains(body, feature) UNION ALL SELECT query_id, code, 1000.0 FROM e),
+t AS (SELECT query_id, code, sum(CAST(weight AS DOUBLE)) AS score FROM h GROUP BY 1, 2 HAVING sum(CAST(weight AS DOUBLE)) >= 1.2)
+SELECT query_id, code, CAST(round(score, 6) AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, code) AS INTEGER) AS rank FROM t QUALIFY rank <= 15
+""",
+)
 def sign_search(benchmark, part):
-    """Rows only: codes that questions, before every whole benchmark text, speak for; tests hold them against worked examples."""
+    """Codes that questions, before every whole benchmark text, speak for."""
     figures = part.select(F.col("p_partkey").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, ("P. ", "W. ", "R. "))), (F.col("p_partkey") % 3 + 1).cast("int")), 101 + F.col("p_partkey") % 150).alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("quality"))
     asked = F.array(*map(F.lit, ("Biển tròn nền đỏ vạch ngang là gì?", "Biển cảnh báo trẻ em", "Ý nghĩa biển P.122", "Biển stop hình bát giác")))
     questions = benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.element_at(asked, (F.col("item_id") % 4 + 1).cast("int")), "text").alias("question"))
-    return answers.find_codes(questions, answers.sign_catalog(figures).select("code", "name"))
+    return answers.find_codes(questions, answers.sign_catalog(figures).select("code", "name")).withColumn("score", F.round("score", 6))
 
 
 @query("benchmark", "documents")
@@ -158,3 +173,30 @@ def page_choice(documents):
     return documents.select("doc_id", modality.alias("modality"), F.when(F.col("lang") == "en", "src").otherwise(F.col("source")).alias("label"))
 
 
+
+
+#: Boxes out of parts and orders: pages grow in number with the tables.
+_TABLE_BOXES = "p_partkey // 50 AS page, p_partkey AS id, CAST((p_partkey * 37) % 500 AS DOUBLE) AS x0, CAST((p_partkey * 91) % 700 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 500 + p_size * 3 AS DOUBLE) AS x1, CAST((p_partkey * 91) % 700 + 40 AS DOUBLE) AS y1"
+_SPAN_BOXES = "o_orderkey // 1500 AS page, o_orderkey AS id, CAST((o_orderkey * 53) % 560 AS DOUBLE) AS x0, CAST((o_custkey * 29) % 760 AS DOUBLE) AS y0, CAST((o_orderkey * 53) % 560 + 10 + o_orderkey % 90 AS DOUBLE) AS x1, CAST((o_custkey * 29) % 760 + 10 AS DOUBLE) AS y1"
+_BOXES = f"l AS (SELECT {_TABLE_BOXES} FROM part), r AS (SELECT {_SPAN_BOXES} FROM orders)"
+_BESIDE = "least(abs(l.y0 - r.y1), abs(l.y1 - r.y0))"
+
+
+def _boxes(part, orders):
+    spell = lambda x: x.replace("p_partkey // 50", "p_partkey div 50").replace("o_orderkey // 1500", "o_orderkey div 1500")
+    return part.selectExpr(*spell(_TABLE_BOXES).split(", ")), orders.selectExpr(*spell(_SPAN_BOXES).split(", "))
+
+
+@query("part", "orders", sql=f"WITH {_BOXES} SELECT l.page, l.id, r.id AS caption_id, {_BESIDE} AS distance FROM l JOIN r ON l.page = r.page AND {_BESIDE} < 50 AND (least(l.x1, r.x1) > greatest(l.x0, r.x0) OR abs(l.x0 - r.x0) < 100) QUALIFY row_number() OVER (PARTITION BY l.page, l.id ORDER BY distance, r.id) = 1")
+def nearest_captions(part, orders):
+    return spatial.nearest_caption(*_boxes(part, orders), ["page"])
+
+
+@query("part", "orders", sql=f"WITH {_BOXES} SELECT l.page, l.id, r.id AS other_id, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS area FROM l JOIN r ON l.page = r.page AND least(l.x1, r.x1) > greatest(l.x0, r.x0) AND least(l.y1, r.y1) > greatest(l.y0, r.y0) QUALIFY row_number() OVER (PARTITION BY l.page, l.id ORDER BY area DESC, (r.x1 - r.x0) * (r.y1 - r.y0), r.id) = 1")
+def overlapping_boxes(part, orders):
+    return spatial.best_overlap(*_boxes(part, orders), ["page"], 64)
+
+
+@query("part", "orders", sql=f"WITH {_BOXES}, d AS (SELECT l.page, l.id, r.id AS other_id, sqrt(greatest(0, r.x0 - l.x1, l.x0 - r.x1) ** 2 + greatest(0, r.y0 - l.y1, l.y0 - r.y1) ** 2) AS distance, (r.x1 - r.x0) * (r.y1 - r.y0) AS own FROM l JOIN r ON l.page = r.page) SELECT page, id, other_id, CAST(round(distance, 6) AS DOUBLE) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY distance, own, other_id) = 1")
+def nearest_boxes(part, orders):
+    return spatial.nearest(*_boxes(part, orders), ["page"], 8).withColumn("distance", F.round("distance", 6))

@@ -14,10 +14,12 @@ from . import planner, rules, scoring
 def search(rows: DataFrame, questions: DataFrame, k: int = 8, id_column: str = "id", text_column: str = "rag_text", question_id: str = "query_id", question: str = "question", condition=None, filter_mode: str = "pre") -> DataFrame:
     """Lexical search with a filter before ranking (pre), or after the first max(3k, 100) of each question (post)."""
     kept = rows.filter(condition) if condition is not None and filter_mode == "pre" else rows
-    scored = index.bm25(kept, id_column, text_column, index.query_tokens(questions, question_id, question))
-    if condition is None or filter_mode == "pre":
+    few = condition is None or filter_mode == "pre"
+    first = k if few else max(3 * k, 100)
+    scored = index.bm25_top(kept, id_column, text_column, index.query_tokens(questions, question_id, question), first)
+    if few:
         return index.top_k(scored, k)
-    first = index.top_k(scored, max(3 * k, 100)).drop("rank")
+    first = index.top_k(scored, first).drop("rank")
     inside = rows.filter(condition).select(F.col(id_column).alias("id"))
     return index.top_k(first.join(inside, "id", "left_semi"), k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import evaluation, graph, index
+from ..operators import evaluation, graph, index, stored_index
 from ..sources import tables as store
 from ..streaming import incremental
 from . import routes
@@ -25,8 +25,9 @@ bm AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)"
 
 
-def _bm25(documents, benchmark):
-    scored = index.bm25(documents, "doc_id", "text", index.query_tokens(benchmark, "item_id", "text"))
+def _bm25(documents, benchmark, k: int):
+    """At least the k best of each query."""
+    scored = index.bm25_top(documents, "doc_id", "text", index.query_tokens(benchmark, "item_id", "text"), k)
     return scored.withColumn("score", F.round("score", 9))
 
 
@@ -36,7 +37,7 @@ def _out(ranked):
 
 @query("documents", "benchmark", sql=f"WITH {_BM25}, r AS (SELECT *, {_RANK} AS rank FROM bm) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 10")
 def bm25_topk(documents, benchmark):
-    return _out(index.top_k(_bm25(documents, benchmark), 10))
+    return _out(index.top_k(_bm25(documents, benchmark, 10), 10))
 
 
 _COS = """
@@ -74,7 +75,7 @@ f AS (SELECT query_id, id, 0.65 * coalesce(round(c.score, 9), 0) + 0.35 * coales
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_weighted(documents, benchmark, embeddings):
-    return _fused(index.fuse_weighted, _cosine(embeddings), _bm25(documents, benchmark))
+    return _fused(index.fuse_weighted, _cosine(embeddings), _bm25(documents, benchmark, 60))
 
 
 @query(
@@ -85,7 +86,7 @@ f AS (SELECT query_id, id, round(sum(part), 9) AS score FROM (SELECT query_id, i
 r AS (SELECT *, {_RANK} AS rank FROM f) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 5) AS DOUBLE) AS score FROM r WHERE rank <= 10""",
 )
 def fused_ranks(documents, benchmark, embeddings):
-    return _fused(index.fuse_ranks, _cosine(embeddings), _bm25(documents, benchmark))
+    return _fused(index.fuse_ranks, _cosine(embeddings), _bm25(documents, benchmark, 40))
 
 
 @query(
@@ -94,7 +95,7 @@ def fused_ranks(documents, benchmark, embeddings):
 SELECT query_id, id, CAST(len(list_intersect({content("i.text")}, {content("d.text")})) AS INTEGER) AS shared FROM b JOIN documents d ON d.doc_id = b.id JOIN benchmark i ON i.item_id = b.query_id""",
 )
 def shared_words(documents, benchmark):
-    best = index.top_k(_bm25(documents, benchmark), 5).select("query_id", "id")
+    best = index.top_k(_bm25(documents, benchmark, 5), 5).select("query_id", "id")
     rows = best.join(documents.select(F.col("doc_id").alias("id"), "text"), "id").join(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
     return rows.select("query_id", "id", F.size(F.array_intersect(text.content_tokens("q"), text.content_tokens("text"))).alias("shared"))
 
@@ -108,14 +109,29 @@ def reranked_search(documents, benchmark):
 
 @query("documents", "benchmark", sql=f"WITH {_BM25}, r AS (SELECT *, {_RANK} AS rank FROM bm), k AS (SELECT * FROM r WHERE rank <= 100 AND id IN (SELECT doc_id FROM documents WHERE lang = 'en')), s AS (SELECT *, {_RANK} AS nth FROM k) SELECT query_id, id, CAST(nth AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM s WHERE nth <= 8")
 def search_filtered_after(documents, benchmark):
-    scored = index.top_k(_bm25(documents, benchmark), 100).drop("rank")
+    scored = index.top_k(_bm25(documents, benchmark, 100), 100).drop("rank")
     inside = documents.filter("lang = 'en'").select(F.col("doc_id").alias("id"))
     return _out(index.top_k(scored.join(inside, "id", "left_semi"), 8))
 
 
 @query("documents", "benchmark", sql=f"WITH {_BM25.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE lang = chr(101) || chr(110)) AS documents')}, r AS (SELECT *, {_RANK} AS rank FROM bm) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 8")
 def search_filtered_before(documents, benchmark):
-    return _out(index.top_k(_bm25(documents.filter("lang = 'en'"), benchmark), 8))
+    return _out(index.top_k(_bm25(documents.filter("lang = 'en'"), benchmark, 8), 8))
+
+
+_KEPT = _BM25.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 3) AS documents")
+
+
+@query("documents", "benchmark", sql=f"WITH {_KEPT}, r AS (SELECT *, {_RANK} AS rank FROM bm) SELECT query_id, id, CAST(rank AS INTEGER) AS rank, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 10")
+def index_updates(documents, benchmark):
+    """An index that is built of a half, some of it with other texts, then grows by the whole table, loses a part and is merged."""
+    path = store.fresh_path(documents.sparkSession, "index")
+    half = documents.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("other words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    stored_index.update(path, half, "doc_id", "text")
+    stored_index.update(path, documents, "doc_id", "text", whole=True)
+    stored_index.remove(path, documents.filter("doc_id % 7 = 3"), "doc_id")
+    stored_index.merge(documents.sparkSession, path, 2)
+    return _out(stored_index.search(documents.sparkSession, path, index.query_tokens(benchmark, "item_id", "text"), 10))
 
 
 _GRAPH = """
@@ -159,6 +175,35 @@ def graph_cheapest(region, nation, customer):
     return graph.expand(edges, _seeds(nodes), 3).select("id", F.round("cost", 6).alias("cost"))
 
 
+@query(
+    "region", "nation", "customer",
+    sql=f"""
+WITH RECURSIVE {_GRAPH},
+a AS (SELECT source AS x, target AS y, '-' || type || '>' AS k FROM edges UNION ALL SELECT target, source, '<' || type || '-' FROM edges),
+w AS (SELECT id, 0 AS hops, CAST(0 AS DOUBLE) AS cost, [id] AS path, CAST([] AS VARCHAR[]) AS kinds FROM nodes WHERE id IN ('nation|0|0', 'region|1')
+ UNION ALL SELECT y, hops + 1, round(cost + 0.9, 9), list_append(path, y), list_append(kinds, k) FROM w JOIN a ON a.x = w.id WHERE hops < 3 AND NOT list_contains(path, y))
+SELECT id, CAST(hops AS INTEGER) AS hops, CAST(cost AS DOUBLE) AS cost, array_to_string(path, ' ') AS path, array_to_string(kinds, ' ') AS kinds FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, hops, path) = 1
+""",
+)
+def graph_paths(region, nation, customer):
+    nodes, edges = _graph(region, nation, customer)
+    return graph.paths(edges, _seeds(nodes), 3).select("id", "hops", "cost", F.array_join("path", " ").alias("path"), F.array_join("kinds", " ").alias("kinds"))
+
+
+@query("orders", sql="SELECT o_custkey AS query_id, o_orderkey AS id, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1) // 5 AS INTEGER) AS page FROM orders")
+def ranked_pages(orders):
+    """A customer's orders by price, five to a page, each page found by where the last one ended."""
+    scored = orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    after, out, n = None, None, 0
+    while True:
+        own = store.cut(index.page(scored, 5, after), "page")
+        rows = own.select("query_id", "id", F.lit(n).alias("page"))
+        out = rows if out is None else out.unionByName(rows)
+        after, n = index.cursors(own, 5), n + 1
+        if not after.take(1):
+            return out
+
+
 @query("region", "nation", "customer", sql=f"WITH {_GRAPH}, s AS (SELECT id FROM nodes WHERE type <> 'customer' OR id LIKE '%0') SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)")
 def induced_subgraph(region, nation, customer):
     nodes, edges = _graph(region, nation, customer)

@@ -63,6 +63,22 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
             remove(spark, folder)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of a folder's folders."""
+    system, where = _system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(where) if s.isDirectory()] if system.exists(where) else []
+
+
+def _rename(spark: SparkSession, made: str, path: str) -> bool:
+    """Gives a whole folder its name; False if another has it."""
+    system, where = _system(spark, path)
+    if system.exists(where):
+        if system.exists(_system(spark, f"{path}/_SUCCESS")[1]):
+            return False
+        system.delete(where, True)
+    return system.rename(_system(spark, made)[1], where)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The whole versions of a table: those whose job has ended, as its marker says."""
     system, where = _system(spark, path)
@@ -87,10 +103,15 @@ def current(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 
 def replace(df: DataFrame, path: str, keep: int = 2) -> None:
     """Writes df, which may read the table itself, as the table's next version. A job that fails leaves the last version as it
-    was, as a version counts only when its job has ended; then all but the last few go."""
+    was, as a version counts only when its job has ended; then all but the last few go. A table has one writer at a time; a
+    second one that ends first is an error here."""
     spark = df.sparkSession
     known = versions(spark, path)
     new = known[-1] + 1 if known else 0
-    df.write.mode("overwrite").parquet(f"{path}/v{new:09d}")
+    made = f"{path}/v{new:09d}.{uuid.uuid4().hex}"
+    df.write.parquet(made)
+    if not _rename(spark, made, f"{path}/v{new:09d}"):
+        remove(spark, made)
+        raise RuntimeError(f"another job wrote version {new} of {path}")
     for old in [*known, new][:-keep]:
         remove(spark, f"{path}/v{old:09d}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexine.functions import models, text
-from codexine.operators import aggregates, answers, chunking, evaluation, graph, index, joins, records, windows
+from codexine.operators import aggregates, answers, chunking, evaluation, graph, index, joins, phrases, records, spatial, stored_index, windows
 from codexine import plans
 from codexine.plans import planner, routes
 from codexine.sources import readers, sinks, tables
@@ -318,3 +318,147 @@ def test_upsert_stream_wants_its_table(spark, tmp_path):
     feed("3", [(3, 1)])
     with pytest.raises(Exception, match="finds no table"):
         run()
+
+
+def test_boxes_against_all_pairs(spark):
+    import random
+
+    dice = random.Random(3)
+    kind = "page int, id int, x0 double, y0 double, x1 double, y1 double"
+
+    def boxes(n, wide):
+        out = []
+        for k in range(n):
+            x, y = dice.uniform(-50, 500), dice.uniform(0, 700)
+            out.append((dice.randint(0, 2), k, x, y, x + dice.uniform(0, wide), y + dice.uniform(0, wide)))
+        return out
+
+    left, right = [*boxes(60, 200), (9, 900, 0.0, 0.0, 1.0, 1.0), (1, 901, None, 0.0, 1.0, 1.0)], boxes(80, 90)
+    l, r = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)  # noqa: E741
+    whole = [x for x in left if None not in x]
+    gap = lambda a, b: (max(0, b[2] - a[4], a[2] - b[4]) ** 2 + max(0, b[3] - a[5], a[3] - b[5]) ** 2) ** 0.5
+    shared = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+    area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+    beside = lambda a, b, down, across: min(abs(a[3] - b[5]), abs(a[5] - b[3])) < down and (min(a[4], b[4]) > max(a[2], b[2]) or abs(a[2] - b[2]) < across)
+    near = {a[1]: min((gap(a, b), area(b), b[1]) for b in right if b[0] == a[0]) for a in whole if any(b[0] == a[0] for b in right)}
+    assert {x["id"]: (x["other_id"], round(x["distance"], 6)) for x in spatial.nearest(l, r, ["page"], 3).collect()} == {k: (v[2], round(v[0], 6)) for k, v in near.items()}
+    over = {a[1]: min((-shared(a, b), area(b), b[1]) for b in right if b[0] == a[0] and shared(a, b) > 0) for a in whole if any(b[0] == a[0] and shared(a, b) > 0 for b in right)}
+    assert {x["id"]: x["other_id"] for x in spatial.best_overlap(l, r, ["page"], 40).collect()} == {k: v[2] for k, v in over.items()}
+    caption = {a[1]: min((min(abs(a[3] - b[5]), abs(a[5] - b[3])), b[1]) for b in right if b[0] == a[0] and beside(a, b, 50, 100)) for a in whole if any(b[0] == a[0] and beside(a, b, 50, 100) for b in right)}
+    assert {x["id"]: x["caption_id"] for x in spatial.nearest_caption(l, r, ["page"]).collect()} == {k: v[1] for k, v in caption.items()}
+    pages = spark.createDataFrame([(p, 0.0, 0.0, 600.0, 800.0) for p in range(3)], "page int, x0 double, y0 double, x1 double, y1 double")
+    got = {x["id"]: tuple(x)[2:] for x in spatial.best_region(l, r, pages, ["page"], 30, 20).collect()}
+    for a in whole:
+        own = sorted((b for b in right if b[0] == a[0] and beside(a, b, 30, 20)), key=lambda b: b[1])
+        if own:
+            box, n = list(own[0][2:]), 1
+            for b in own[1:]:
+                if min(abs(box[1] - b[5]), abs(box[3] - b[3])) < 40:
+                    box, n = [min(box[0], b[2]), min(box[1], b[3]), max(box[2], b[4]), max(box[3], b[5])], n + 1
+            assert got[a[1]] == (*box, n)
+        elif a[0] < 3:
+            assert got[a[1]] == (20, max(0, a[3] - 220), 580, a[3] - 5, 0)
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_phrases_within_texts(spark, few):
+    import random
+
+    dice = random.Random(1)
+    words = ["".join(dice.choice("abc ") for _ in range(dice.randint(1, 7))) for _ in range(40)]
+    texts = [(k, "".join(dice.choice("abc đ") for _ in range(dice.randint(0, 60)))) for k in range(50)] + [(99, None)]
+    found = phrases.within(spark.createDataFrame(texts, "id int, body string"), spark.createDataFrame([(w,) for w in [*words, "", None, words[0]]], "phrase string"), few)
+    assert sorted((r["id"], r["phrase"]) for r in found.collect()) == sorted((k, p) for k, t in texts if t for p in {w for w in words if w} if p in t)
+
+
+def test_paths_and_their_ties(spark):
+    edges = spark.createDataFrame([("a", "b", "OTHER"), ("b", "c", "OTHER"), ("a", "d", "HAS_TABLE"), ("d", "c", "HAS_TABLE"), ("c", "a", "CITES"), ("a", "e", "HAS_TABLE"), ("e", "c", "HAS_TABLE")], "source string, target string, type string")
+    seeds = spark.createDataFrame([("a",)], "id string")
+    got = {r["id"]: (r["hops"], r["cost"], r["path"], r["kinds"]) for r in graph.paths(edges, seeds, 3).collect()}
+    assert got["c"] == (2, 0.7, ["a", "d", "c"], ["-HAS_TABLE>", "-HAS_TABLE>"]) and got["b"] == (1, 0.9, ["a", "b"], ["-OTHER>"])
+    assert graph.paths(edges, seeds, 1).filter("id = 'c'").collect()[0]["kinds"] == ["<CITES-"]
+    costs = {r["id"]: round(r["cost"], 9) for r in graph.expand(edges, seeds, 3).collect()}
+    assert costs == {k: v[1] for k, v in got.items()}
+
+
+def test_pages_while_rows_come_in(spark):
+    kind = "query_id int, id int, score double"
+    scored = spark.createDataFrame([(1, k, float(k // 2)) for k in range(10)] + [(2, 1, 1.0)], kind)
+    first = index.page(scored, 4)
+    after = index.cursors(first, 4)
+    assert [(r["query_id"], r["id"]) for r in after.collect()] == [(1, 7)]
+    more = scored.unionByName(spark.createDataFrame([(1, 100, 9.0), (1, 101, 2.5)], kind))
+    assert [r["id"] for r in index.page(more, 4, after).orderBy("rank").collect()] == [101, 4, 5, 2]
+
+
+def test_pruned_search_equals_the_whole_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame([(-1, None, "x", "x", 0), (-2, "", "x", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    asked = index.query_tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text").unionByName(spark.createDataFrame([(-5, "the", 1), (-6, "nowhere", 2)], "query_id long, token string, qtf long"))
+    rounded = lambda df, k: index.top_k(df.withColumn("score", F.round("score", 9)), k)
+    for k in (1, 10, 150):
+        want = rounded(index.bm25(docs, "doc_id", "text", asked), k)
+        got = rounded(index.bm25_top(docs, "doc_id", "text", asked, k), k).select(want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pruning_leaves_most_hits_out(spark, sf_dir):
+    """Of the postings that queries' words have, how many bring texts in."""
+    where = sf_dir.replace("sf0.001", "sf0.01")
+    posting = tables.cut(index.postings(spark.read.parquet(f"{where}/documents.parquet"), "doc_id", "text"))
+    asked = index.query_tokens(spark.read.parquet(f"{where}/benchmark.parquet"), "item_id", "text")
+    most = posting.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"))
+    weights = index.idf(posting, spark.createDataFrame([(1000,)], "n long")).join(most, "token")
+    rows = tables.cut(index.weighted(asked, weights))
+    least = index.top_bm25(posting, rows, 10).groupBy("query_id").agg(F.max("score").alias("_m"), F.sort_array(F.collect_list("score"), False).alias("s")).select("query_id", F.get("s", F.lit(9)).alias("least"))
+    total = index.essential(rows, least).agg(F.sum("df").alias("all"), F.sum(F.when(F.col("is_essential"), F.col("df"))).alias("some")).collect()[0]
+    print("hits", total)
+    assert total["some"] < total["all"] / 3
+
+
+def test_an_index_that_grows(spark, tmp_path):
+    import random
+
+    dice = random.Random(6)
+    word = lambda: dice.choice("ab ac ad bc bd cd abc".split())
+    path, state = f"file://{tmp_path}/index", {}
+    queries = spark.createDataFrame([(1, "ab", 1), (1, "cd", 2), (2, "abc", 1), (3, "none", 1)], "query_id long, token string, qtf long")
+
+    def check():
+        df = spark.createDataFrame(list(state.items()), "id long, text string")
+        fresh = index.top_k(index.bm25(df, "id", "text", queries).withColumn("score", F.round("score", 9)), 5)
+        assert sorted(map(tuple, stored_index.search(spark, path, queries, 5).select(fresh.columns).collect())) == sorted(map(tuple, fresh.collect()))
+
+    def given(ids):
+        rows = {k: " ".join(word() for _ in range(dice.randint(0, 12))) for k in ids}
+        return rows, spark.createDataFrame(list(rows.items()), "id long, text string")
+
+    rows, df = given(range(40))
+    assert stored_index.update(path, df, "id", "text") == {"n_new": 40, "n_gone": 0}
+    state |= rows
+    check()
+    assert stored_index.update(path, df, "id", "text") == {"n_new": 0, "n_gone": 0}
+    before = stored_index.parts(spark, path)
+    rows, df = given([3, 4, 50, 51])
+    out = stored_index.update(path, df.unionByName(spark.createDataFrame([(3, rows[3]), (None, "ab")], "id long, text string")), "id", "text")
+    changed = sum(rows[k] != state.get(k) for k in rows)
+    assert out == {"n_new": changed, "n_gone": sum(k in state and rows[k] != state[k] for k in rows)}
+    # Only what is new is read into a segment.
+    (segment,) = [p for p in stored_index.parts(spark, path) if p not in before and p["kind"] == "segment"]
+    assert segment["n"] == changed
+    state |= rows
+    check()
+    assert stored_index.remove(path, spark.createDataFrame([(3,), (7,), (999,)], "id long")) == 2
+    del state[3], state[7]
+    check()
+    whole = {k: v for k, v in state.items() if k % 3} | {60: "ab cd"}
+    out = stored_index.update(path, spark.createDataFrame(list(whole.items()), "id long, text string"), "id", "text", whole=True)
+    assert out == {"n_new": 1, "n_gone": len(state) - len(whole) + 1}
+    state = whole
+    check()
+    for k in range(70, 74):
+        state[k] = "ab abc"
+        stored_index.update(path, spark.createDataFrame([(k, "ab abc")], "id long, text string"), "id", "text", segments=3)
+    assert sum(p["kind"] == "segment" for p in stored_index.parts(spark, path)) <= 3
+    check()
+    assert stored_index.vacuum(spark, path) > 0
+    check()
