@@ -6,8 +6,8 @@ document and place, is covered; covered windows are merged, and their lines remo
 
 Defined cases: a null text stays null and has no lines; a text without words stays; the first of equal windows stays,
 by doc_id (null ids come last), then by place, then by text for rows of equal ids; rows that are equal in all of those
-are one row here and stay together; an empty table gives no rows; other columns are carried along unread, if their
-names don't begin with "_ld_".
+are one row here and stay together; an empty table gives no rows; other columns are carried along unread, whatever their
+names: columns that are needed meanwhile, and the two that are added, have names that the input doesn't hold.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, cut, table
+from .common import blank, cut, table, unused
 
 LINES = 3
 
@@ -58,23 +58,31 @@ def repeated(documents: DataFrame, lines: int = LINES) -> DataFrame:
     return spans.select("_ld_id", "_ld_text", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["until"] - 1)))).alias("_ld_gone"))
 
 
+def added(documents: DataFrame) -> tuple[str, str]:
+    """The names of the columns that dedup adds: _ld_lines and _ld_removed, with more underscores if the input has those."""
+    return unused(documents, "ld_lines"), unused(documents, "ld_removed")
+
+
 def dedup(documents: DataFrame, lines: int = LINES) -> DataFrame:
-    """documents with text changed, and _ld_lines and _ld_removed: lines with a word, before and of them removed."""
-    gone = repeated(documents, lines)
-    rows = documents.withColumn("_ld_key", F.xxhash64(blank("text")))
-    on = rows["doc_id"].eqNullSafe(gone["_ld_id"]) & (rows["_ld_key"] == gone["_ld_text"])
-    rows = rows.join(gone.hint("shuffle_hash"), on, "left").drop("_ld_id", "_ld_text", "_ld_key")
-    rows = rows.withColumn("_ld_all", F.split(blank("text"), "\n", -1))
-    worded = lambda places: F.size(F.filter(places, lambda i: _has_words(F.get(F.col("_ld_all"), i))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_all") - 1), "_ld_gone")
-    text = F.array_join(F.transform(left, lambda i: F.get(F.col("_ld_all"), i)), "\n")
-    rows = rows.withColumn("_ld_lines", F.size(F.filter("_ld_all", _has_words)).cast("long")).withColumn("_ld_removed", F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(worded("_ld_gone")).cast("long"))
-    return rows.withColumn("text", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text)).drop("_ld_gone", "_ld_all")
+    """documents with text changed, and the columns that added() names: lines with a word, before and of them removed."""
+    n_lines, n_removed = added(documents)
+    own_id, own_text, gone, key, every = (unused(documents, f"ld_{x}") for x in ("id", "text", "gone", "key", "all"))
+    lost = repeated(documents, lines).select(F.col("_ld_id").alias(own_id), F.col("_ld_text").alias(own_text), F.col("_ld_gone").alias(gone))
+    rows = documents.withColumn(key, F.xxhash64(blank("text")))
+    on = rows["doc_id"].eqNullSafe(lost[own_id]) & (rows[key] == lost[own_text])
+    rows = rows.join(lost.hint("shuffle_hash"), on, "left").drop(own_id, own_text, key)
+    rows = rows.withColumn(every, F.split(blank("text"), "\n", -1))
+    worded = lambda places: F.size(F.filter(places, lambda i: _has_words(F.get(F.col(every), i))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
+    text = F.array_join(F.transform(left, lambda i: F.get(F.col(every), i)), "\n")
+    rows = rows.withColumn(n_lines, F.size(F.filter(every, _has_words)).cast("long")).withColumn(n_removed, F.when(F.col(gone).isNull(), F.lit(0)).otherwise(worded(gone)).cast("long"))
+    return rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)).drop(gone, every)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+    documents = table(spark, sf_dir, "documents")
+    n_lines, n_removed = added(documents)
+    return dedup(documents).select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 ORACLE_SQL = r"""

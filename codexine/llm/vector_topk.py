@@ -8,7 +8,8 @@ one group against one pack of queries, so that no task holds all of either; the
 
 Defined cases: rows with a null id, a null vector, or a null or non-finite component take no part; of vectors of
 different lengths the shared dimensions count; a query's own row is every row of its id; queries that repeat an id are
-answered each; equal scores go by vec_id; fewer candidates than k give fewer rows; extra columns aren't read.
+answered each; equal scores go by vec_id; fewer candidates than k give fewer rows; extra columns aren't read; an empty
+table gives no rows; an integer or a score beyond 64 bits counts as the nearest one within.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             full = np.zeros((len(own), dims), np.int64)
             for k, x in enumerate(matrix):
                 full[k, : len(x)] = x
-            kind = np.int32 if np.abs(full).max(initial=0) < 2**31 else np.int64
+            kind = np.int32 if -(2**31) <= full.min(initial=0) and full.max(initial=0) < 2**31 else np.int64
             row = [part, seq, len(own), dims, np.array(own, np.int64).tobytes(), bytes([kind == np.int64]) + full.astype(kind).tobytes()]
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "seq", "n", "dims", "ids", "cells"])
@@ -72,14 +73,15 @@ def search(ids, vectors, query_ids, queries, k: int = K, block: int = BLOCK, vis
     """(query's place, vec_id, score) arrays of each query's k best, from blocks in the order of their bounds."""
     dims = min(vectors.shape[1], queries.shape[1])
     vectors, queries = vectors[:, :dims], queries[:, :dims]
-    wide = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(dims, 1)
-    kind = np.float64 if wide < 2**53 else object
+    far = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))  # noqa: E731  the least integer has no positive one
+    kind = np.float64 if far(vectors) * far(queries) * max(dims, 1) < 2**53 else object
+    within = (lambda x: x) if kind is not object else (lambda x: np.minimum(np.maximum(x, -(2**63)), 2**63 - 1))
     vectors, queries = vectors.astype(kind), queries.astype(kind)
     starts = range(0, len(ids), block)
     most = np.stack([vectors[s : s + block].max(0) for s in starts])
     least = np.stack([vectors[s : s + block].min(0) for s in starts])
     plus, minus = np.where(queries > 0, queries, 0), np.where(queries < 0, queries, 0)
-    bounds = plus @ most.T + minus @ least.T  # queries x blocks
+    bounds = within(plus @ most.T + minus @ least.T)  # queries x blocks
     order = np.argsort(-bounds.astype(float), axis=1, kind="stable")
     best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, kind))] * len(queries)
     kth = [None] * len(queries)
@@ -94,7 +96,7 @@ def search(ids, vectors, query_ids, queries, k: int = K, block: int = BLOCK, vis
         for b in np.unique(at):
             asked = open_[at == b]
             own = ids[b * block : (b + 1) * block]
-            scores = queries[asked] @ vectors[b * block : (b + 1) * block].T
+            scores = within(queries[asked] @ vectors[b * block : (b + 1) * block].T)
             for q, row in zip(asked, scores, strict=True):
                 other = own != query_ids[q]
                 keep = other if kth[q] is None else other & (row >= kth[q])

@@ -214,7 +214,7 @@ def test_equal_rows_in_the_join(spark):
 
 def test_pipeline_with_clashing_names(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    more = ("_text", "_nth", "_blob", "_findings", "_kept", "_gone_id", "blob", "findings", "kept", "line", "node")
+    more = ("_text", "_nth", "_blob", "_findings", "_kept", "_gone_id", "_ld_key", "_ld_lines", "_LD_removed", "_ld_id", "_ld_gone", "blob", "findings", "kept", "line", "node")
     wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in more])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         plain = cut(stage(spark, docs, sf_dir), "plain")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codexine.llm import conversation_repair, simhash, token_alignment
+from codexine.llm import conversation_repair, line_dedup, simhash, token_alignment, vector_topk
 from codexine.llm.bpe import vocabulary
 
 from .test_models import read
@@ -283,3 +283,23 @@ def test_repair_query(spark, sf_dir, tables):
     assert {k: v for k, v in got.items() if k is None or k < 10**6} == plain
     assert len(got[10**6][7]) % 5000 <= 2 and len(got) == len(plain) + 2
     assert conversation_repair.op13_conversation_repair(spark, tables_empty(spark, where)).count() == 0
+
+
+def test_vectors_of_huge_components(spark, tables):
+    """Integers and scores beyond 64 bits count as the nearest ones; no row is lost."""
+    rows = [(0, [1e30, -1e30]), (1, [1e30, 1.0]), (2, [-1e30, 2.0]), (3, [1e16, -1e16]), (20, [2.0**57, 0.0]), (4, [-(2.0**57), 0.0]), (5, [0.5, 0.25])]
+    out = vector_topk.op5_vector_topk(spark, tables(embeddings=rows)).collect()
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    ints = {k: [clip(int(np.floor(float(np.float32(c)) * 64))) for c in v] for k, v in rows}
+    want = set()
+    for q in (0, 20):
+        scores = sorted(((-clip(sum(a * b for a, b in zip(ints[q], v, strict=True))), k) for k, v in ints.items() if k != q))
+        want |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(scores)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out} == want
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 7, 8, 9), (2, "a\nb\nc", 1, 2, 3)], "doc_id long, text string, _ld_key int, _ld_lines int, _LD_REMOVED int")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "_ld_key", "_ld_lines", "_LD_REMOVED", *line_dedup.added(df)]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 7, 8, 9, 3, 0), (2, "", 1, 2, 3, 3, 3)]
