@@ -1,8 +1,7 @@
 """A corpus pipeline of five operators: each stage works on all that the stage before it kept.
 
 All stages but the last return the columns of documents, with any further ones that are carried along. Columns that a stage
-needs meanwhile have names that its input doesn't hold; names that begin with "_ld_" are line dedup's own and must not come
-in. Rows that one stage removes don't reach the next.
+needs meanwhile have names that its input doesn't hold. Rows that one stage removes don't reach the next.
 """
 
 from __future__ import annotations
@@ -35,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of lines go, and documents of which nothing is left."""
-    out = line_dedup.dedup(docs).filter((F.col("_ld_removed") < F.col("_ld_lines")) | (F.col("_ld_lines") == 0))
+    n_lines, n_removed = line_dedup.added(docs)
+    out = line_dedup.dedup(docs).filter((F.col(n_removed) < F.col(n_lines)) | (F.col(n_lines) == 0))
     return _sized(out, docs.columns)
 
 
