@@ -20,8 +20,11 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, token, tf, n_tokens: each token of a text once, with its count and the text's length."""
-    words = rows.select(F.col(id_column).alias("id"), text.tokens(text_column).alias("_t")).select("id", F.size("_t").cast("long").alias("n_tokens"), F.explode("_t").alias("token"))
+    """id, token, tf, n_tokens: each token of a text once, with its count and the text's length.
+
+    Texts are dealt by id before they are cut into words, so that the more numerous words aren't moved."""
+    dealt = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("_x")).repartition("id")
+    words = dealt.select("id", text.tokens("_x").alias("_t")).select("id", F.size("_t").cast("long").alias("n_tokens"), F.explode("_t").alias("token"))
     return words.groupBy("id", "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf")).select("id", "token", "tf", "n_tokens")
 
 
@@ -68,51 +71,65 @@ def bm25(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame)
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
 
 
-#: Postings of a query's strongest words from which the first guess at its k best is taken; and what sums of floats may be off by.
+#: Postings of a query's rarest words from which the first guess at its k best is taken; and what sums of floats may be off by.
 FIRST_HITS, SLACK = 1000, 1e-6
+#: The share of a query's least score that its left-out words may add: the more, the fewer postings are read, but the more texts pass.
+LEFT_OUT = 0.5
+#: Postings of all words that are asked for up to which summing all of them is cheaper than finding out which can be left out.
+ALL_HITS = 20_000_000
 
 
 def weighted(queries: DataFrame, weights: DataFrame) -> DataFrame:
     """query_id, token, w, most, df, avgdl: each query word's weight, and the most that it can add to a score.
 
-    queries: query_id, token, qtf; weights: token, df, idf, avgdl, max_tf and min_tokens of the texts that hold the token."""
+    queries: query_id, token, qtf; weights: token, df, idf, avgdl, and of the texts that hold the token max_tf and min_spread."""
     w = F.col("qtf") * F.col("idf")
-    most = F.greatest(w * contribution(F.col("max_tf"), F.col("min_tokens"), F.col("avgdl")), F.lit(0.0))
+    # A word adds (K1 + 1) / (1 + K1 * ((1 - B) / tf + B / avgdl * n_tokens / tf)), so the least of both parts bounds it.
+    least = (1 - B) / F.col("max_tf") + B * F.col("min_spread") / F.col("avgdl")
+    most = F.greatest(w * (K1 + 1) / (1 + K1 * least), F.lit(0.0))
     return queries.join(weights, "token").select("query_id", "token", w.alias("w"), most.alias("most"), "df", "avgdl")
 
 
+def sums(posting: DataFrame) -> DataFrame:
+    """token, df, tf, max_tf, and min_spread: the least of a text's tokens for each time that it holds the token."""
+    return posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"), F.min(F.col("n_tokens") / F.col("tf")).alias("min_spread"))
+
+
 def contribution(tf: Column, n_tokens: Column, avgdl: Column) -> Column:
     """What a word of weight 1 adds to a text: more with tf, less with the text's length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / avgdl))
 
 
-def _strongest(asked: DataFrame) -> DataFrame:
-    """The words of each query that can add most, up to so many postings, and one at least."""
-    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
-    ranked = asked.withColumns({"_nth": F.row_number().over(by), "_hits": F.sum("df").over(by)})
-    return ranked.filter((F.col("_nth") == 1) | (F.col("_hits") <= FIRST_HITS)).drop("_nth", "_hits")
+def _rarest(asked: DataFrame) -> DataFrame:
+    """The rarest words of each query, until they have so many postings."""
+    before = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    return asked.withColumn("_hits", F.coalesce(F.sum("df").over(before), F.lit(0))).filter(F.col("_hits") < FIRST_HITS).drop("_hits")
 
 
 def essential(asked: DataFrame, least: DataFrame) -> DataFrame:
-    """asked with least (null where a query has no bound), rest and is_essential: the weakest words of a query, which together can't
-    reach its least score, aren't; rest is what those add at most."""
-    by = Window.partitionBy("query_id").orderBy("most", F.desc("df"), "token")
+    """asked with least (null where a query has no bound), rest and is_essential: words of a query that together can't reach a share of
+    its least score aren't; rest is what those add at most. They are those that have most postings for what they can add."""
+    by = Window.partitionBy("query_id").orderBy(F.col("most") / F.col("df"), "token")
     rows = asked.join(least, "query_id", "left").withColumn("_sum", F.sum("most").over(by))
-    rows = rows.withColumn("is_essential", F.col("least").isNull() | (F.col("_sum") >= F.col("least") - SLACK)).drop("_sum")
+    rows = rows.withColumn("is_essential", F.col("least").isNull() | (F.col("_sum") >= LEFT_OUT * F.col("least") - SLACK)).drop("_sum")
     rest = F.coalesce(F.sum(F.when(~F.col("is_essential"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))
     return rows.withColumn("rest", rest)
 
 
-def top_bm25(posting: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def top_bm25(posting: DataFrame, asked: DataFrame, k: int, all_hits: int = ALL_HITS) -> DataFrame:
     """query_id, id, score of at least each query's k best texts (ties at the k-th place included): exactly those that bm25 finds.
 
-    posting: id, token, tf, n_tokens, a table that is cheap to read again; asked: of weighted(). The texts that a query's
-    strongest words find are scored exactly; their k-th score is the least that counts. Words that can't reach it together
+    posting: id, token, tf, n_tokens, a table that is cheap to read again; asked: of weighted(). The first k texts by a query's
+    rarest words are scored exactly; their k-th score is the least that counts. Words that can't reach it together
     bring no texts in. Texts that the others find are dropped where these and the most of the rest stay below it, and only
-    what is left meets the rest. A query with fewer than k first texts has no bound, and all of its words count."""
+    what is left meets the rest. A query with fewer than k first texts has no bound, and all of its words count. Where there are
+    few postings in all, they are just summed."""
     asked = cut(asked, "asked")
     few = len(asked.select("token").take(FEW_TOKENS + 1)) <= FEW_TOKENS
     small = F.broadcast if few else (lambda df: df)
+    if (asked.agg(F.sum("df")).collect()[0][0] or 0) <= all_hits:
+        part = F.col("w") * contribution(F.col("tf"), F.col("n_tokens"), F.col("avgdl"))
+        return posting.join(small(asked.select("query_id", "token", "w", "avgdl")), "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     own = posting.join(small(asked.select("token").distinct()), "token", "left_semi")
     own = cut(own.repartition("id") if few else own, "own")  # postings of the words that are asked for, dealt by text
     own_part = F.col("w") * contribution(F.col("tf"), F.col("n_tokens"), F.col("avgdl"))
@@ -126,7 +143,7 @@ def top_bm25(posting: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         wanted = pairs.select("query_id", "id").join(small(words.select("query_id", "token", "w", "avgdl")), "query_id")
         return wanted.join(own, ["id", "token"]).groupBy("query_id", "id").agg(F.sum(own_part).alias("more"))
 
-    first = cut(top_k(found(_strongest(asked)), k).select("query_id", "id"), "first")
+    first = cut(top_k(found(_rarest(asked)), k).select("query_id", "id"), "first")
     least = added(first, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("more").alias("least")).filter(F.col("_n") >= k).drop("_n")
     asked = cut(essential(asked, least), "essential")
     bounds = asked.select("query_id", "least", "rest").distinct()
@@ -136,12 +153,12 @@ def top_bm25(posting: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return some.join(rest, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def bm25_top(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame, k: int) -> DataFrame:
+def bm25_top(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame, k: int, all_hits: int = ALL_HITS) -> DataFrame:
     """top_bm25 of texts that no index is kept of."""
     index = cut(postings(rows, id_column, text_column), "postings")
-    weights = idf(index, rows.agg(F.count(F.lit(1)).alias("n")))
-    most = index.groupBy("token").agg(F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"))
-    return top_bm25(index, weighted(queries, weights.join(most, "token")), k)
+    own = cut(sums(index), "sums")
+    weights = inverse(own.withColumnRenamed("tf", "_tf"), rows.agg(F.count(F.lit(1)).alias("n")))
+    return top_bm25(index, weighted(queries, weights.join(own.select("token", "max_tf", "min_spread"), "token")), k, all_hits)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple = ("query_id",), ties: str = "id") -> DataFrame:

@@ -62,12 +62,8 @@ def postings(spark: SparkSession, path: str, kind: str, names: list[str] | None
     return rows.join(_read(spark, path, "dead", "rows", f"segment string, id {kind}, n_tokens long"), ["segment", "id"], "left_anti")
 
 
-def _sums(posting: DataFrame) -> DataFrame:
-    """token, df, tf, and of its texts the greatest count and the least length."""
-    return posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"))
-
-
-_SUMS = "token string, df long, tf long, max_tf long, min_tokens long"
+#: Sums by token: texts, times, and of its texts the greatest count and the least spread.
+_SUMS = "token string, df long, tf long, max_tf long, min_spread double"
 
 
 def _write_segment(path: str, texts: DataFrame, posting: DataFrame) -> tuple[str, int, int]:
@@ -76,7 +72,7 @@ def _write_segment(path: str, texts: DataFrame, posting: DataFrame) -> tuple[str
     texts.select(F.lit(name).alias("segment"), "id", "digest", "n_tokens").write.parquet(f"{path}/segment/{name}/texts")
     own = posting.select(F.lit(name).alias("segment"), "id", "token", "tf", "n_tokens")
     own.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{path}/segment/{name}/postings")
-    _sums(spark.read.parquet(f"{path}/segment/{name}/postings")).write.parquet(f"{path}/segment/{name}/terms")
+    index.sums(spark.read.parquet(f"{path}/segment/{name}/postings")).write.parquet(f"{path}/segment/{name}/terms")
     total = spark.read.parquet(f"{path}/segment/{name}/texts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0]
     return name, total[0], total[1]
 
@@ -87,7 +83,7 @@ def _write_dead(spark: SparkSession, path: str, gone: DataFrame, kind: str) -> t
     gone.select("segment", "id", "n_tokens").write.parquet(f"{path}/dead/{name}/rows")
     rows = spark.read.parquet(f"{path}/dead/{name}/rows")
     held = _read(spark, path, "segment", "postings", f"segment string, id {kind}, token string, tf long, n_tokens long")
-    _sums(held.join(rows.select("segment", "id"), ["segment", "id"], "left_semi")).write.parquet(f"{path}/dead/{name}/terms")
+    index.sums(held.join(rows.select("segment", "id"), ["segment", "id"], "left_semi")).write.parquet(f"{path}/dead/{name}/terms")
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0]
     return name, total[0], total[1]
 
@@ -171,15 +167,15 @@ def vacuum(spark: SparkSession, path: str) -> int:
 
 
 def weights(spark: SparkSession, path: str) -> DataFrame:
-    """token, df, idf, avgdl, max_tf, min_tokens, from the sums of segments less those of dead rows. The last two bound what a token
+    """token, df, idf, avgdl, max_tf, min_spread, from the sums of segments less those of dead rows. The last two bound what a token
     can add; dead rows may leave them wider than they need be, until segments are merged."""
     own, dead = _read(spark, path, "segment", "terms", _SUMS), _read(spark, path, "dead", "terms", _SUMS)
-    less = dead.select("token", F.negative("df").alias("df"), F.negative("tf").alias("tf"), F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("long").alias("min_tokens"))
-    sums = own.unionByName(less).groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("_tf"), F.max("max_tf").alias("max_tf"), F.min("min_tokens").alias("min_tokens"))
+    less = dead.select("token", F.negative("df").alias("df"), F.negative("tf").alias("tf"), F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("double").alias("min_spread"))
+    sums = own.unionByName(less).groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("_tf"), F.max("max_tf").alias("max_tf"), F.min("min_spread").alias("min_spread"))
     sums = cut(sums.filter("df > 0"), "sums")
     n = sum(m["n"] * (1 if m["kind"] == "segment" else -1) for m in parts(spark, path))
     inverse = index.inverse(sums, spark.createDataFrame([(n,)], "n long"))
-    return inverse.join(sums.select("token", "max_tf", "min_tokens"), "token")
+    return inverse.join(sums.select("token", "max_tf", "min_spread"), "token")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
