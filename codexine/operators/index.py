@@ -156,9 +156,13 @@ def top_bm25(posting: DataFrame, asked: DataFrame, k: int, all_hits: int = ALL_H
 def bm25_top(rows: DataFrame, id_column: str, text_column: str, queries: DataFrame, k: int, all_hits: int = ALL_HITS) -> DataFrame:
     """top_bm25 of texts that no index is kept of."""
     index = cut(postings(rows, id_column, text_column), "postings")
-    own = cut(sums(index), "sums")
-    weights = inverse(own.withColumnRenamed("tf", "_tf"), rows.agg(F.count(F.lit(1)).alias("n")))
-    return top_bm25(index, weighted(queries, weights.join(own.select("token", "max_tf", "min_spread"), "token")), k, all_hits)
+    return top_bm25(index, weighted(queries, statistics(index, rows.agg(F.count(F.lit(1)).alias("n")))), k, all_hits)
+
+
+def statistics(posting: DataFrame, n_texts: DataFrame) -> DataFrame:
+    """What weighted() needs of an index: token, df, idf, avgdl, max_tf, min_spread. n_texts: one row, n."""
+    own = cut(sums(posting), "sums")
+    return inverse(own.withColumnRenamed("tf", "_tf"), n_texts).join(own.select("token", "max_tf", "min_spread"), "token")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple = ("query_id",), ties: str = "id") -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def level_join(probes: DataFrame, rows: DataFrame, levels: list[list[str]], first_only: bool = False) -> DataFrame:
     """Probes meet rows at every level (a list of key columns, the most special first), as one union of equal joins.
@@ -94,3 +96,18 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_id: str,
 def linked_anti(rows: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that no link points at."""
     return rows.join(links.select(*keys).distinct(), keys, "left_anti")
+
+
+def contained(sets: DataFrame, held: DataFrame, set_id: str, held_id: str, words: str) -> DataFrame:
+    """set_id, held_id of the distinct words of sets that stand whole in those of held. They meet by the one word of a set that the
+    fewest of held have; what meets is then compared. Empty sets are in none."""
+    own = cut(held.select(held_id, F.array_distinct(words).alias("_held")), "held")
+    each = own.select(held_id, F.explode("_held").alias("_w"))
+    asked = cut(sets.select(set_id, F.array_distinct(words).alias("_asked")).filter(F.size("_asked") > 0), "asked")
+    named = asked.select(set_id, F.explode("_asked").alias("_w"))
+    often = cut(each.join(named.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_n")), "often")
+    # A word that nobody has makes its set one that is in none.
+    rarest = named.join(often, "_w", "left").groupBy(set_id).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_w")).alias("_m"))
+    key = rarest.filter("_m._n > 0").select(set_id, F.col("_m._w").alias("_w"))
+    met = key.join(each, "_w").select(set_id, held_id).join(asked, set_id).join(own, held_id)
+    return met.filter(F.size(F.array_except("_asked", "_held")) == 0).select(set_id, held_id)

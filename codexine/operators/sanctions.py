@@ -109,8 +109,12 @@ def suspensions(records: DataFrame) -> DataFrame:
     sanctions = sanctions.select(F.col("id").alias("sanction_id"), "document", "article", suspension_text("text").alias("suspension"), suspended_clauses("text").alias("_specs"), F.col("act").alias("_own"))
     named = sanctions.select("sanction_id", "document", "article", "suspension", F.explode("_specs").alias("_spec")).select("sanction_id", "document", "article", "suspension", F.col("_spec.clause").alias("clause"), F.explode(F.when(F.size("_spec.points") > 0, F.col("_spec.points")).otherwise(F.array(F.lit("*")))).alias("_point"))
     acts = rows.filter(~F.col("_s") & F.col("act").isNotNull()).select("document", "article", "clause", F.explode(F.array(F.lit("*"), "point")).alias("_point"), F.col("id").alias("act_id"), "act")
-    found = named.join(acts, ["document", "article", "clause", "_point"]).select("act_id", "act", "suspension", "sanction_id").distinct()
-    alone = sanctions.filter("_own IS NOT NULL").join(found.select("sanction_id").distinct(), "sanction_id", "left_anti")
+    key = ["document", "article", "clause", "_point"]
+    # Of the sanctions of one place and one text only the least counts, so acts meet texts, not sanctions.
+    least = named.groupBy(*key, F.substring(text.fold("suspension"), 1, 220).alias("_said")).agg(F.min(F.struct("sanction_id", "suspension")).alias("_m"))
+    found = least.join(acts, key).select("act_id", "act", "_m.suspension", "_m.sanction_id").distinct()
+    acted = named.join(acts.select(key).distinct(), key, "left_semi").select("sanction_id").distinct()
+    alone = sanctions.filter("_own IS NOT NULL").join(acted, "sanction_id", "left_anti")
     both = found.unionByName(alone.select(F.col("sanction_id").alias("act_id"), F.col("_own").alias("act"), "suspension", "sanction_id"))
     one = Window.partitionBy("act_id", F.substring(text.fold("act"), 1, 360), F.substring(text.fold("suspension"), 1, 220)).orderBy("sanction_id")
     return both.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")

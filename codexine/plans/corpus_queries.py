@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import references, text
-from ..operators import aggregates, answers, chunking, index, spatial
+from ..operators import aggregates, answers, chunking, index, joins, spatial
 from .registry import content, fold, query, tokens
 
 
@@ -148,11 +148,10 @@ def case_report(conversations):
 
 @query("benchmark", "documents", sql=f"WITH b AS (SELECT item_id, {content('text')} AS w FROM benchmark), d AS (SELECT doc_id, {content('text')} AS w FROM documents), x AS (SELECT item_id, unnest(w) AS t FROM b), y AS (SELECT doc_id, unnest(w) AS t FROM d), j AS (SELECT item_id, doc_id, count(*) AS shared FROM x JOIN y USING (t) GROUP BY 1, 2) SELECT item_id, doc_id FROM j JOIN b USING (item_id) WHERE shared = len(w)")
 def contained_passages(benchmark, documents):
-    """Documents that hold every content word of a benchmark item, by an equal join on words."""
-    b = benchmark.select("item_id", text.content_tokens("text").alias("w"))
-    x = b.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    y = documents.select("doc_id", F.explode(text.content_tokens("text")).alias("t"))
-    return x.join(y, "t").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter("shared = n").select("item_id", "doc_id")
+    """Documents that hold every content word of a benchmark item; they meet by the item's rarest word."""
+    asked = benchmark.select("item_id", text.content_tokens("text").alias("words"))
+    held = documents.select("doc_id", text.content_tokens("text").alias("words"))
+    return joins.contained(asked, held, "item_id", "doc_id", "words")
 
 
 @query("orders", "lineitem", sql="SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN 'missing' WHEN abs(o_totalprice - sum(l_extendedprice)) <= 0.15 * o_totalprice THEN 'near' ELSE 'off' END AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice")

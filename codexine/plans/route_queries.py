@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decompose, planner, routes, scoring
-from .registry import query
+from . import decompose, planner, rounds, routes, scoring
+from .registry import SQL, fold, query
 from .statute_queries import _REC, asked, statutes
 
 
@@ -75,3 +75,36 @@ def rerank_gate(benchmark):
     """Rows only: whether a model would rerank a question's hits."""
     rows = asked(benchmark).withColumn("f", planner.facets("question")).withColumn("s", decompose.complexity("question", F.col("f"), F.size("f")))
     return rows.select("query_id", scoring.should_rerank("question").alias("unknown"), scoring.should_rerank("question", planner.difficulty(F.col("s")), "s").alias("known"))
+
+
+@query("orders", "benchmark")
+def search_rounds(orders, benchmark):
+    """Rows only: every question searched in rounds until nothing is open; tests hold it against a plain loop."""
+    hits, _ = rounds.search(corpus(orders), asked(benchmark))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+_NINE = "CASE item_id % 9 WHEN 0 THEN 'Mức phạt nào cao nhất' WHEN 1 THEN 'Điều nào hay vi phạm nhất' WHEN 2 THEN 'Hành vi nào bị trừ điểm nhiều nhất' WHEN 3 THEN 'Danh sách hành vi bị tước giấy phép lái xe' WHEN 4 THEN 'Mức phạt nào thấp nhất' WHEN 5 THEN 'Trừ điểm ít nhất bao nhiêu' WHEN 6 THEN 'Điều nào vi phạm phổ biến nhất' WHEN 7 THEN 'Toàn bộ hành vi bị tước bằng lái' ELSE 'xyz' END"
+_KIND = "CASE item_id % 9 WHEN 0 THEN 'fines' WHEN 1 THEN 'frequency' WHEN 2 THEN 'points' WHEN 3 THEN 'suspension' WHEN 4 THEN 'fines' WHEN 5 THEN 'points' WHEN 6 THEN 'frequency' WHEN 7 THEN 'suspension' ELSE 'unsupported' END"
+
+
+@query(
+    "orders", "benchmark",
+    sql=f"""
+WITH {_REC}, q AS (SELECT item_id AS query_id, {_KIND} AS kind, item_id % 9 IN (4, 5) AS least FROM benchmark),
+o AS (SELECT document, article, count(*) AS n, min(id) AS id FROM rec WHERE contains({fold("text")}, 'phat') OR contains({fold("text")}, 'vi pham') GROUP BY 1, 2),
+a AS ({SQL["fine_amounts"]}),
+r AS (
+ SELECT 'frequency' AS kind, false AS least, row_number() OVER (ORDER BY n DESC, document, article) AS rank, document || ', Điều ' || article AS label, id, CAST(n AS DOUBLE) AS value FROM o QUALIFY rank <= 12
+ UNION ALL SELECT 'fines', false, row_number() OVER (ORDER BY amount_max DESC, id) AS rank, 'Điều ' || article, id, CAST(amount_max AS DOUBLE) FROM a WHERE amount_max > 0 QUALIFY rank <= 12
+ UNION ALL SELECT 'fines', true, row_number() OVER (ORDER BY amount_min, id) AS rank, 'Điều ' || article, id, CAST(amount_min AS DOUBLE) FROM a WHERE amount_min > 0 QUALIFY rank <= 12
+ UNION ALL SELECT 'points', false, rank, '', id, CAST(points AS DOUBLE) FROM ({SQL["point_ranking"]}) UNION ALL SELECT 'points', true, rank, '', id, CAST(points AS DOUBLE) FROM ({SQL["fewest_points"]})
+ UNION ALL SELECT 'suspension', false, row_number() OVER (ORDER BY act_id, act || ': ' || suspension) AS rank, act || ': ' || suspension, act_id, NULL FROM ({SQL["suspension_catalog"]}) QUALIFY rank <= 120
+)
+SELECT query_id, kind, CAST(rank AS INTEGER) AS rank, label, id, value FROM q LEFT JOIN r USING (kind, least) WHERE kind = 'unsupported' OR rank IS NOT NULL
+""",
+)
+def aggregation_answers(orders, benchmark):
+    """The statistic that each question asks for, over all statutes."""
+    questions = benchmark.select(F.col("item_id").alias("query_id"), F.expr(_NINE).alias("question"))
+    return routes.aggregation(statutes(orders), questions)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import graph, index, joins
+from ..operators import graph, index, joins, sanctions
 from ..sources.tables import cut
 from . import planner, rules, scoring
 
@@ -227,9 +227,12 @@ def legal_rows(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) ->
     ref = F.get(text.explicit_refs("question"), F.lit(0))
     probes = asked.select("query_id", "named", ref.alias("r")).select("query_id", "named", F.col("r.article").alias("article"), F.coalesce("r.clause", F.lit("")).alias("_c"), F.coalesce("r.point", F.lit("")).alias("_p")).filter("article IS NOT NULL")
     same = lambda want, have: (F.col(want) == "") | (F.lower(F.coalesce(F.col(have), F.lit(""))) == F.lower(F.col(want)))
-    hits = probes.join(rows, "article").filter(((F.size("named") == 0) | F.array_contains("named", F.col("document"))) & same("_c", "clause") & same("_p", "point"))
+    ref = ["named", "article", "_c", "_p"]
+    # Rows are ranked once for each reference, however many questions name it.
+    hits = probes.select(ref).distinct().join(rows, "article").filter(((F.size("named") == 0) | F.array_contains("named", F.col("document"))) & same("_c", "clause") & same("_p", "point"))
     order = F.struct("document", arrays.natural_key("clause"), arrays.natural_key("point"), "id")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order))).filter(F.col("rank") <= max(k, 40))
+    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*ref).orderBy(order))).filter(F.col("rank") <= max(k, 40))
+    ranked = probes.join(first.select(*ref, "id", "rank"), ref)
     return ranked.select("query_id", "id", (F.lit(120.0) - F.col("rank")).alias("score"), F.array(F.lit("legal_detail_route")).alias("reasons"), "rank")
 
 
@@ -255,6 +258,42 @@ def aggregation_kind(question) -> Column:
     )
 
 
+def asks_least(question) -> Column:
+    """Whether a question asks for the lowest in place of the highest."""
+    return text.contains_any(text.fold(question), ("thap nhat", "it nhat", "nho nhat", "nhe nhat"))
+
+
+def aggregation(records: DataFrame, questions: DataFrame, k: int = 12, catalogued: int = 120) -> DataFrame:
+    """query_id, kind, rank, label, id, value of the statistic that each question (query_id, question) asks for, over all records.
+
+    Frequency: the articles with most rows on violations; fines: the highest amounts (the lowest above zero, if those are asked
+    for); points: the most, or fewest; suspension: acts in order of id, the first catalogued. Each statistic is taken once,
+    as a report of a few rows, whatever the number of questions; an unsupported question has one row without a value.
+    records: as in sanctions.suspensions, with fine_min and fine_max besides."""
+    asked = questions.select("query_id", aggregation_kind("question").alias("kind"), asks_least("question").alias("_least"))
+    n = max(5, min(k, 12))
+    report = lambda df, kind, least, label, value: df.select(F.lit(kind).alias("kind"), F.lit(least).alias("_least"), F.col("rank").cast("int").alias("rank"), label.alias("label"), "id", value.cast("double").alias("value"))
+    ranked = lambda df, *order: df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k report
+    told = records.filter(text.contains_any(text.fold("text"), ("vi pham", "phat")) & (F.coalesce("article", F.lit("")) != ""))
+    often = told.groupBy("document", "article").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    fines = sanctions.amounts(records)
+    place = F.concat_ws(" ", F.lit("Điều"), "article")
+    parts = []
+    for least in (False, True):
+        parts.append(report(ranked(often, F.desc("n"), "document", "article"), "frequency", least, F.concat_ws(", ", "document", place), F.col("n")))
+        amount = F.col("amount_min" if least else "amount_max")
+        parts.append(report(ranked(fines.filter(amount > 0), F.asc(amount) if least else F.desc(amount), "id"), "fines", least, place, amount))
+        parts.append(report(sanctions.point_ranking(records, n, least), "points", least, F.lit(""), F.col("points")))
+    acts = sanctions.suspensions(records).select(F.col("act_id").alias("id"), F.concat_ws(": ", "act", "suspension").alias("label"))
+    first = cut(acts.orderBy("id", "label").limit(catalogued).withColumn("rank", F.row_number().over(Window.orderBy("id", "label"))), "acts")
+    parts += [report(first, "suspension", least, F.col("label"), F.lit(None)) for least in (False, True)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    out = asked.join(cut(every, "reports"), ["kind", "_least"], "left").filter((F.col("kind") == "unsupported") | F.col("rank").isNotNull())
+    return out.select("query_id", "kind", "rank", "label", "id", "value")
+
+
 #: The route of each intent; others take the general one.
 ROUTES = {
     "penalty": penalty, "sign": sign, "table": table, "definition": definition, "procedure": procedure, "priority": priority, "scenario": scenario, "source_image": source_image,

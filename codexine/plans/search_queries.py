@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import evaluation, graph, index, stored_index
+from ..operators import evaluation, graph, grams, index, sequences, stored_index
+from ..sources import buckets
 from ..sources import tables as store
 from ..streaming import incremental
 from . import routes
@@ -318,7 +319,20 @@ def stream_upsert(spark, sf_dir):
     (table,) = readers.tables(spark, sf_dir, "orders")
     stream = spark.readStream.schema(table.schema).parquet(_folder(spark, sf_dir, "orders")).select("o_custkey", "o_orderkey", "o_totalprice")
     incremental.upsert_stream(stream, out, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], place).awaitTermination()
-    return store.current(spark, out)
+    return buckets.read(spark, out)
+
+
+def bucket_changes(spark, sf_dir):
+    """Orders in buckets: a half of them with other prices, then all, and without every seventh."""
+    from ..sources import readers
+
+    (orders,) = readers.tables(spark, sf_dir, "orders")
+    rows = orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    path = store.fresh_path(spark, "buckets")
+    buckets.sync(path, rows.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), ["o_orderkey"])
+    buckets.sync(path, rows, ["o_orderkey"])
+    buckets.sync(path, rows.filter("o_orderkey % 7 <> 0"), ["o_orderkey"], whole=True)
+    return buckets.read(spark, path)
 
 
 def stream_windows(spark, sf_dir):
@@ -349,6 +363,8 @@ def stream_enrich(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+QUERIES["bucket_changes"] = bucket_changes
+SQL["bucket_changes"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0"
 QUERIES["stream_windows"] = stream_windows
 SQL["stream_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 QUERIES["stream_enrich"] = stream_enrich
@@ -357,3 +373,38 @@ QUERIES["stream_last_turns"] = stream_last_turns
 SQL["stream_last_turns"] = "SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8"
 QUERIES["stream_upsert"] = stream_upsert
 SQL["stream_upsert"] = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"
+
+
+@query(
+    "documents", "benchmark",
+    sql=f"""
+WITH b AS (SELECT doc_id AS id, {fold("text")} AS body FROM documents), w AS (SELECT item_id AS query_id, string_split({fold("text")}, ' ') AS w FROM benchmark),
+g AS (SELECT query_id, 1 AS part, [w[1], w[2]] AS terms FROM w UNION ALL SELECT query_id, 2, [w[3], w[4] || ' ' || w[5]] FROM w UNION ALL SELECT query_id, 3, [w[6][1:2] || w[7][1:1], w[8]] FROM w),
+m AS (SELECT query_id, part, id FROM g JOIN b ON len([t FOR t IN terms IF t <> '' AND contains(body, t)]) > 0)
+SELECT query_id, id FROM m GROUP BY query_id, id HAVING count(*) = 3
+""",
+)
+def gram_search(documents, benchmark):
+    """Documents that hold, also within words, a term of each of three groups that every benchmark item makes."""
+    posting = store.cut(grams.postings(documents.select("doc_id", text.fold("text").alias("body")), "doc_id", "body"), "grams")
+    words = benchmark.select(F.col("item_id").alias("query_id"), F.split(text.fold("text"), " ", -1).alias("w"))
+    w = lambda n: F.coalesce(F.get("w", F.lit(n - 1)), F.lit(""))
+    parts = [F.array(w(1), w(2)), F.array(w(3), F.concat(w(4), F.lit(" "), w(5))), F.array(F.concat(F.substring(w(6), 1, 2), F.substring(w(7), 1, 1)), w(8))]
+    groups = words.select("query_id", F.posexplode(F.array(*parts)).alias("part", "terms")).select("query_id", "part", F.explode("terms").alias("term"))
+    return grams.matching(posting, groups)
+
+
+def _sequences(documents):
+    return documents.select(F.col("doc_id").alias("id"), text.tokens("text").alias("words"))
+
+
+@query("documents")
+def sequence_pairs(documents):
+    """Rows only: documents whose words match in blocks of 0.88; tests hold the query against all pairs."""
+    return sequences.ratio_pairs(_sequences(documents), "id", "words", 0.88).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("documents")
+def sequence_leakage(documents):
+    """Rows only: every fifth document with the nearest of the others, if it reaches 0.88; tests hold the query against all pairs."""
+    return sequences.ratio_leakage(_sequences(documents), "id", "words", F.col("id") % 5 == 0, 0.88).withColumn("ratio", F.round("ratio", 6))

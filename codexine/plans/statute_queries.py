@@ -239,12 +239,12 @@ def table_headers(customer):
     return rows.select("c_custkey", F.size(audits.table_parts("rows")["headers"]).alias("h"), F.size(audits.table_parts("rows")["rows"]).alias("n_rows"), audits.has_merged_cells("rows").alias("merged")).select("c_custkey", (F.col("h") > 0).alias("header"), "n_rows", "merged")
 
 
-@query("orders", "lineitem", sql="SELECT DISTINCT o_orderkey AS chunk, l_orderkey * 10 + l_linenumber AS table FROM orders JOIN lineitem ON l_suppkey % 7 = o_custkey % 7 AND l_partkey % 50 BETWEEN o_orderkey % 50 AND o_orderkey % 50 + 1 WHERE l_linenumber = o_orderkey % 8 AND l_returnflag = 'R'")
+@query("orders", "lineitem", sql="SELECT DISTINCT o_orderkey AS chunk, l_orderkey * 10 + l_linenumber AS table FROM orders JOIN lineitem ON l_orderkey // 200 = o_orderkey // 200 AND l_partkey % 50 BETWEEN o_orderkey % 50 AND o_orderkey % 50 + 1 WHERE l_linenumber = o_orderkey % 8 AND l_returnflag = 'R'")
 def chunk_tables(orders, lineitem):
-    """Tables on a chunk's pages whose first cell stands in its text."""
-    chunks = orders.select((F.col("o_custkey") % 7).alias("document"), F.col("o_orderkey").alias("chunk"), (F.col("o_orderkey") % 50).cast("int").alias("page_start"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("page_end"), F.concat(F.lit("Phần mở đầu của văn bản này có dòng số "), (F.col("o_orderkey") % 8).cast("string"), F.lit(". Hết phần này ở đây")).alias("text"), F.lit(None).cast("double").alias("y_from"), F.lit(None).cast("double").alias("y_to"))
+    """Tables on a chunk's pages whose first cell stands in its text; documents grow in number with the orders."""
+    chunks = orders.select(F.expr("o_orderkey div 200").alias("document"), F.col("o_orderkey").alias("chunk"), (F.col("o_orderkey") % 50).cast("int").alias("page_start"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("page_end"), F.concat(F.lit("Phần mở đầu của văn bản này có dòng số "), (F.col("o_orderkey") % 8).cast("string"), F.lit(". Hết phần này ở đây")).alias("text"), F.lit(None).cast("double").alias("y_from"), F.lit(None).cast("double").alias("y_to"))
     cell = F.concat(F.lit("dòng số "), F.col("l_linenumber").cast("string"), F.lit(". | x"))
-    tables = lineitem.filter("l_returnflag = 'R'").select((F.col("l_suppkey") % 7).alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("table"), (F.col("l_partkey") % 50).cast("int").alias("page"), cell.alias("text"), F.lit(None).cast("double").alias("y"))
+    tables = lineitem.filter("l_returnflag = 'R'").select(F.expr("l_orderkey div 200").alias("document"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("table"), (F.col("l_partkey") % 50).cast("int").alias("page"), cell.alias("text"), F.lit(None).cast("double").alias("y"))
     return audits.tables_of_chunks(chunks, tables)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources import sinks, tables
+from ..sources import buckets, tables
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str, digest: str) -> DataFrame:
@@ -20,16 +20,14 @@ def pending(rows: DataFrame, done: DataFrame, key: str, digest: str) -> DataFram
 
 
 def upsert_stream(stream: DataFrame, path: str, key: list[str], order: list, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of versions (sources.tables) with one row for each key. A batch that runs again gives the same table, so each
-    row counts once; a batch that fails leaves the last version. A table that is missing after the first batch is an error."""
+    """Keeps a table in buckets (sources.buckets) with one row for each key; a batch rewrites the buckets of its keys only. A batch that
+    runs again gives the same table, so each row counts once; a batch that fails leaves the last version. A table that is missing
+    after the first batch is an error."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        old = tables.current(batch.sparkSession, path, batch.schema)
-        if old is None and number > 0:
+        if number > 0 and not tables.versions(batch.sparkSession, f"{path}/manifest"):
             raise FileNotFoundError(f"batch {number} finds no table at {path}")
-        if old is None:
-            old = batch.sparkSession.createDataFrame([], batch.schema)
-        tables.replace(sinks.upserted(old, batch, key, order), path)
+        buckets.upsert(path, batch, key, order)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

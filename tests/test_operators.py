@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexine.functions import models, text
-from codexine.operators import aggregates, answers, chunking, evaluation, graph, index, joins, phrases, records, spatial, stored_index, windows
+from codexine.operators import aggregates, answers, chunking, evaluation, grams, graph, index, joins, phrases, records, sequences, spatial, stored_index, windows
 from codexine import plans
-from codexine.plans import planner, routes
-from codexine.sources import readers, sinks, tables
+from codexine.plans import decompose, planner, rounds, routes
+from codexine.sources import buckets, readers, sinks, tables
 from codexine.streaming import incremental
 
 
@@ -308,7 +308,7 @@ def test_upsert_stream_wants_its_table(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
         incremental.upsert_stream(stream, out, ["id"], [F.desc("n")], str(tmp_path / "state")).awaitTermination()
-        return rows(tables.current(spark, out))
+        return rows(buckets.read(spark, out))
 
     feed("1", [(1, 1), (1, 2)])
     assert run() == [(1, 2)]
@@ -462,3 +462,174 @@ def test_an_index_that_grows(spark, tmp_path):
     check()
     assert stored_index.vacuum(spark, path) > 0
     check()
+
+
+def plain_ratios(sets, least):
+    from difflib import SequenceMatcher
+
+    ids = sorted(sets)
+    out = {}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            m = SequenceMatcher(None, sets[a], sets[b], autojunk=False)
+            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
+                out[a, b] = round(m.ratio(), 6)
+    return out
+
+
+@pytest.mark.parametrize("q", [1, 2, 3])
+def test_sequence_ratios_of_letters(spark, q):
+    import random
+
+    dice = random.Random(q)
+    base = ["".join(dice.choice("abcde ") for _ in range(dice.randint(1, 60))) for _ in range(25)]
+    texts = base + ["".join(c for c in t if dice.random() > 0.08) + dice.choice(["", "x", "yz"]) for t in base] + [base[0], "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.when(F.length("t") > 0, F.split("t", "")).alias("w"))
+    first = {}
+    for k, t in enumerate(texts):
+        if t:
+            first.setdefault(t, k)
+    want = plain_ratios({k: t for t, k in first.items()}, 0.88) | {(first[t], k): 1.0 for k, t in enumerate(texts) if t and first[t] < k}
+    got = {(r["a"], r["b"]): round(r["ratio"], 6) for r in sequences.ratio_pairs(df, "id", "w", 0.88, q).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_sequence_queries_against_all_pairs(spark, sf_dir):
+    docs = {r["doc_id"]: r["w"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.tokens("text").alias("w")).collect() if r["w"]}
+    first = {}
+    for k in sorted(docs):
+        first.setdefault(tuple(docs[k]), k)
+    near = plain_ratios({k: docs[k] for k in first.values()}, 0.88)
+    same = {(first[tuple(w)], k): 1.0 for k, w in docs.items() if first[tuple(w)] < k}
+    got = {(r["a"], r["b"]): r["ratio"] for r in plans.QUERIES["sequence_pairs"](spark, sf_dir).collect()}
+    assert got == near | same and near
+    every = {k: {k: 1.0} for k in first.values()}
+    for (a, b), r in near.items():
+        every[a][b] = every[b][a] = r
+    train = {}
+    for k in sorted(docs):
+        if k % 5:
+            train.setdefault(first[tuple(docs[k])], k)
+    want = {}
+    for k, w in docs.items():
+        best = min(((-r, train[s]) for s, r in every[first[tuple(w)]].items() if s in train), default=None)
+        if k % 5 == 0 and best:
+            want[k] = (best[1], -best[0])
+    assert {r["test_id"]: (r["train_id"], r["ratio"]) for r in plans.QUERIES["sequence_leakage"](spark, sf_dir).collect()} == want
+
+
+def test_terms_by_grams(spark):
+    import random
+
+    dice = random.Random(9)
+    texts = [(k, "".join(dice.choice("ab é") for _ in range(dice.randint(0, 30)))) for k in range(60)] + [(60, None), (None, "ab")]
+    words = {"".join(dice.choice("ab é") for _ in range(n)) for n in range(1, 9) for _ in range(6)} | {"zzz", "abz"}
+    posting = tables.cut(grams.postings(spark.createDataFrame(texts, "id int, t string"), "id", "t"))
+    got = {tuple(r) for r in grams.containing(posting, spark.createDataFrame([(w,) for w in [*words, ""]], "term string")).select("term", "id").collect()}
+    assert got == {(w, k) for w in words for k, t in texts if t and k is not None and w in t}
+    groups = spark.createDataFrame([(1, 1, "ab"), (1, 1, "zz"), (1, 2, "é a"), (2, 1, "a"), (2, 2, "")], "query_id int, part int, term string")
+    assert {tuple(r) for r in grams.matching(posting, groups).collect()} == {(1, k) for k, t in texts if t and k is not None and "ab" in t and "é a" in t}
+
+
+def test_changes_rewrite_their_buckets_only(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/table", "id long, v string, w int"
+    df = lambda data: spark.createDataFrame(data, kind)
+    state = {k: (k, f"v{k}", k % 3) for k in range(400)} | {None: (None, None, None)}
+    out = buckets.sync(path, df(list(state.values())), ["id"], buckets=16)
+    assert out == {"inserted": 401, "updated": 0, "deleted": 0, "same": 0, "buckets": 16}
+    held = lambda: sorted(map(tuple, buckets.read(spark, path).collect()), key=str) == sorted(state.values(), key=str)
+    assert held() and buckets.sync(path, df(list(state.values())), ["id"])["buckets"] == 0
+    commits = set(os.listdir(tmp_path / "table" / "data"))
+    out = buckets.sync(path, df([(7, "new", 1), (7, "newer", None), (1000, "x", 0), (8, "v8", 2)]), ["id"], gone=df([(9, "", 0), (7, "", 0), (5000, "", 0)]))
+    assert (out["inserted"], out["updated"], out["deleted"], out["same"]) == (1, 1, 1, 1) and out["buckets"] <= 3
+    (new,) = set(os.listdir(tmp_path / "table" / "data")) - commits
+    assert len([x for x in os.listdir(tmp_path / "table" / "data" / new) if x.startswith("_part=")]) == out["buckets"]
+    seven = buckets.read(spark, path).filter("id = 7").collect()[0]
+    assert seven["v"] in ("new", "newer")
+    state[7], state[1000] = tuple(seven), (1000, "x", 0)
+    del state[9]
+    assert held()
+    state = {k: v for k, v in state.items() if k is None or k % 2}
+    out = buckets.sync(path, df(list(state.values())), ["id"], whole=True)
+    assert out["deleted"] == 201 and held()
+    out = buckets.upsert(path, df([(1, "b", 9), (1, "c", 0), (3, "z", -5)]), ["id"], [F.desc("w")])
+    state[1] = (1, "b", 9)
+    assert held() and (out["updated"], out["buckets"]) == (1, 1) and buckets.upsert(path, df([(1, "b", 9)]), ["id"], [F.desc("w")])["buckets"] == 0
+    assert buckets.vacuum(spark, path) > 0 and held()
+    assert buckets.sync(path, df([]), ["id"], whole=True)["deleted"] == len(state)
+    assert buckets.read(spark, path) is None and buckets.sync(path, df([(1, "a", 1)]), ["id"])["inserted"] == 1
+
+
+def plain_rounds(spark, rows, questions, retrieve, limit, most, per_slot, contexts):
+    """The search in rounds for each question by itself; only facets, parts, gaps and hits are taken from the library."""
+    asked = questions.withColumn("facets", planner.facets("question"))
+    text_of = {r["query_id"]: r["question"] for r in questions.collect()}
+    fold = lambda t: " ".join(spark.range(1).select(text.fold(F.lit(t))).collect()[0][0].split())
+    folded = {}
+    known = lambda t: folded.setdefault(t, fold(t))
+    slots = {q: [] for q in text_of}
+    for r in decompose.parts(questions, "query_id", "question", most).orderBy("query_id", "priority").collect():
+        query = f"{text_of[r['query_id']]} {rounds.VEHICLES.get(r['detail'], r['detail'])}".strip()
+        if all((s[1], known(s[2])) != (r["facet"], known(query)) for s in slots[r["query_id"]]):
+            slots[r["query_id"]].append((r["priority"], r["facet"], query, 0))
+    bodies, found = {r["id"]: r for r in rows.collect()}, {q: [] for q in text_of}
+
+    def ask(probes, k):
+        out = {}
+        for r in retrieve(spark.createDataFrame([(str(n), p) for n, p in enumerate(probes)], "query_id string, question string"), k).collect():
+            out.setdefault(int(r["query_id"]), []).append((r["id"], r["score"]))
+        return [out.get(n, []) for n in range(len(probes))]
+
+    for n in range(limit):
+        todo = [(q, s) for q, own in slots.items() for s in own if s[3] == n]
+        if not todo:
+            break
+        for (q, s), hits in zip(todo, ask([s[2] for _, s in todo], per_slot), strict=True):
+            found[q] += [(s, *h) for h in hits]
+        if n + 1 == limit:
+            break
+        held = [(q, s[1], bodies[i]["document"], bodies[i]["article"], bodies[i]["rag_text"], bodies[i]["images"]) for q, own in found.items() for s, i, _ in own]
+        gaps = decompose.gaps(asked, spark.createDataFrame(held, "query_id long, facet string, document string, article string, text string, images array<string>"))
+        last = {q: max((s[0] for s in own), default=0) for q, own in slots.items()}
+        for g in sorted(gaps.collect(), key=lambda g: (g["query_id"], g["place"])):
+            q, (facet, words) = g["query_id"], rounds.FOLLOW_UPS[g["kind"]]
+            query = " ".join(x for x in (text_of[q], rounds.VEHICLES.get(g["detail"], ""), words) if x)
+            if len(slots[q]) < most and all((s[1], known(s[2])) != (facet, known(query)) for s in slots[q]):
+                slots[q].append((last[q] + g["place"] + 1, facet, query, n + 1))
+    want = set()
+    for q, own in found.items():
+        if not own:
+            s = (99, "general", text_of[q], -1)
+            slots[q].append(s)
+            own += [(s, *h) for h in ask([text_of[q]], max(per_slot, contexts))[0]]
+        place = {s: n + 1 for n, s in enumerate(sorted(slots[q], key=lambda s: s[:3]))}
+        seen = set()
+        for s, i, score in sorted(own, key=lambda h: (place[h[0]], -h[2], h[1])):
+            if i not in seen and len(seen) < contexts:
+                seen.add(i)
+                want.add((q, i, s[1], place[s], len(seen)))
+    return want, slots
+
+
+def test_rounds_of_search(spark, sf_dir):
+    from codexine.plans.route_queries import corpus
+    from codexine.plans.statute_queries import asked
+
+    rows = tables.cut(corpus(spark.read.parquet(f"{sf_dir}/orders.parquet")).withColumn("rag_text", F.concat_ws(" ", "rag_text", F.col("id").cast("string"))))
+    more = spark.createDataFrame([(9001, "Vượt đèn đỏ bị phạt bao nhiêu tiền?"), (9002, "zzzz"), (9003, "Biển P.102 và hình ảnh biển báo là gì?")], "query_id long, question string")
+    questions = tables.cut(asked(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).unionByName(more))
+    search = rounds.retriever(rows)
+    hits, parts = rounds.search(rows, questions, search, 3, 6, 3, 8)
+    want, slots = plain_rounds(spark, rows, questions, search, 3, 6, 3, 8)
+    assert {tuple(r) for r in hits.select("query_id", "id", "facet", "place", "rank").collect()} == want
+    assert sorted(map(tuple, parts.select("query_id", "facet", "query", "round").collect())) == sorted((q, s[1], s[2], s[3]) for q, own in slots.items() for s in own)
+    assert {r["round"] for r in parts.select("round").distinct().collect()} >= {0, 1}
+
+
+def test_repairs_of_answers(spark):
+    questions = spark.createDataFrame([(1, "Xe máy vượt đèn đỏ phạt bao nhiêu", ["penalty"]), (2, "Có bao nhiêu điều", ["aggregation"]), (3, "Xe máy vượt đèn đỏ phạt bao nhiêu", ["penalty"])], "query_id long, question string, facets array<string>")
+    answers_ = spark.createDataFrame([(1, "Có thể bị phạt"), (2, ""), (3, "Phạt 5 đồng")], "query_id long, answer string")
+    gaps = spark.createDataFrame([(1, "vehicle", "car", 0), (3, "sign", "", 0)], "query_id long, kind string, detail string, place int")
+    slots = spark.createDataFrame([(1, 4, "rule", "q")], "query_id long, priority int, facet string, query string")
+    got = sorted((r["query_id"], r["priority"], r["facet"]) for r in rounds.repairs(questions, answers_, gaps, slots).collect())
+    assert got == [(1, 5, "penalty"), (1, 13, "penalty")]
