@@ -7,6 +7,7 @@ looked at; the others only confirm them. A term shorter than a run is looked up
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +19,21 @@ SIZE, END = 3, "\x03"
 def postings(rows: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
     """gram, id, places: each run of a text once, with its places from 0 on, in order. Rows of null texts or ids have none.
 
-    Written once, sorted by run, so that a search reads those of its terms."""
-    body = F.concat(F.col(text_column), F.lit(END * (size - 1)))
-    texts = rows.filter(F.col(id_column).isNotNull() & (F.length(text_column) > 0)).select(F.col(id_column).alias("id"), body.alias("body"))
-    each = texts.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("body") - size + 1), lambda i: F.substring("body", i, F.lit(size)))).alias("at", "gram"))
-    return each.groupBy("id", "gram").agg(F.array_sort(F.collect_list("at")).alias("places")).select("gram", "id", "places")
+    A text's runs are gathered where the text is, so that its places aren't moved one by one."""
+    texts = rows.filter(F.col(id_column).isNotNull() & (F.length(text_column) > 0)).select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
+    filled = END * (size - 1)
+
+    def run(batches):
+        for batch in batches:
+            for k, body in enumerate(batch.column("body").to_pylist()):
+                places: dict[str, list[int]] = {}
+                whole = body + filled
+                for at in range(len(body)):
+                    places.setdefault(whole[at : at + size], []).append(at)
+                ids = batch.column("id").take(pa.array([k] * len(places), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(places.keys(), pa.string()), ids, pa.array(places.values(), pa.list_(pa.int32()))], ["gram", "id", "places"])
+
+    return texts.mapInArrow(run, f"gram string, id {texts.schema['id'].dataType.simpleString()}, places array<int>")
 
 
 def _runs(terms: DataFrame, grams: DataFrame, size: int) -> DataFrame:
@@ -45,12 +56,15 @@ def containing(index: DataFrame, terms: DataFrame, size: int = SIZE) -> DataFram
     rarest = Window.partitionBy("term").orderBy("df", "offset")
     ranked = runs.filter(~short).withColumns({"nth": F.row_number().over(rarest), "n": F.count(F.lit(1)).over(Window.partitionBy("term")), "least": F.min("df").over(Window.partitionBy("term"))})
     ranked = ranked.filter("least > 0")  # a run that no text has
-    first = ranked.filter("nth = 1").join(index, "gram").select("term", "n", "id", F.explode("places").alias("at"), "offset")
-    found = cut(first.filter(F.col("at") >= F.col("offset")).select("term", "n", "id", (F.col("at") - F.col("offset")).alias("start")), "found")
-    rest = ranked.filter("nth > 1").select("term", "gram", "offset")
-    met = found.filter("n > 1").join(rest, "term").join(index, ["gram", "id"]).filter(F.array_contains("places", F.col("start") + F.col("offset")))
-    more = met.groupBy("term", "n", "id", "start").agg(F.count(F.lit(1)).alias("m")).filter("m = n - 1")
-    whole = found.filter("n = 1").select("term", "id").unionByName(more.select("term", "id"))
+    # The texts that hold a term's rarest run; the others are looked up in those only.
+    shifted = F.transform("places", lambda p: p - F.col("offset")).alias("starts")
+    first = cut(ranked.filter("nth = 1").join(index, "gram").select("term", "n", "id", shifted), "first")
+    rest = first.filter("n > 1").select("term", "n", "id").join(ranked.filter("nth > 1").select("term", "gram", "offset"), "term")
+    rest = rest.join(index, ["gram", "id"]).select("term", "n", "id", shifted)
+    met = first.filter("n > 1").unionByName(rest).groupBy("term", "n", "id").agg(F.collect_list("starts").alias("l")).filter(F.size("l") == F.col("n"))
+    both = F.aggregate(F.slice("l", 2, F.col("n").cast("int") - 1), F.get("l", F.lit(0)), F.array_intersect)
+    more = met.filter(F.size(both) > 0)
+    whole = first.filter("n = 1").select("term", "id").unionByName(more.select("term", "id"))
     brief = runs.filter(short).select("term", "gram").join(index.select("gram", "id"), "gram").select("term", "id")
     return whole.unionByName(brief).distinct()
 
