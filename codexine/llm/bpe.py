@@ -10,7 +10,7 @@ bounded cache. Texts are cut into words in blocks, with the last word of a block
 Decoding feeds bytes to an incremental UTF-8 state machine.
 
 Defined cases: a null text is the empty text, of no tokens; the strings of special tokens become their ids, as the
-tokenizers library does it; equal rows stay; extra columns aren't read.
+tokenizers library does it; equal rows stay; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations

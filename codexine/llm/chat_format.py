@@ -8,7 +8,8 @@ escaped, so the turns can be read back from the output exactly.
 
 Defined cases: a null text is the empty text, a null role the empty role, a null conversation a conversation; null
 sequences come first; events that tie are put in order by kind, role and text, and turns of one number, each by itself, by role and text; equal rows count each; a conversation
-without messages isn't in the output; other columns aren't read.
+without messages isn't in the output; an empty table gives no rows (the query adds a conversation of its own); a long
+conversation is one row; other columns aren't read.
 """
 
 from __future__ import annotations

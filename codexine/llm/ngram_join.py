@@ -12,7 +12,7 @@ written out: a text keeps its number of links, and a group its spanning trees.
 
 Defined cases: documents without words (null, empty) have no links, and a class each; equal texts are linked; equal rows
 are rows each; rows of a null id are linked and counted; the class is the least doc_id of all that are tied by links,
-directly or not; extra columns aren't read; an empty table gives no rows.
+directly or not; a long text is one set, by one task; extra columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ sums of products come from all labelled documents of the training folds, in one
 
 Defined cases: a null text is the empty text; empty texts have a vector and so a score; labels of null are left out,
 repeated labels count each; equal rows stay; if a class has no labelled document, the score is the share of ones (or 0.5
-without any label); extra columns aren't read.
+without any label); a long text is read whole, by one task; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ aren't independent trials; near copies count each, so the bound is as good as th
 
 Defined cases: a null text has no words; a text without words fails the base rules; a null language is a stratum of
 its own; equal rows stay; equal statistics are treated alike (only a statistic above the cutoff rejects); without labels
-no cutoff is certified; null labels are left out, and a text is good if any of its labels is 1; extra columns aren't read.
+no cutoff is certified; null labels are left out, and a text is good if any of its labels is 1; a long text is counted
+whole, by one task; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ their versions that were run over it and what they found. A scan runs only the p
 ledger lacks, appends them, and joins the findings of all blobs back to the paths that hold them.
 
 Defined cases: a null text is the empty text; empty texts have no findings; equal rows stay, each with its findings;
-a null path is a path; an empty table gives no rows; columns other than the path and the text stay out of the way, as
+a null path is a path; a long text is scanned whole, by one task; an empty table gives no rows; columns other than the path and the text stay out of the way, as
 only those two are read.
 """
 

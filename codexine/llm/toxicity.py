@@ -11,7 +11,7 @@ many clean ones of at most SAMPLE_CHARS characters, the first by a hash of their
 
 Defined cases: a null text is the empty text; texts without words have a score, from no marginals; null labels are left
 out; equal rows stay and score alike; without toxic or clean labels the score is the share of toxic ones (0.5 without
-labels); extra columns aren't read.
+labels); an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
