@@ -134,7 +134,7 @@ def best_extracts(documents, benchmark):
     """Rows only: the best sentences of the first documents by shared words, for every benchmark item."""
     from .search_queries import _bm25
 
-    best = index.top_k(_bm25(documents, benchmark), 3)
+    best = index.top_k(_bm25(documents, benchmark, 3), 3)
     rows = best.join(documents.select(F.col("doc_id").alias("id"), "text"), "id").join(benchmark.select(F.col("item_id").alias("query_id"), text.content_tokens("text").alias("words")), "query_id")
     return answers.extracts(rows, "words", "text")
 

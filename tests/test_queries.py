@@ -51,6 +51,6 @@ def test_entry(spark, sf_dir):
 
 def test_no_query_crosses_tables(spark, sf_dir):
     """Cross products stand only where one side is a row of totals or a stated set of queries."""
-    for name in ("claim_support", "interval_pages", "nearest_customer", "reference_prefix", "near_pairs", "asof_last_order", "contained_passages"):
+    for name in ("claim_support", "interval_pages", "nearest_customer", "reference_prefix", "near_pairs", "asof_last_order", "contained_passages", "leakage_pairs", "sign_search", "gram_search", "overlapping_boxes", "nearest_captions", "chunk_tables", "sequence_pairs"):
         plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

@@ -255,3 +255,39 @@ def test_intermediate_tables_are_removed(spark):
     assert df.count() == 3
     root = tables.shared_root(spark)
     assert any(spark.sparkContext.applicationId in f for f in tables._made) and root
+
+
+def test_best_extracts_against_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.sentence_pieces("text").alias("pieces"))
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.content_tokens("text").alias("w"))
+    pieces = {r["doc_id"]: r["pieces"] for r in docs.collect()}
+    asked = {r["item_id"]: set(r["w"]) for r in words.collect()}
+    flat = docs.select("doc_id", F.posexplode("pieces").alias("at", "piece")).select("doc_id", "at", text.content_tokens("piece").alias("w"))
+    held = {(r["doc_id"], r["at"]): set(r["w"]) for r in flat.collect()}
+    want = set()
+    for r in plans.QUERIES["bm25_topk"](spark, sf_dir).filter("rank <= 3").collect():
+        scored = [(-len(asked[r["query_id"]] & held[r["id"], at]), at, p) for at, p in enumerate(pieces[r["id"]]) if "�" not in p]
+        want |= {(r["query_id"], r["id"], at, p, -n) for n, at, p in sorted(x for x in scored if x[0] < 0)[:4]}
+    got = {(r["query_id"], r["id"], r["at"], r["piece"], r["score"]) for r in plans.QUERIES["best_extracts"](spark, sf_dir).collect()}
+    assert got == want and want
+
+
+def test_salient_sentences_against_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(text.sentence_pieces("text")).alias("at", "piece"))
+    of = {}
+    for r in docs.select("doc_id", "at", "piece", text.fold("piece").alias("q"), F.size(text.sign_codes("piece")).alias("codes")).collect():
+        of.setdefault(r["doc_id"], []).append(r)
+    want = set()
+    for doc, rows in of.items():
+        scored = []
+        for r in rows:
+            score = 5 * (r["codes"] > 0) + 5 * bool(re.search(r"\b(?:dieu|khoan|diem)\s+\w+|\d+/\d{4}|qcvn|nghi dinh|thong tu|luat", r["q"], re.A)) + 3 * bool(re.search(r"\d", r["q"], re.A))
+            score += sum(value for value, terms in rules.SALIENCE if any(t in r["q"] for t in terms)) + 3 * (r["at"] in (0, max(x["at"] for x in rows)))
+            scored.append((-score, r["at"], r["piece"]))
+        used = 0
+        for score, at, piece in sorted(sorted(scored)[:24], key=lambda x: x[1]):
+            used += len(piece) + 1
+            if used <= 1200:
+                want.add((doc, at, piece, -score))
+    got = {(r["doc_id"], r["at"], r["piece"], r["score"]) for r in plans.QUERIES["salient_sentences"](spark, sf_dir).collect()}
+    assert got == want and want
