@@ -85,8 +85,9 @@ def _full(hits: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _general(rows: DataFrame, questions: DataFrame, route: str, k: int, edges=None) -> DataFrame:
-    worded = questions.select("query_id", F.concat_ws(" ", scoring.expanded("question"), F.lit(rules.ROUTE_WORDS[route])).alias("question"))
-    return general(rows, worded, k, edges).select("query_id", "id", "score", F.array(F.lit(f"{route}_route")).alias("reasons"))
+    """The k hits of general search for each question, as a table: routes put several of these together, and their plans stay short."""
+    worded = cut(questions.select("query_id", F.concat_ws(" ", scoring.expanded("question"), F.lit(rules.ROUTE_WORDS[route])).alias("question")), "worded")
+    return cut(general(rows, worded, k, edges).select("query_id", "id", "score", F.array(F.lit(f"{route}_route")).alias("reasons")), "general")
 
 
 def _finished(full: DataFrame, k: int) -> DataFrame:
@@ -146,7 +147,7 @@ def coded(rows: DataFrame, questions: DataFrame) -> DataFrame:
 def sign(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """The k best rows of the codes that a question names, and lexical search of questions without any."""
     rows, asked = corpus(rows), prepared(questions)
-    hits = coded(rows, questions).withColumn("reasons", F.array(F.lit("sign_code")))
+    hits = cut(coded(rows, questions).withColumn("reasons", F.array(F.lit("sign_code"))), "coded")
     rest = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return _finished(_full(hits.unionByName(_general(rows, rest, "sign", max(2 * k, 12))), rows, asked), k)
 
@@ -196,19 +197,20 @@ def scenario(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> D
 
 def source_image(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """General search with tables and signs; rows with images come first, and alone if there are any."""
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     n = max(3 * k, 24)
-    facets = questions.withColumn("_f", planner.facets("question"))
+    facets = cut(questions.select("query_id", "question", planner.facets("question").alias("_f")), "facets")
     of = lambda facet: facets.filter(F.array_contains("_f", facet)).select("query_id", "question")
     hits = _general(rows, questions, "source_image", n, edges)
     for route, facet in ((table, "table"), (sign, "sign")):
-        hits = hits.unionByName(route(rows, of(facet), max(k, 8)).select("query_id", "id", "score", "reasons"))
+        hits = hits.unionByName(cut(route(rows, of(facet), max(k, 8)).select("query_id", "id", "score", "reasons"), facet))
     full = _full(hits, rows, asked)
     family = text.contains_any(text.fold("document"), ("nghi dinh 168", "luat trat tu", "qcvn", "thong tu 51"))
     act = (F.size("behaviours") > 0) | text.contains_any("qa", ("phat", "xu phat", "tai nan", "vi pham"))
     paper = text.contains_any("qa", ("thu tuc", "ho so", "cap doi", "cap lai", "sat hach", "dao tao"))
-    full = _scoped(full, ~act | paper | F.coalesce(family, F.lit(False)))
-    full = scoring.boosted(full, *scoring.image_boosts())
+    # Written between, as the plan of both scopes and the boosts in one takes minutes to be made.
+    full = cut(_scoped(full, ~act | paper | F.coalesce(family, F.lit(False))), "scoped")
+    full = cut(scoring.boosted(full, *scoring.image_boosts()), "boosted")
     return _finished(_scoped(full, F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0), k)
 
 
