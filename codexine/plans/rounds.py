@@ -29,12 +29,10 @@ FALLBACK = 99
 
 def retriever(rows: DataFrame, id_column: str = "id", text_column: str = "rag_text") -> Callable[[DataFrame, int], DataFrame]:
     """A lexical search of probes (query_id, question), whose index is made once for all rounds."""
-    posting = cut(index.postings(rows, id_column, text_column), "postings")
-    weights = cut(index.statistics(posting, rows.agg(F.count(F.lit(1)).alias("n"))), "weights")
+    find = index.search_index(rows, id_column, text_column)
 
     def search(probes: DataFrame, k: int) -> DataFrame:
-        asked = index.weighted(index.query_tokens(probes, "query_id", "question"), weights)
-        return index.top_k(index.top_bm25(posting, asked, k).withColumn("score", F.round("score", 9)), k).select("query_id", "id", "score")
+        return index.top_k(find(index.query_tokens(probes, "query_id", "question"), k), k).select("query_id", "id", "score")
 
     return search
 
