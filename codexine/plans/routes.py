@@ -11,6 +11,10 @@ from ..sources.tables import cut
 from . import planner, rules, scoring
 
 
+#: The first rows of each question that the lexical score is added to.
+RERANKED = 96
+
+
 def search(rows: DataFrame, questions: DataFrame, k: int = 8, id_column: str = "id", text_column: str = "rag_text", question_id: str = "query_id", question: str = "question", condition=None, filter_mode: str = "pre") -> DataFrame:
     """Lexical search with a filter before ranking (pre), or after the first max(3k, 100) of each question (post)."""
     kept = rows.filter(condition) if condition is not None and filter_mode == "pre" else rows
@@ -35,7 +39,7 @@ def general(rows: DataFrame, questions: DataFrame, k: int = 8, edges: DataFrame
     if vectors is not None:
         hits = index.top_k(index.fuse_ranks(vectors, hits, 3 * k), 3 * k).select("query_id", "id", "score")
     refs = questions.select("query_id", F.explode(F.array_distinct(F.transform(text.explicit_refs("question"), lambda r: r["article"]))).alias("article"))
-    exact = refs.join(rows.select("id", "article"), "article").select("query_id", "id", F.lit(5.0).alias("score"))
+    exact = refs.join(_exact(rows) if edges is None else rows.select("id", "article"), "article").select("query_id", "id", F.lit(5.0).alias("score"))
     both = hits.unionByName(exact).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     if edges is not None:
         both = cut(both, "hits")
@@ -44,6 +48,23 @@ def general(rows: DataFrame, questions: DataFrame, k: int = 8, edges: DataFrame
     return index.top_k(deduped(reranked(full), place(rows)).select("query_id", "id", "score"), k)
 
 
+def _exact(rows: DataFrame) -> DataFrame:
+    """id, article of the rows that may remain of those that a reference brings in, all with one score: the first of an article, which
+    the lexical score is added to, and the first of those that only one is kept of."""
+    keyed = rows.select("id", "article", *[c for c in place(rows) if c != "article"], _start("rag_text").alias("_start")).filter(F.col("article").isNotNull())
+    nth = F.row_number().over(Window.partitionBy("article").orderBy("id"))
+    first = keyed.select("id", "article").withColumn("_nth", nth).filter(F.col("_nth") <= RERANKED).drop("_nth")
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in place(rows) if c != "article"]
+    empty = F.col("_start") == ""
+    once = keyed.groupBy("article", *[F.when(~empty, k).alias(f"_k{i}") for i, k in enumerate(key)], "_start", F.when(empty, F.col("id")).alias("_own")).agg(F.min("id").alias("id"))
+    return cut(first.unionByName(once.select("id", "article")).distinct(), "exact")
+
+
+def _start(x) -> Column:
+    """What rows are known by besides their place."""
+    return F.substring(text.fold(x), 1, 240)
+
+
 def place(rows: DataFrame) -> list[str]:
     return [c for c in ("document", "article", "clause", "point") if c in rows.columns]
 
@@ -51,11 +72,11 @@ def place(rows: DataFrame) -> list[str]:
 def reranked(full: DataFrame) -> DataFrame:
     """Adds the lexical score to the first of each query. full: score, rag_text, question."""
     words = text.content_tokens("question", digits=True)
-    return index.rerank(full, index.lexical_score(words, text.fold("rag_text"), text.content_tokens("rag_text", digits=True)))
+    return index.rerank(full, index.lexical_score(words, text.fold("rag_text"), text.content_tokens("rag_text", digits=True)), RERANKED)
 
 
 def deduped(full: DataFrame, place: list[str]) -> DataFrame:
-    start = F.substring(text.fold("rag_text"), 1, 240)
+    start = _start("rag_text")
     empty = start == ""
     # Null and empty references are one; rows without text have their id as the key.
     key = [F.when(~empty, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in place]
@@ -78,6 +99,18 @@ def corpus(rows: DataFrame) -> DataFrame:
     return rows.select("id", "rag_text", *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
 
 
+def representatives(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The first of the rows of a corpus that differ in nothing but their id and the names of their images, and every row of hits (id).
+
+    Rows that are alike get the same score by whatever brings them in without a ranking, and of these only the first stays."""
+    alike = [F.col(c) for c in rows.columns if c not in ("id", "rag_text", "images")]
+    texts = [F.xxhash64("rag_text"), F.xxhash64(F.lit("more"), "rag_text"), F.col("rag_text").isNull(), F.size(F.coalesce("images", F.array().cast("array<string>"))) > 0]
+    # Rows without text are known by their id.
+    own = F.when(text.fold("rag_text") == "", F.col("id"))
+    first = rows.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate([*alike, *texts, own])]).agg(F.min("id").alias("id")).select("id")
+    return cut(rows.join(first.unionByName(hits.select("id")).distinct(), "id", "left_semi"), "representatives")
+
+
 def _full(hits: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
     """hits (query_id, id, score, reasons), each once, with the columns that scoring reads."""
     best = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
@@ -114,11 +147,12 @@ def _scoped(full: DataFrame, inside: Column, add: float = 0.0) -> DataFrame:
 
 def penalty(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """General search, the rows on the behaviours that are asked for, the rows of the vehicle's article; then the boosts of penalties."""
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     named = F.when(F.size("meant") > 0, F.array_join("meant", " ")).otherwise(F.lit(rules.PENALTY_DOCUMENT))
     worded = asked.select("query_id", F.concat_ws(" ", scoring.expanded("question"), named).alias("question"))
     known = F.size("behaviours") > 0
     first = _general(rows, worded, "penalty", max(2 * k, 16), edges)
+    rows = representatives(rows, first)
     acts = asked.select("query_id", "vehicle", F.explode("behaviours").alias("behaviour")).join(cut(behaviour_rows(rows), "behaviours"), "behaviour")
     article = F.create_map(*[F.lit(x) for pair in rules.RULE_ARTICLES.items() for x in pair])
     own = F.get(F.transform(F.array("vehicle"), lambda v: article[v]), F.lit(0))
@@ -146,15 +180,16 @@ def coded(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def sign(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """The k best rows of the codes that a question names, and lexical search of questions without any."""
-    rows, asked = corpus(rows), prepared(questions)
-    hits = cut(coded(rows, questions).withColumn("reasons", F.array(F.lit("sign_code"))), "coded")
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
+    held = representatives(rows.filter(F.size("sign_codes") > 0), rows.select("id").limit(0))
+    hits = cut(coded(held, questions).withColumn("reasons", F.array(F.lit("sign_code"))), "coded")
     rest = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return _finished(_full(hits.unionByName(_general(rows, rest, "sign", max(2 * k, 12))), rows, asked), k)
 
 
 def table(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """Search among tables, in the documents that are meant; a question on the limit of expressways takes only tables on it."""
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     full = _full(_general(rows.filter("modality = 'table'"), questions, "table", max(2 * k, 16)), rows, asked)
     full = _scoped(full, (F.size("meant") > 0) & F.array_contains("meant", F.col("document")), 3.0)
     limit = F.contains("qa", F.lit("toc do")) & F.contains("qa", F.lit("cao toc"))
@@ -171,27 +206,30 @@ def definition_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def definition(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
-    rows, asked = corpus(rows), prepared(questions)
-    hits = _general(rows, questions, "definition", max(2 * k, 16), edges).unionByName(definition_rows(rows, asked))
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
+    first = _general(rows, questions, "definition", max(2 * k, 16), edges)
+    rows = representatives(rows, first)
+    hits = first.unionByName(definition_rows(rows, asked))
     return _finished(scoring.boosted(_full(hits, rows, asked), *scoring.definition_boosts()), k)
 
 
 def procedure(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     return _finished(scoring.boosted(_full(_general(rows, questions, "procedure", max(3 * k, 24), edges), rows, asked), *scoring.procedure_boosts()), k)
 
 
 def priority(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     return _finished(scoring.boosted(_full(_general(rows, questions, "priority", max(3 * k, 24), edges), rows, asked), *scoring.priority_boosts()), k)
 
 
 def scenario(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """General search; tables only where nothing else is found, or where the question asks for one."""
-    rows, asked = corpus(rows), prepared(questions)
+    # Written first, as what a question asks for is dear to find, and else is found for each of its hits.
+    wants = questions.select("query_id", F.array_contains(planner.facets("question"), "table").alias("wants"))
+    rows, asked = corpus(rows), cut(prepared(questions).join(wants, "query_id"), "asked")
     full = _full(_general(rows, questions, "scenario", max(3 * k, 24), edges), rows, asked)
-    wants = F.array_contains(planner.facets("question"), "table")
-    full = _scoped(full, wants | (F.coalesce("modality", F.lit("text")) != "table"))
+    full = _scoped(full, F.col("wants") | (F.coalesce("modality", F.lit("text")) != "table"))
     return _finished(scoring.boosted(full, *scoring.scenario_boosts()), k)
 
 
@@ -225,7 +263,7 @@ def license_points(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None
 
 def legal_rows(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """Every row under the reference that a question names, in natural order, up to 40: in the documents that it names, or in any."""
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     ref = F.get(text.explicit_refs("question"), F.lit(0))
     probes = asked.select("query_id", "named", ref.alias("r")).select("query_id", "named", F.col("r.article").alias("article"), F.coalesce("r.clause", F.lit("")).alias("_c"), F.coalesce("r.point", F.lit("")).alias("_p")).filter("article IS NOT NULL")
     same = lambda want, have: (F.col(want) == "") | (F.lower(F.coalesce(F.col(have), F.lit(""))) == F.lower(F.col(want)))
@@ -240,7 +278,7 @@ def legal_rows(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) ->
 
 def overview(rows: DataFrame, questions: DataFrame, k: int = 8, edges=None) -> DataFrame:
     """The first row of each article of the documents that a question names, in natural order, up to 64."""
-    rows, asked = corpus(rows), prepared(questions)
+    rows, asked = corpus(rows), cut(prepared(questions), "asked")
     heads = rows.filter(F.coalesce("article", F.lit("")) != "").groupBy("document", "article").agg(F.min("id").alias("id"))
     hits = asked.select("query_id", F.explode("named").alias("document")).join(heads, "document")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document", arrays.natural_key("article")))).filter(F.col("rank") <= max(k, 64))
