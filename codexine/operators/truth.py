@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import col
 from ..plans import rules
+from ..sources.tables import cut
 
 #: Parts of a citation: fixed values.
 BASIS = {"point": r"(?iuU)điểm\s+([a-zđ])\b", "clause": r"(?iuU)khoản\s+(\d+[a-z]?)\b", "article": r"(?iuU)điều\s+(\d+[a-z]?)\b", "section": r"(?iuU)mục\s+(\d+(?:\.\d+)*)\b"}
@@ -74,7 +75,15 @@ def expected_chunks(cases: DataFrame, records: DataFrame, first: int = 8, most:
 
     Candidates are, in tiers, records of exactly the reference, records of its article, and records that share enough long
     words with the quote. Each tier is an equal join, and only the first that finds records counts. cases: case_id, ref (of
-    legal_basis), quote. records: id, chunk, document, article, clause, point, text."""
+    legal_basis), quote. records: id, chunk, document, article, clause, point, text.
+
+    Records that differ in their id alone are scored once; the first of them come in behind the scores."""
+    alike = [c for c in records.columns if c != "id"]
+    keyed = records.select("id", F.xxhash64(*alike).alias("_x"), F.xxhash64(F.lit("more"), *alike, *[F.col(c).isNull() for c in alike]).alias("_y"))
+    nth = F.row_number().over(Window.partitionBy("_x", "_y").orderBy("id"))
+    members = keyed.withColumn("_nth", nth).filter(F.col("_nth") <= first)
+    members = cut(members.select(F.min("id").over(Window.partitionBy("_x", "_y")).alias("_first"), "id"), "members")
+    records = cut(records.join(members.select(F.col("_first").alias("id")).distinct(), "id", "left_semi"), "records")
     want = F.col("ref")
     asked = cases.select("case_id", "ref", "quote", F.upper(want["article"]).alias("_a"))
     own = records.withColumn("_a", F.upper(F.coalesce("article", F.lit(""))))
@@ -91,7 +100,8 @@ def expected_chunks(cases: DataFrame, records: DataFrame, first: int = 8, most:
     full = chosen.join(records, "id").join(cases.select("case_id", "ref", "quote"), "case_id")
     scored = full.withColumn("_s", evidence_score("article", "clause", "point", F.col("ref"), "text", "quote")).filter("_s.score > 0").filter("chunk IS NOT NULL")
     by = Window.partitionBy("case_id").orderBy(F.desc("_s.score"), "id")
-    top = scored.withColumn("_nth", F.row_number().over(by)).filter(F.col("_nth") <= first)
+    few = scored.withColumn("_nth", F.row_number().over(by)).filter(F.col("_nth") <= first).withColumnRenamed("id", "_first").drop("_nth")
+    top = few.join(members, "_first").withColumn("_nth", F.row_number().over(by)).filter(F.col("_nth") <= first)
     once = top.withColumn("_again", F.row_number().over(Window.partitionBy("case_id", "chunk").orderBy("_nth"))).filter("_again = 1")
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("_nth"))).filter(F.col("rank") <= most)
     return ranked.select("case_id", "chunk", "id", F.col("_s.score").alias("score"), F.col("_s.reasons").alias("reasons"), "rank")
