@@ -209,10 +209,14 @@ def induced(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> Data
 
 def same_reference(nodes: DataFrame, seeds: DataFrame, keys: list[str], costs: list[float], per_seed: int) -> DataFrame:
     """Siblings of seeds: nodes that share the leading keys, at the cost of the longest match. keys: the highest first;
-    costs[n - 1] is that of n shared keys."""
+    costs[n - 1] is that of n shared keys.
+
+    Of the nodes that share keys, the first by id are enough: one more than asked for, as a seed isn't its own sibling."""
     found = None
     for n in range(len(keys), 0, -1):
-        hit = seeds.select(F.col("id").alias("seed"), *keys[:n]).join(nodes.select("id", *keys[:n]), keys[:n]).filter("id <> seed").select("seed", "id", F.lit(costs[n - 1]).alias("cost"))
+        nth = F.row_number().over(Window.partitionBy(*keys[:n]).orderBy("id"))
+        first = nodes.filter(F.col("id").isNotNull()).select("id", *keys[:n]).distinct().withColumn("_nth", nth).filter(F.col("_nth") <= per_seed + 1).drop("_nth")
+        hit = seeds.select(F.col("id").alias("seed"), *keys[:n]).join(first, keys[:n]).filter("id <> seed").select("seed", "id", F.lit(costs[n - 1]).alias("cost"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy("seed", "id").agg(F.min("cost").alias("cost"))
     return best.withColumn("_nth", F.row_number().over(Window.partitionBy("seed").orderBy("cost", "id"))).filter(F.col("_nth") <= per_seed).drop("_nth")
