@@ -85,11 +85,24 @@ def parent_join(rows: DataFrame, keys: list[str], own: str, is_parent: Column, v
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_id: str, at: str, right_at: str, within: int, values: list[str]) -> DataFrame:
-    """Each row of left with the nearest row of right within a distance, ties to the lesser place, by buckets of that width."""
-    own = left.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(at) / within) + d)))
-    other = right.select(*by, F.col(right_at).alias("_at"), F.floor(F.col(right_at) / within).alias("_b"), F.struct(*values).alias("_v"))
-    found = own.join(other, [*by, "_b"]).withColumn("_d", F.abs(F.col(at) - F.col("_at"))).filter(F.col("_d") <= within)
-    best = found.groupBy(left_id).agg(F.min(F.struct("_d", "_at", "_v")).alias("_best"))
+    """Each row of left with the nearest row of right within a distance, ties to the lesser place, then the lesser values.
+
+    Both sides are one ordered sequence within buckets of that width: the last place before a row and the first one behind it
+    are carried to it, or are the ends of the buckets beside its own. So no row meets all of a bucket."""
+    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, at]])
+    own = left.filter(fine).select(*by, F.col(left_id).alias("_id"), F.col(at).alias("_at"), F.floor(F.col(at) / within).alias("_b"))
+    places = right.select(*by, F.col(right_at).alias("_at"), F.struct(*values).alias("_v")).filter(F.col("_at").isNotNull()).groupBy(*by, "_at").agg(F.min("_v").alias("_v"))
+    places = places.select(*by, "_at", F.floor(F.col("_at") / within).alias("_b"), F.struct("_at", "_v").alias("_p"))
+    kind = places.schema["_p"].dataType
+    both = own.withColumns({"_side": F.lit(1), "_p": F.lit(None).cast(kind)}).unionByName(places.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    group = Window.partitionBy(*by, "_b")
+    carried = lambda order: F.last("_p", True).over(group.orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_before": carried(F.asc("_at")), "_behind": carried(F.desc("_at"))}).filter("_side = 1").drop("_side", "_p")
+    ends = places.groupBy(*by, "_b").agg(F.max("_p").alias("_last"), F.min("_p").alias("_first"))
+    met = met.join(ends.select(*by, (F.col("_b") + 1).alias("_b"), "_last"), [*by, "_b"], "left").join(ends.select(*by, (F.col("_b") - 1).alias("_b"), "_first"), [*by, "_b"], "left")
+    near = F.transform(F.array_compact(F.array("_before", "_behind", "_last", "_first")), lambda p: F.struct(F.abs(F.col("_at") - p["_at"]).alias("_d"), p["_at"].alias("_at"), p["_v"].alias("_v")))
+    best = met.select("_id", F.array_min(F.filter(near, lambda p: p["_d"] <= within)).alias("_best")).filter(F.col("_best").isNotNull())
+    best = best.groupBy(F.col("_id").alias(left_id)).agg(F.min("_best").alias("_best"))
     return left.join(best, left_id).select(*left.columns, F.col("_best._d").alias("distance"), *[F.col(f"_best._v.{v}").alias(f"near_{v}") for v in values])
 
 
