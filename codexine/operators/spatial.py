@@ -1,5 +1,7 @@
 """Joins of boxes (x0, y0, x1, y1) on pages by grids of cells: equal joins on a page and a cell, never all pairs.
 
+Sides whose boxes are dealt to cells are never broadcast: Spark knows the size of the boxes, not how many cells they touch.
+
 A box without one of its numbers has no neighbours; numbers may be whole or broken. Ties go by id.
 """
 
@@ -49,7 +51,7 @@ def beside(left: DataFrame, right: DataFrame, by: list[str], down: float, across
     own = own.withColumn("cell", F.explode(_cells(F.col("l_x0") - across, F.greatest("l_x1", F.col("l_x0") + across), across))).withColumn("edge", F.col("e.edge")).drop("e")
     other = other.withColumn("e", F.explode(edges("r_y1", "r_y0"))).withColumn("row", F.floor(F.col("e.at") / down))
     other = other.withColumn("cell", F.explode(_cells(F.least("r_x0", "r_x1"), F.greatest("r_x0", "r_x1"), across))).withColumn("edge", F.col("e.edge")).drop("e")
-    met = own.join(other, [*by, "edge", "row", "cell"])
+    met = own.join(other.hint("merge"), [*by, "edge", "row", "cell"])
     distance = F.least(F.abs(F.col("l_y0") - F.col("r_y1")), F.abs(F.col("l_y1") - F.col("r_y0")))
     near = (F.col("distance") < down) & ((_shared("l", "r", "x0", "x1") > 0) | (F.abs(F.col("l_x0") - F.col("r_x0")) < across))
     columns = [f"{x}_{c}" for x in "lr" for c in ("id", *BOX)]
@@ -90,7 +92,7 @@ def best_overlap(left: DataFrame, right: DataFrame, by: list[str], size: float)
     Each shared area is taken in the one cell that holds its upper left corner, so cells bring no pair twice."""
     own, other = _named(left, "l", by), _named(right, "r", by)
     gridded = lambda df, a: df.withColumn("cx", F.explode(_cells(F.col(f"{a}_x0"), F.greatest(f"{a}_x0", f"{a}_x1"), size))).withColumn("cy", F.explode(_cells(F.col(f"{a}_y0"), F.greatest(f"{a}_y0", f"{a}_y1"), size)))
-    met = gridded(own, "l").join(gridded(other, "r"), [*by, "cx", "cy"])
+    met = gridded(own, "l").join(gridded(other, "r").hint("merge"), [*by, "cx", "cy"])
     here = (F.floor(F.greatest("l_x0", "r_x0") / size) == F.col("cx")) & (F.floor(F.greatest("l_y0", "r_y0") / size) == F.col("cy"))
     area = _shared("l", "r", "x0", "x1") * _shared("l", "r", "y0", "y1")
     own_area = (F.col("r_x1") - F.col("r_x0")) * (F.col("r_y1") - F.col("r_y0"))
@@ -114,11 +116,11 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], cell: float) -> Da
         held = other.withColumn("cx", F.explode(_cells(F.col("r_x0"), F.greatest("r_x0", "r_x1"), size))).withColumn("cy", F.explode(_cells(F.col("r_y0"), F.greatest("r_y0", "r_y1"), size)))
         distance = F.sqrt(F.pow(_gap("l", "r", "x0", "x1"), 2) + F.pow(_gap("l", "r", "y0", "y1"), 2))
         area = (F.col("r_x1") - F.col("r_x0")) * (F.col("r_y1") - F.col("r_y0"))
-        met = around.join(held, [*by, "cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= size)
+        met = around.join(held.hint("merge"), [*by, "cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= size)
         best = met.groupBy(*by, "l_id").agg(F.min(F.struct("distance", area.alias("own"), "r_id")).alias("b"))
         done = cut(best.select(*by, "l_id", F.col("b.r_id").alias("other_id"), F.col("b.distance").alias("distance")), "done")
         out = done if out is None else out.unionByName(done)
-        open_ = cut(open_.join(done.select(*by, "l_id"), [*by, "l_id"], "left_anti"), "open")
+        open_ = cut(open_.join(done.select(*by, "l_id").hint("merge"), [*by, "l_id"], "left_anti"), "open")
         size *= 2
     if out is None:
         out = own.select(*by, "l_id", F.col("l_id").alias("other_id"), F.lit(0.0).alias("distance")).limit(0)
