@@ -9,6 +9,10 @@ from ..functions import text
 from ..functions.text import col
 from ..plans import rules
 from ..sources.tables import cut
+from . import phrases
+
+#: Words of all questions that may be broadcast after they were counted.
+FEW_WORDS = 100_000
 
 #: Parts of a citation: fixed values.
 BASIS = {"point": r"(?iuU)điểm\s+([a-zđ])\b", "clause": r"(?iuU)khoản\s+(\d+[a-z]?)\b", "article": r"(?iuU)điều\s+(\d+[a-z]?)\b", "section": r"(?iuU)mục\s+(\d+(?:\.\d+)*)\b"}
@@ -142,13 +146,25 @@ def subject_phrases(question, known: tuple[str, ...] = (), most: int = 24) -> Co
 
 def lexical_only(rows: DataFrame, questions: DataFrame, k: int = 8, scoped: float = 2.0) -> DataFrame:
     """query_id, id, score, rank by shared words (0.15 each, up to 30) and phrases (1 each) alone. Rows and questions meet by
-    their words; a question's documents (array, may be empty) limit its rows. rows: id, document, text; questions: query_id, question, documents."""
-    words = rows.select("id", "document", F.explode(text.content_tokens("text")).alias("word"))
-    asked = questions.select("query_id", "documents", F.explode(text.content_tokens("question")).alias("word"))
+    their words; a question's documents (array, may be empty) limit its rows. rows: id, document, text; questions: query_id, question, documents.
+
+    Rows are dealt by id, and words counted where they are. The k best by words alone are enough of the rows without a phrase;
+    those with one are found by the phrases, and counted by themselves. So no text meets every question that it shares a word with."""
+    asked = cut(questions.select("query_id", "documents", text.content_tokens("question").alias("words"), subject_phrases("question").alias("phrases")), "asked")
+    each = asked.select("query_id", "documents", F.explode("words").alias("word"))
+    if len(each.select("word").take(FEW_WORDS + 1)) <= FEW_WORDS:
+        each = F.broadcast(each)
+    own = rows.select("id", "document", "text").repartition("id").select("id", "document", F.explode(text.content_tokens("text")).alias("word"))
     inside = (F.size("documents") == 0) | F.array_contains("documents", F.col("document"))
-    shared = asked.join(words, "word").filter(inside).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    full = shared.join(rows.select("id", text.fold("text").alias("body")), "id").join(questions.select("query_id", "documents", subject_phrases("question").alias("phrases")), "query_id")
-    hits = F.size(F.filter("phrases", lambda p: F.contains(F.col("body"), p)))
-    score = F.least(F.col("n"), F.lit(30)) * 0.15 + hits + F.when(F.size("documents") > 0, scoped).otherwise(0.0)
-    ranked = full.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k)
+    by_words = F.least(F.col("n"), F.lit(30)) * 0.15
+    shared = own.join(each, "word").filter(inside).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    plain = ranked(shared.select("query_id", "id", by_words.alias("score"))).select("query_id", "id", "score")
+    named = asked.select("query_id", F.explode("phrases").alias("phrase"))
+    told = phrases.within(rows.select("id", text.fold("text").alias("body")), named)
+    hits = told.join(named, "phrase").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    counted = hits.join(rows.select("id", "document", text.content_tokens("text").alias("held")), "id").join(asked.select("query_id", "documents", "words"), "query_id").filter(inside)
+    counted = counted.withColumn("n", F.size(F.array_intersect("words", "held"))).filter("n > 0").select("query_id", "id", (by_words + F.col("hits")).alias("score"))
+    best = plain.unionByName(counted).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    scope = F.when(F.size("documents") > 0, scoped).otherwise(0.0)
+    return ranked(best.join(asked.select("query_id", "documents"), "query_id").select("query_id", "id", (F.col("score") + scope).alias("score")))
