@@ -72,7 +72,14 @@ def containing(index: DataFrame, terms: DataFrame, size: int = SIZE) -> DataFram
 def matching(index: DataFrame, groups: DataFrame, size: int = SIZE) -> DataFrame:
     """query_id, id of the texts that hold a term of every group of a query. groups: query_id, part, term; a group without a term that
     isn't empty can't be met."""
-    held = containing(index, groups, size)
+    return met(groups, containing(index, groups, size))
+
+
+def met(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """query_id, id of the texts that hold a term of every group. held: term, id of every text that holds a term.
+
+    What texts hold is dealt by text, so that a query's groups are counted where they are."""
     wanted = groups.groupBy("query_id").agg(F.countDistinct("part").alias("n"))
-    hits = groups.select("query_id", "part", "term").distinct().join(held, "term").groupBy("query_id", "id").agg(F.countDistinct("part").alias("met"))
+    named = groups.select("query_id", "part", "term").distinct()
+    hits = held.repartition("id").join(named, "term").groupBy("query_id", "id").agg(F.countDistinct("part").alias("met"))
     return hits.join(wanted, "query_id").filter("met = n").select("query_id", "id")

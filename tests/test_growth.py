@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codexine.operators import graph, joins, spatial, truth
+from codexine.operators import grams, graph, joins, phrases, spatial, truth
 
 
 def _plan(df):
@@ -32,7 +32,7 @@ def test_siblings_meet_the_first_nodes_of_their_keys(spark):
         want |= {(s, i, w) for w, i in sorted((w, i) for i, w in cost.items())[:5]}
     assert {(x["seed"], x["id"], x["cost"]) for x in out.collect()} == want
     # One ranking for each number of shared keys, and one of a seed's siblings.
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 3
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition") == 3
 
 
 def test_nearest_carries_places_in_order(spark):
@@ -57,3 +57,35 @@ def test_records_that_are_alike_are_scored_once(spark, monkeypatch):
     got = sorted((x["case_id"], x["chunk"], x["id"], x["score"], x["rank"]) for x in truth.expected_chunks(cases, records).collect())
     assert got == [(0, "c", 1, 7.0, 1), (1, "c", 1, 7.0, 1)]
     assert made["records"].count() == 3
+
+
+def test_lexical_search_moves_no_text_to_each_pair(spark):
+    r = random.Random(7)
+    words = [a + b for a in ("bal", "cor", "dim", "fen", "gus") for b in ("ta", "re", "mi")]
+    rows = [(i, r.choice("xy"), " ".join(r.choices(words, k=r.randrange(0, 25)))) for i in range(120)]
+    asked = [(i, " ".join(r.choices(words, k=r.choice([2, 4, 9]))), r.choice([[], ["x"]])) for i in range(8)]
+    rows_df, asked_df = spark.createDataFrame(rows, "id long, document string, text string"), spark.createDataFrame(asked, "query_id long, question string, documents array<string>")
+    out = truth.lexical_only(rows_df, asked_df, 6)
+    want = set()
+    for q, question, inside in asked:
+        own = question.split()
+        runs = list(dict.fromkeys(" ".join(own[i : i + n]) for n in (5, 4, 3) for i in range(len(own) - n + 1)))[:24]
+        runs = [x["p"] for x in asked_df.filter(F.col("query_id") == q).select(F.explode(truth.subject_phrases("question")).alias("p")).collect()] if runs or len(own) < 5 else runs
+        scored = []
+        for i, document, body in rows:
+            n = len(set(own) & set(body.split()))
+            if n and (not inside or document in inside):
+                scored.append((-round(min(n, 30) * 0.15 + sum(p in body for p in runs) + (2.0 if inside else 0.0), 6), i))
+        want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(sorted(scored)[:6])}
+    assert {(x["query_id"], x["id"], round(x["score"], 6), x["rank"]) for x in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in "".join(line for line in plan.splitlines() if "Aggregate [query_id" in line and "count(1)" in line)
+
+
+def test_terms_by_phrases_are_those_by_runs(spark):
+    rows = spark.createDataFrame([(1, "red lamp post"), (2, "lamp"), (3, "the post"), (4, None)], "id long, body string")
+    groups = spark.createDataFrame([(1, 0, "lam"), (1, 1, "st"), (1, 1, ""), (2, 0, "p p"), (3, 0, "x"), (4, 0, "po"), (4, 1, "e")], "query_id long, part int, term string")
+    plain = lambda df: sorted((x["query_id"], x["id"]) for x in df.collect())
+    by_runs = grams.matching(grams.postings(rows, "id", "body"), groups)
+    held = phrases.within(rows, groups.select(F.col("term").alias("phrase"))).withColumnRenamed("phrase", "term")
+    assert plain(grams.met(groups, held)) == plain(by_runs) == [(1, 1), (2, 1), (4, 1), (4, 3)]
