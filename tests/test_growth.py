@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codexine.operators import answers, grams, graph, joins, phrases, spatial, truth
+from codexine.operators import answers, grams, graph, index, joins, phrases, spatial, truth
 
 
 def _plan(df):
@@ -100,3 +100,21 @@ def test_table_rows_are_not_moved_to_each_question(spark, monkeypatch):
     # By words alone 0.22 of the first question, 0.11 (too little) of the second; the number brings in the one row that has it.
     assert got[0][:2] == (1, 250) and [x[:2] for x in got[1:]] == [(1, 0), (1, 1)] and got[1][2] == 0.97
     assert met
+
+
+def test_words_are_counted_within_their_row(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choices("abcde", k=r.randrange(0, 12)))) for i in range(40)] + [(40, None)]
+    again = [(3, rows[3][1]), (5, "a b"), (None, "c c"), (None, "c c")]
+    for given in (rows, rows + again):
+        df = spark.createDataFrame(given, "id long, t string")
+        out = index.postings(df, "id", "t")
+        want = {}
+        for i, t in given:
+            words = (t or "").split()
+            for w in words:
+                want[i, w, len(words)] = want.get((i, w, len(words)), 0) + 1
+        assert sorted(((x["id"], x["token"], x["n_tokens"], x["tf"]) for x in out.collect()), key=str) == sorted(((*k, n) for k, n in want.items()), key=str)
+        # A task that counts by id and word holds all words of its texts at once.
+        if given is rows:
+            assert "Aggregate" not in _plan(out) and "Exchange" not in _plan(out)
