@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from codexine.operators import answers, grams, graph, index, joins, phrases, spatial, truth
+from codexine import plans
+from codexine.operators import answers, grams, graph, index, joins, phrases, sequences, spatial, truth
 
 
 def _plan(df):
@@ -118,3 +119,16 @@ def test_words_are_counted_within_their_row(spark):
         # A task that counts by id and word holds all words of its texts at once.
         if given is rows:
             assert "Aggregate" not in _plan(out) and "Exchange" not in _plan(out)
+
+
+def test_unrelated_texts_of_common_words_are_not_paired(spark, tmp_path, monkeypatch):
+    r = random.Random(13)
+    words = [a + b for a in ("bal", "cor", "dim", "fen", "gus", "hol") for b in ("ta", "re", "mi", "no", "lu")]
+    texts = [" ".join(r.choices(words, k=r.randrange(20, 60))) for _ in range(150)]
+    near = [t + " ta" for t in texts[:9]] + ["bal"]
+    spark.createDataFrame(list(enumerate([*texts, *near])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    met, plain = [], sequences._met
+    monkeypatch.setattr(sequences, "_met", lambda *given: met.append(plain(*given)) or met[-1])
+    got = sorted((x["a"], x["b"]) for x in plans.QUERIES["sequence_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(i, 150 + i) for i in range(9)]
+    assert sum(x.count() for x in met) < 20
