@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from codexine import plans
-from codexine.operators import answers, grams, graph, index, joins, phrases, sequences, spatial, truth
+from codexine.operators import answers, evaluation, grams, graph, index, joins, phrases, sequences, spatial, truth
 
 
 def _plan(df):
@@ -132,3 +132,18 @@ def test_unrelated_texts_of_common_words_are_not_paired(spark, tmp_path, monkeyp
     got = sorted((x["a"], x["b"]) for x in plans.QUERIES["sequence_pairs"](spark, str(tmp_path)).collect())
     assert got == [(i, 150 + i) for i in range(9)]
     assert sum(x.count() for x in met) < 20
+
+
+def test_sets_that_differ_are_settled_where_they_meet(spark, monkeypatch):
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(34)]
+    sets = list({frozenset(r.sample(words, r.choice([1, 2, 4, 5, 9, 14, 20, 24, 28]))) for _ in range(170)})
+    sets += [s ^ {"new"} for s in sets[:40]]
+    made, cut = {}, evaluation.cut
+    monkeypatch.setattr(evaluation, "cut", lambda df, what="cut": made.setdefault(what, cut(df, what)))
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)] + [(999, None), (998, [])], "id long, words array<string>")
+    got = {(x["a"], x["b"]) for x in evaluation.near_pairs(rows, "id", "words", 0.8).collect()}
+    both = lambda least: {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= least * len(a | b)}
+    assert got == both(0.8) and len(got) > 30
+    # Pairs that share rare words but differ in too many others aren't moved.
+    assert made["pairs"].count() <= len(both(0.7))
