@@ -147,3 +147,18 @@ def test_sets_that_differ_are_settled_where_they_meet(spark, monkeypatch):
     assert got == both(0.8) and len(got) > 30
     # Pairs that share rare words but differ in too many others aren't moved.
     assert made["pairs"].count() <= len(both(0.7))
+
+
+def test_a_task_sums_a_bounded_number_of_claims_and_sources(spark, monkeypatch):
+    r = random.Random(19)
+    make = lambda n, least: [(i, r.sample("abcdefghij", r.randrange(least, 6))) for i in range(n)]
+    claims, sources = make(6, 1), make(80, 0)
+    monkeypatch.setattr(evaluation, "PAIRS", 40, raising=False)
+    out = evaluation.verify_claims(spark.createDataFrame(claims, "claim_id long, words array<string>"), spark.createDataFrame(sources, "id long, words array<string>"))
+    want = set()
+    for c, words in claims:
+        near = sorted((-len(set(words) & set(w)) / len(words), i) for i, w in sources if set(words) & set(w))[:3]
+        want |= {(c, i, k + 1, -s) for k, (s, i) in enumerate(near)}
+    assert {(x["claim_id"], x["id"], x["rank"], x["support"]) for x in out.collect()} == want
+    # Dealt to as many parts as 6 times 80 pairs need, and summed there.
+    assert ", 12), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
