@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import cut
 from . import windows
 
 #: Headings, anchored at a line's start, as references within a line aren't headings. A point's letter is lower case.
@@ -23,9 +24,10 @@ FORWARD, BACK = 5, 2
 
 def lines(pages: DataFrame, doc: str = "doc", page: str = "page", body: str = "text") -> DataFrame:
     """doc, line_no (a sortable place), page, line of every line with text; a heading word alone is joined to the next line."""
-    split = F.filter(F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
     alone = lambda x: F.lower(F.trim(x)).isin("điều", "khoản", "chương")
-    stitched = F.transform(split, lambda x, i: F.when((i > 0) & alone(F.get(split, i - 1)), F.concat_ws(" ", F.trim(F.get(split, i - 1)), F.trim(x))).otherwise(x))
+    full = F.filter(F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    # Each line looks at the one before it, so the page is taken apart once and not for every line.
+    stitched = text.let(full, lambda split: F.transform(split, lambda x, i: F.when((i > 0) & alone(F.get(split, i - 1)), F.concat_ws(" ", F.trim(F.get(split, i - 1)), F.trim(x))).otherwise(x)))
     kept = F.filter(stitched, lambda x: ~alone(x))
     return pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.posexplode(kept).alias("_at", "line")).select("doc", F.struct("page", "_at").alias("line_no"), "page", "line")
 
@@ -36,33 +38,35 @@ def _match(pattern: str) -> Column:
 
 
 def plausible_articles(rows: DataFrame) -> DataFrame:
-    """doc, line_no of the article headings that follow the last accepted one closely. Only headings are grouped, not lines."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for n in frame.sort_values(["page", "at"])["number"]:
-            number = int(n) if n.isdigit() else None
-            fine = number is None or last is None or last - BACK <= number <= last + FORWARD
-            kept.append(fine)
-            if fine:
-                last = number
-        out = frame.sort_values(["page", "at"]).assign(kept=kept)
-        return out[out["kept"]][["doc", "page", "at"]]
-
-    kind = dict(rows.select("doc", "line_no.page").dtypes)
-    heads = rows.select("doc", "line_no.page", F.col("line_no._at").alias("at"), F.lower(_match(ARTICLE)).alias("number")).filter("number is not null")
-    good = heads.groupBy("doc").applyInPandas(run, f"doc {kind['doc']}, page {kind['page']}, at int")
-    return good.select("doc", F.struct("page", F.col("at").alias("_at")).alias("line_no"), F.lit(True).alias("_article"))
+    """rows (doc, page, line_no, number and more) with the number only of the article headings that follow the last accepted one
+    closely. Only headings are dealt to documents, not lines, and they are read in order: a task holds the last one, whatever a
+    document's size."""
+
+    def run(batches):
+        first, doc, last = True, None, None
+        for batch in batches:
+            numbers = []
+            for own, n in zip(batch.column("doc").to_pylist(), batch.column("number").to_pylist(), strict=True):
+                if first or own != doc:
+                    first, doc, last = False, own, None
+                number = int(n) if n.isdigit() else None
+                fine = number is None or last is None or last - BACK <= number <= last + FORWARD
+                numbers.append(n if fine else None)
+                if fine:
+                    last = number
+            at = batch.schema.get_field_index("number")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(numbers, batch.schema.field(at).type))
+
+    heads = rows.filter("number is not null").repartition("doc").sortWithinPartitions("doc", F.asc_nulls_last("page"), "line_no._at")
+    return rows.filter("number is null").unionByName(heads.mapInArrow(run, rows.schema))
 
 
 def decree_chunks(pages: DataFrame, **columns: str) -> DataFrame:
     """One row for each article, clause or point: id, doc, kind, chapter, article, title, clause, point, pages, text, context."""
-    rows = lines(pages, **columns)
-    rows = rows.join(plausible_articles(rows), ["doc", "line_no"], "left")
-    chapter, article = _match(CHAPTER), F.when(F.col("_article"), F.lower(_match(ARTICLE)))
-    rows = rows.withColumns({"chapter": chapter, "article": article})
+    rows = lines(pages, **columns).withColumns({"chapter": _match(CHAPTER), "number": F.lower(_match(ARTICLE)), "clause": _match(CLAUSE), "point": _match(POINT)})
+    rows = plausible_articles(cut(rows, "lines")).withColumnRenamed("number", "article")
     inside = F.col("chapter").isNull() & F.col("article").isNull()
-    rows = rows.withColumn("clause", F.when(inside, _match(CLAUSE))).withColumn("point", F.when(inside & F.col("clause").isNull(), _match(POINT)))
+    rows = rows.withColumns({"clause": F.when(inside, F.col("clause")), "point": F.when(inside & F.col("clause").isNull(), F.col("point"))})
     rows = rows.withColumn("title", F.when(F.col("article").isNotNull(), F.trim(F.regexp_replace("line", ARTICLE + r"[.:]?\s*", ""))))
     begins = F.coalesce("chapter", "article", "clause", "point").isNotNull()
     rows = windows.islands(rows, ["doc"], ["line_no"], begins)
@@ -74,7 +78,8 @@ def decree_chunks(pages: DataFrame, **columns: str) -> DataFrame:
         F.max("page").alias("page_end"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw"),
     )
-    parts = parts.withColumn("text", text.clean_text("raw")).drop("raw").filter("text <> ''")
+    # Texts are cleaned once, for the filter, the titles and the chunks.
+    parts = cut(parts.withColumn("text", text.clean_text("raw")).drop("raw"), "parts").filter("text <> ''")
     kind = F.when(F.col("point").isNotNull(), "point").when(F.col("clause").isNotNull(), "clause").when(F.col("article").isNotNull(), "article").otherwise("preamble")
     parts = parts.withColumn("kind", kind).withColumn("id", chunk_id("doc", "article", "clause", "point", "text"))
     titles = parts.filter("kind = 'article'").groupBy("doc", "chapter", "article").agg(F.min_by(F.struct("title", F.col("text").alias("preamble")), "island").alias("_t"))

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 
 def carry_forward(rows: DataFrame, by: list[str], order: list[str], levels: list[str]) -> DataFrame:
     """Fills each level with its last value in order, since the last value of a level above it: a new chapter clears the
-    article, a new article the clause."""
-    out, resets = rows, list(by)
-    for k, level in enumerate(levels):
-        window = Window.partitionBy(*resets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_g{k}", F.count(level).over(window))
-        out = out.withColumn(level, F.last(level, True).over(window))
-        resets = [*resets, f"_g{k}"]
-    return out.drop(*[f"_g{k}" for k in range(len(levels))])
+    article, a new article the clause. One window serves all levels, so rows are sorted once."""
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # A value of a level or of one above it sets the level: to its own value, or to none.
+    last = [F.last(F.when(F.coalesce(*levels[: k + 1]).isNotNull(), F.struct(F.col(level).alias("v"))), True).over(window)["v"] for k, level in enumerate(levels)]
+    return rows.withColumns(dict(zip(levels, last, strict=True)))
 
 
 def islands(rows: DataFrame, by: list[str], order: list[str], begins: Column) -> DataFrame:

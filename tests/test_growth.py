@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from codexine import plans
-from codexine.operators import answers, evaluation, grams, graph, index, joins, phrases, sequences, spatial, truth
+from codexine.operators import answers, chunking, evaluation, grams, graph, index, joins, phrases, sequences, spatial, truth, windows
 
 
 def _plan(df):
@@ -162,3 +162,15 @@ def test_a_task_sums_a_bounded_number_of_claims_and_sources(spark, monkeypatch):
     assert {(x["claim_id"], x["id"], x["rank"], x["support"]) for x in out.collect()} == want
     # Dealt to as many parts as 6 times 80 pairs need, and summed there.
     assert ", 12), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decree_lines_are_sorted_once_and_headings_join_nothing(spark):
+    """One window carries all levels; headings are read in order by tasks that hold no document."""
+    rows = spark.createDataFrame([("d", 1, 1, "1", "a", "x")], "doc string, page int, at int, chapter string, article string, clause string")
+    plan = windows.carry_forward(rows, ["doc"], ["page", "at"], ["chapter", "article", "clause"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("windowspecdefinition") == 3 and plan.count("+- Window ") + plan.count("   Window ") == 1 and plan.count("Sort [") == 1
+    numbers = ["1", "2", "9", "3a", "4", "x", None]
+    lines = spark.createDataFrame([(d, 1, (1, i), n) for d in ("a", "b") for i, n in enumerate(numbers)], "doc string, page int, line_no struct<page:int,_at:int>, number string")
+    got = chunking.plausible_articles(lines)
+    assert "Join" not in _plan(got) and "InPandas" not in _plan(got)
+    assert [r["number"] for r in got.orderBy("doc", "line_no").collect()] == ["1", "2", None, "3a", "4", "x", None] * 2
