@@ -4,9 +4,9 @@ A document is the set of its shingles of five words (lower case, white space bet
 is one shingle. Documents of equal sets are one text. Texts are split recursively: in each run a text goes to the
 buckets of those of its shingles that a hash selects, about SPREAD of them, so two texts that share 0.8 of their
 shingles share buckets about SPREAD times, and unrelated ones don't. Buckets of at most SMALL texts are compared by
-brute force over sketches. In a larger one, texts near one text (the pivot) are tied to it, and the others are split on,
-by a second selected shingle and then by values of their sketches, until buckets are small; what is large after LEVELS
-splits is compared in blocks. RUNS runs bring the expected recall to RECALL. That gives groups that hold all links;
+brute force over sketches. In a larger one, texts near one text (the pivot) are tied to it. If few aren't, those are
+compared to all that they may be linked to; otherwise both are split on, by a second selected shingle and then by values
+of their sketches, until buckets are small; what is large after LEVELS splits is compared in blocks. RUNS runs bring the expected recall to RECALL. That gives groups that hold all links;
 within each, every pair's Jaccard similarity is computed exactly, block against block, and counted once. Pairs aren't
 written out: a text keeps its number of links, and a group its spanning trees.
 
@@ -211,11 +211,14 @@ def _blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
     return rows.withColumn("side", F.when(F.col("_cell.i") == F.col("_cell.j"), 0).otherwise((F.col("_own") == F.col("_cell.j")).cast("int"))).withColumn("two", F.col("_cell.i") != F.col("_cell.j")).withColumn("cell", F.xxhash64(group, "_cell")).drop("_own", "_cell")
 
 
-def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of large buckets: edges of texts near the pivot to it, and the rows that aren't very near.
+def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large buckets: edges of texts near the pivot to it, cells to be compared, and the rows that go on.
 
-    Two linked texts differ by 0.2 at most. Texts within 0.8 are tied, those within 0.5 less an error of the sketches are
-    settled by that, as their links are within 0.7; so both ends of a link are tied, or both go on."""
+    Texts within 0.8 are tied, and two tied texts need no other edge. So only links to texts that aren't tied are still to be
+    found: those texts go on, and of the tied ones those that may be linked to one of them. Two linked texts differ by 0.2 at
+    most, so a tied text stays behind if it is nearer to the pivot than the nearest untied one by 0.3 and an error of the
+    sketches, and all of a bucket without untied texts do. At most SMALL untied texts are compared to each other and to the tied
+    ones, a block at a time; a bucket with more is split on."""
     pivot = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "sketch")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.sketch").alias("mark"))
 
     def run(batches):
@@ -224,11 +227,17 @@ def _pivoted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             shared = ((marks[0] == marks[1]) & (marks[0] > 0)).sum(1)
             filled = np.maximum(((marks[0] > 0) | (marks[1] > 0)).sum(1), 1)
             far = 1 - shared / filled
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(far), pa.array(far <= 0.5 - 0.8 / np.sqrt(filled))], ["key", "node", "sketch", "pivot", "far", "settled"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "sketch", "pivot")), pa.array(far), pa.array(far + 0.3 + 0.8 / np.sqrt(filled))], ["key", "node", "sketch", "pivot", "far", "reach"])
 
     # Dealt by node first, as the rows of one bucket may lie in few files.
-    far = cut(arrow(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key"), run, "key long, node binary, sketch binary, pivot binary, far double, settled boolean"), "pivots")
-    return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), far.filter("not settled").select("key", "node", "sketch")
+    far = cut(arrow(rows.select("key", "node", "sketch").repartition("node").join(cut(pivot, "pivot"), "key"), run, "key long, node binary, sketch binary, pivot binary, far double, reach double"), "pivots")
+    sizes = cut(far.groupBy("key").agg(F.min(F.when(F.col("far") > 0.8, F.col("far"))).alias("least"), F.count(F.when(F.col("far") > 0.8, 1)).alias("untied"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("untied > 0"), "untied")
+    on = far.join(sizes, "key").filter("far > 0.8 or reach > least")
+    few = on.filter(F.col("untied") <= SMALL)
+    blocks = F.when(F.col("far") > 0.8, F.sequence(F.lit(-1), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    dealt = few.withColumn("block", F.explode(blocks))  # -1: the untied ones among themselves
+    cells = dealt.select(F.xxhash64("key", "block").alias("cell"), (F.col("block") >= 0).alias("two"), (F.col("far") <= 0.8).cast("int").alias("side"), "node", "sketch")
+    return far.filter("far <= 0.8 and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), cells, on.filter(F.col("untied") > SMALL).select("key", "node", "sketch")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -270,8 +279,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         if level == LEVELS:
             edges.append(_bucket_ties(_blocks(large.withColumn("size", F.ceil(F.col("size") / BLOCK)), "key", F.col("size")).select("cell", "two", "side", "node", "sketch")))
             break
-        near, rows = _pivoted(large)
-        edges.append(near)
+        near, cells, rows = _pivoted(large)
+        edges += [near, _bucket_ties(cells)]
         if level == 0:
             split = rows.join(reps.select("node", "paths"), "node")
             rows = split.select(F.explode(F.flatten(F.transform(F.filter("paths", lambda p: p["key"] == F.col("key")), lambda p: p["next"]))).alias("key"), "node", "sketch")

@@ -224,3 +224,24 @@ def test_pipeline_with_clashing_names(spark, sf_dir):
         assert plain.exceptAll(wide.select(plain.columns)).count() == 0 == wide.select(plain.columns).exceptAll(plain).count()
         docs = plain
     assert unused(wide, "text") == "__text"
+
+
+def test_a_crowd_around_its_pivot_is_not_split_on(spark):
+    """Texts tied to the pivot need no other edge; a few beyond it are compared in blocks, and none is copied to more buckets."""
+    draw = np.random.default_rng(1)
+    base = draw.integers(1, 256, 64, np.uint8)
+
+    def changed(mark, bins):
+        out = mark.copy()
+        out[bins] = draw.integers(1, 256, len(bins), np.uint8)
+        return out
+
+    marks = [changed(base, draw.choice(64, 24, False)) for _ in range(1500)]
+    edge = changed(base, np.arange(40))
+    beyond = changed(edge, np.arange(40, 52))
+    rows = [(key, f"{key}-{k}".encode(), m.tobytes()) for key in (1, 2) for k, m in enumerate([*marks, edge, *([beyond] if key == 1 else [])])]
+    near, cells, on = ngram_join._pivoted(spark.createDataFrame(rows, "key long, node binary, sketch binary"))
+    assert on.count() == 0
+    assert 1 < cells.count() <= 1502 + 1500 / ngram_join.BLOCK + 2
+    nodes = {bytes(x) for e in near.unionByName(ngram_join._bucket_ties(cells)).collect() for x in e}
+    assert nodes == {r[1] for r in rows}
