@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, text
-from ..functions.text import col
+from ..functions.text import col, let
+from ..sources.tables import cut
 
 #: Terms over folded text: fixed values.
 FINE_TERMS = ("phat tien", "muc phat tien")
@@ -45,9 +46,11 @@ def amounts(records: DataFrame, only_individual: bool = False) -> DataFrame:
 
     records: with fine_min and fine_max besides. General limits without an act are left out; amounts come from the text, or
     from the columns where it has none (or first, if only individuals are asked for)."""
-    norm = text.fold("text")
+    flags = let(text.fold("text"), lambda f: F.struct(text.contains_any(f, FINE_TERMS).alias("fine"), (text.contains_any(f, LIMIT_TERMS) & ~text.contains_any(f, ACT_OF_LIMIT)).alias("limit")))
     given = F.filter(F.array(F.col("fine_min").cast("long"), F.col("fine_max").cast("long")), lambda v: v > 0)
-    rows = records.select("id", "article", "clause", "point", text.money_values("text").alias("_said"), given.alias("_given"), text.contains_any(norm, FINE_TERMS).alias("_fine"), (text.contains_any(norm, LIMIT_TERMS) & ~text.contains_any(norm, ACT_OF_LIMIT)).alias("_limit"))
+    rows = records.select("id", "article", "clause", "point", text.money_values("text").alias("_said"), given.alias("_given"), flags.alias("_flags"))
+    # As a table, since the filters would be pushed below the columns that they read, and a text folded for each term.
+    rows = cut(rows.select("id", "article", "clause", "point", "_said", "_given", F.col("_flags.fine").alias("_fine"), F.col("_flags.limit").alias("_limit")), "amounts")
     first, then = ("_given", "_said") if only_individual else ("_said", "_given")
     values = F.when(F.size(first) > 0, F.col(first)).otherwise(F.col(then))
     found = rows.filter((F.col("_fine") | (F.size("_given") > 0)) & ~F.col("_limit")).withColumn("_v", values).filter(F.size("_v") > 0)
@@ -64,9 +67,8 @@ def point_values(x, deduction=None) -> Column:
 
 def point_ranking(records: DataFrame, k: int, lowest: bool = False, deduction=None) -> DataFrame:
     """id, points, rank of the records that take off most points (or fewest); those on the return of points are left out."""
-    norm = text.fold("text")
     values = F.filter(point_values("text", deduction), lambda v: v.isNotNull())
-    rows = records.filter(~text.contains_any(norm, RESTORED) & text.contains_any(norm, OF_POINTS)).withColumn("_v", values)
+    rows = records.filter(let(text.fold("text"), lambda f: ~text.contains_any(f, RESTORED) & text.contains_any(f, OF_POINTS))).withColumn("_v", values)
     rows = rows.select("id", (F.array_min("_v") if lowest else F.array_max("_v")).alias("points")).filter("points > 0")
     order = Window.orderBy(F.asc("points") if lowest else F.desc("points"), "id")
     best = rows.orderBy(F.asc("points") if lowest else F.desc("points"), "id").limit(k)  # a top-k report: few rows reach the window
@@ -82,9 +84,11 @@ def suspension_text(x) -> Column:
 def act(violation, context) -> Column:
     """The act that a record is about: its own words for it, or what its context says before the sanction; null if it is none."""
     tidy = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(col(c) if isinstance(c, str) else c, F.lit("")), r"\s+", " "), "^[ .;:]+|[ .;:]+$", "")
-    fits = lambda c: ~text.contains_any(text.fold(c), NO_ACTS) & text.contains_any(text.fold(c), ACTS)
-    own, before = tidy(violation), tidy(F.get(F.split(tidy(context), r"(?iu)\s+(?:bị|sẽ bị|chịu|còn bị|được áp dụng)\s+", 2), F.lit(0)))
-    return F.when((own != "") & fits(own), own).when((F.size(F.split(before, " ")) >= 4) & fits(before), before)
+    # Each text is folded once, not once for each term.
+    fits = lambda c: let(text.fold(c), lambda f: ~text.contains_any(f, NO_ACTS) & text.contains_any(f, ACTS))
+    before = tidy(F.get(F.split(tidy(context), r"(?iu)\s+(?:bị|sẽ bị|chịu|còn bị|được áp dụng)\s+", 2), F.lit(0)))
+    both = F.struct(tidy(violation).alias("own"), before.alias("before"))
+    return let(both, lambda s: F.when((s["own"] != "") & fits(s["own"]), s["own"]).when((F.size(F.split(s["before"], " ")) >= 4) & fits(s["before"]), s["before"]))
 
 
 def suspended_clauses(x) -> Column:
@@ -102,22 +106,24 @@ def suspensions(records: DataFrame) -> DataFrame:
     records: with violation and context besides. A sanction that names clauses and points is joined to the records of its
     document and article that have them and aren't sanctions themselves; one that names none, or whose acts aren't there,
     stands for itself. Equal pairs of act and suspension of one reference are one."""
-    norm = text.fold("text")
-    sanction = F.contains(norm, F.lit("tuoc")) & text.contains_any(norm, ("giay phep lai xe", "gplx"))
-    rows = records.select("id", "document", "article", F.coalesce("clause", F.lit("")).alias("clause"), F.lower(F.coalesce("point", F.lit(""))).alias("point"), "text", act("violation", "context").alias("act"), sanction.alias("_s"), text.contains_any(norm, NO_ACT_RULES).alias("_none"))
+    said = let(text.fold("text"), lambda f: F.struct((F.contains(f, F.lit("tuoc")) & text.contains_any(f, ("giay phep lai xe", "gplx"))).alias("s"), text.contains_any(f, NO_ACT_RULES).alias("none")))
+    rows = records.select("id", "document", "article", F.coalesce("clause", F.lit("")).alias("clause"), F.lower(F.coalesce("point", F.lit(""))).alias("point"), "text", act("violation", "context").alias("act"), said.alias("_said"))
+    # As a table, since filters on these columns would be pushed below them, and acts and folded texts made anew for each use.
+    rows = cut(rows.select("id", "document", "article", "clause", "point", F.when(F.col("_said.s"), F.col("text")).alias("text"), "act", F.substring(text.fold("act"), 1, 360).alias("_act"), F.col("_said.s").alias("_s"), F.col("_said.none").alias("_none")), "acts")
     sanctions = rows.filter(F.col("_s") & ~F.col("_none") & F.col("article").rlike(r"^\d+$"))
-    sanctions = sanctions.select(F.col("id").alias("sanction_id"), "document", "article", suspension_text("text").alias("suspension"), suspended_clauses("text").alias("_specs"), F.col("act").alias("_own"))
-    named = sanctions.select("sanction_id", "document", "article", "suspension", F.explode("_specs").alias("_spec")).select("sanction_id", "document", "article", "suspension", F.col("_spec.clause").alias("clause"), F.explode(F.when(F.size("_spec.points") > 0, F.col("_spec.points")).otherwise(F.array(F.lit("*")))).alias("_point"))
-    acts = rows.filter(~F.col("_s") & F.col("act").isNotNull()).select("document", "article", "clause", F.explode(F.array(F.lit("*"), "point")).alias("_point"), F.col("id").alias("act_id"), "act")
+    sanctions = sanctions.select(F.col("id").alias("sanction_id"), "document", "article", suspension_text("text").alias("suspension"), suspended_clauses("text").alias("_specs"), F.col("act").alias("_own"), F.col("_act").alias("_own_act"))
+    sanctions = cut(sanctions.withColumn("_said", F.substring(text.fold("suspension"), 1, 220)), "sanctions")
+    named = sanctions.select("sanction_id", "document", "article", "suspension", "_said", F.explode("_specs").alias("_spec")).select("sanction_id", "document", "article", "suspension", "_said", F.col("_spec.clause").alias("clause"), F.explode(F.when(F.size("_spec.points") > 0, F.col("_spec.points")).otherwise(F.array(F.lit("*")))).alias("_point"))
+    acts = rows.filter(~F.col("_s") & F.col("act").isNotNull()).select("document", "article", "clause", F.explode(F.array(F.lit("*"), "point")).alias("_point"), F.col("id").alias("act_id"), "act", "_act")
     key = ["document", "article", "clause", "_point"]
     # Of the sanctions of one place and one text only the least counts, so acts meet texts, not sanctions.
-    least = named.groupBy(*key, F.substring(text.fold("suspension"), 1, 220).alias("_said")).agg(F.min(F.struct("sanction_id", "suspension")).alias("_m"))
-    found = least.join(acts, key).select("act_id", "act", "_m.suspension", "_m.sanction_id").distinct()
+    least = cut(named.groupBy(*key, "_said").agg(F.min(F.struct("sanction_id", "suspension")).alias("_m")), "least")
+    found = least.join(acts, key).select("act_id", "_act", "_said", "act", "_m.suspension", "_m.sanction_id")
     acted = named.join(acts.select(key).distinct(), key, "left_semi").select("sanction_id").distinct()
     alone = sanctions.filter("_own IS NOT NULL").join(acted, "sanction_id", "left_anti")
-    both = found.unionByName(alone.select(F.col("sanction_id").alias("act_id"), F.col("_own").alias("act"), "suspension", "sanction_id"))
-    one = Window.partitionBy("act_id", F.substring(text.fold("act"), 1, 360), F.substring(text.fold("suspension"), 1, 220)).orderBy("sanction_id")
-    return both.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
+    both = found.unionByName(alone.select(F.col("sanction_id").alias("act_id"), F.col("_own_act").alias("_act"), "_said", F.col("_own").alias("act"), "suspension", "sanction_id"))
+    first = both.groupBy("act_id", "_act", "_said").agg(F.min(F.struct("sanction_id", "act", "suspension")).alias("_m"))
+    return first.select("act_id", "_m.act", "_m.suspension", "_m.sanction_id")
 
 
 def mismatched_amounts(records: DataFrame, fields: list[str], body: str = "text") -> DataFrame:

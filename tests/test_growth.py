@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from codexine import plans
-from codexine.operators import answers, chunking, evaluation, grams, graph, index, joins, phrases, sequences, spatial, truth, windows
+from codexine.operators import answers, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, truth, windows
 
 
 def _plan(df):
@@ -174,3 +174,11 @@ def test_decree_lines_are_sorted_once_and_headings_join_nothing(spark):
     got = chunking.plausible_articles(lines)
     assert "Join" not in _plan(got) and "InPandas" not in _plan(got)
     assert [r["number"] for r in got.orderBy("doc", "line_no").collect()] == ["1", "2", None, "3a", "4", "x", None] * 2
+
+
+def test_sanctions_fold_a_text_once_and_not_for_each_term(spark):
+    rows = spark.createDataFrame([(1, "d", "5", "1", "a", "Hành vi vượt đèn đỏ thì bị trừ 4 điểm", "Vượt đèn đỏ", "", None, 7)], "id long, document string, article string, clause string, point string, text string, violation string, context string, fine_min long, fine_max long")
+    folds = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    assert folds(sanctions.suspensions(rows)) == 0 and folds(sanctions.amounts(rows)) == 0
+    assert folds(sanctions.point_ranking(rows, 3)) == 1
+    assert [(r["id"], r["points"]) for r in sanctions.point_ranking(rows, 3).collect()] == [(1, 4)]
