@@ -314,9 +314,10 @@ def aggregation(records: DataFrame, questions: DataFrame, k: int = 12, catalogue
     n = max(5, min(k, 12))
     report = lambda df, kind, least, label, value: df.select(F.lit(kind).alias("kind"), F.lit(least).alias("_least"), F.col("rank").cast("int").alias("rank"), label.alias("label"), "id", value.cast("double").alias("value"))
     ranked = lambda df, *order: df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k report
-    told = records.filter(text.contains_any(text.fold("text"), ("vi pham", "phat")) & (F.coalesce("article", F.lit("")) != ""))
-    often = told.groupBy("document", "article").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    fines = sanctions.amounts(records)
+    told = records.filter(text.let(text.fold("text"), lambda f: text.contains_any(f, ("vi pham", "phat"))) & (F.coalesce("article", F.lit("")) != ""))
+    # Tables, as the reports of the highest and of the lowest both read them.
+    often = cut(told.groupBy("document", "article").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")), "often")
+    fines = cut(sanctions.amounts(records), "fines")
     place = F.concat_ws(" ", F.lit("Điều"), "article")
     parts = []
     for least in (False, True):
