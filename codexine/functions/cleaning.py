@@ -43,16 +43,20 @@ def space_captions(x) -> Column:
     """Puts the spaces back into phrases of captions, with the case of their first letter."""
     out = col(x)
 
-    def replace(out, pattern, phrase):
-        out = F.regexp_replace(out, rf"(?U)(?=\p{{Lu}})(?iu:{pattern})", phrase[0].upper() + phrase[1:])
-        return F.regexp_replace(out, rf"(?U)(?!\p{{Lu}})(?iu:{pattern})", phrase)
+    def replace(out, before, pattern, phrase):
+        if phrase[0] != "k" and not phrase.endswith(" "):
+            # The first letter stays as it is, so one reading serves both cases. Not so where a phrase takes white space, as the next
+            # one may follow at once, nor for k, which has a second capital.
+            return F.regexp_replace(out, rf"(?U)(?iu:{before}({pattern[0]}){pattern[1:]})", f"$1{phrase[1:]}")
+        out = F.regexp_replace(out, rf"(?U)(?=\p{{Lu}})(?iu:{before}{pattern})", phrase[0].upper() + phrase[1:])
+        return F.regexp_replace(out, rf"(?U)(?!\p{{Lu}})(?iu:{before}{pattern})", phrase)
 
     for phrase in CAPTION_PHRASES:
         if phrase == "xe ô tô khách":
-            out = replace(out, "vàxe", "và xe")
+            out = replace(out, "", "vàxe", "và xe")
         end = r"\s*" if phrase.endswith(" ") else r"\b"
-        out = replace(out, rf"\b{phrase.replace(' ', '')}{end}", phrase)
-    return replace(out, r"\bbu\s*ýt\b", "buýt")
+        out = replace(out, r"\b", phrase.replace(" ", "") + end, phrase)
+    return replace(out, r"\b", r"bu\s*ýt\b", "buýt")
 
 
 def recover_keywords(x) -> Column:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from codexine import plans
+from codexine.functions import cleaning
 from codexine.operators import answers, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, truth, windows
 
 
@@ -182,3 +183,10 @@ def test_sanctions_fold_a_text_once_and_not_for_each_term(spark):
     assert folds(sanctions.suspensions(rows)) == 0 and folds(sanctions.amounts(rows)) == 0
     assert folds(sanctions.point_ranking(rows, 3)) == 1
     assert [(r["id"], r["points"]) for r in sanctions.point_ranking(rows, 3).collect()] == [(1, 4)]
+
+
+def test_captions_are_read_once_for_both_cases(spark):
+    df = spark.createDataFrame([("Xeôtô xeôtô; Lànđườngdànhcholànđườngdànhchoxemáyvàxeôtôcon Buýt bu ýt KẾTTHÚClànđườngtheo",)], "t string")
+    out = df.select(cleaning.space_captions("t").alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 35  # two for each phrase were 46
+    assert out.collect()[0]["t"].startswith("Xe ô tô xe ô tô; Làn đường dành cho làn đường dành cho")
