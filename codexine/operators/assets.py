@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, references, text
-from ..functions.text import col
+from ..functions.text import col, let
 
 
 def image_paths(*sources: Column) -> Column:
@@ -147,9 +147,11 @@ def claim_support(answer, claims) -> Column:
     """The share of claims (structs claim, quote) that an answer holds nearly, or whose quote it holds; 1 of none."""
     from . import evaluation
 
-    told = F.filter(col(claims), lambda c: F.coalesce(c["claim"], F.lit("")) != "")
-    hit = F.filter(told, lambda c: evaluation.contains_fuzzy(answer, c["claim"], 0.55) | ((F.coalesce(c["quote"], F.lit("")) != "") & evaluation.contains_fuzzy(answer, c["quote"], 0.45)))
-    return F.when(F.size(told) == 0, F.lit(1.0)).otherwise(F.size(hit) / F.size(told))
+    given = lambda x: F.coalesce(x, F.lit("")) != ""
+    held = lambda own, c: evaluation.holds_fuzzy(own, c["claim"], 0.55) | (given(c["quote"]) & evaluation.holds_fuzzy(own, c["quote"], 0.45))
+    hits = lambda told: let(evaluation.fuzzy_parts(answer), lambda own: F.size(F.filter(told, lambda c: held(own, c))))
+    told = F.filter(col(claims), lambda c: given(c["claim"]))
+    return let(told, lambda told: F.when(F.size(told) == 0, F.lit(1.0)).otherwise(hits(told) / F.size(told)))
 
 
 def markdown(messages: DataFrame, references: int = 30) -> DataFrame:

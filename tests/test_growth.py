@@ -1,12 +1,14 @@
 """Joins whose work must not grow with the square of a group."""
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from codexine import plans
 from codexine.functions import cleaning
-from codexine.operators import answers, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, truth, windows
+from codexine.operators import answers, assets, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, truth, windows
 
 
 def _plan(df):
@@ -190,3 +192,30 @@ def test_captions_are_read_once_for_both_cases(spark):
     out = df.select(cleaning.space_captions("t").alias("t"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 35  # two for each phrase were 46
     assert out.collect()[0]["t"].startswith("Xe ô tô xe ô tô; Làn đường dành cho làn đường dành cho")
+
+
+def test_claims_read_their_answer_once(spark):
+    r = random.Random(31)
+    words = lambda most: " ".join(r.choices(["ab", "cd", "ef", "gh", "Ab", "x-y", "-"], k=r.randrange(0, most)))
+    some = lambda most: r.choice([None, "", words(most), words(most), words(most)])
+    rows = [(i, some(12), [(some(6), some(5)) for _ in range(r.randrange(0, 4))]) for i in range(200)]
+    tokens = lambda x: re.findall(r"\w+", (x or "").lower())
+
+    def holds(own, needle, ratio):
+        a, b = tokens(own), tokens(needle)
+        shared = sum((Counter(a) & Counter(b)).values())
+        f1 = 1.0 if not a and not b else 2 * shared / (len(a) + len(b)) if shared else 0.0
+        return "".join(b) in "".join(a) or f1 >= ratio or (shared / len(b) if b else 1.0) >= ratio
+
+    def support(answer, claims):
+        told = [(c, q) for c, q in claims if c]
+        return sum(holds(answer, c, 0.55) or bool(q) and holds(answer, q, 0.45) for c, q in told) / len(told) if told else 1.0
+
+    df = spark.createDataFrame(rows, "id long, answer string, claims array<struct<claim:string,quote:string>>")
+    cited = F.transform("claims", lambda c: c["claim"])
+    out = df.select("id", assets.claim_support("answer", "claims").alias("s"), evaluation.citation_accuracy("answer", cited).alias("c"))
+    want = {i: (support(a, cs), sum(holds(a, c, 0.90) for c, _ in cs) / len(cs) if cs else 1.0) for i, a, cs in rows}
+    assert {x["id"]: (x["s"], x["c"]) for x in out.collect()} == want
+    # The words of the answer, of the claim and of the quote; a bag of words isn't made again for each of its words.
+    plan = df.select(assets.claim_support("answer", "claims").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3
