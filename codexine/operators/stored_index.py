@@ -1,10 +1,11 @@
 """A text index that is kept: built once, it grows by what is new, changed or gone.
 
 An index is a folder of segments, and a manifest of versions that says which count. A segment holds texts (id, digest,
-n_tokens), postings, sorted by token, and sums by token. Rows come in by id: only those whose digest the index doesn't hold
-are tokenized, into a new segment; what they replace, and what is removed, is marked dead, with the sums that it takes
-along. So weights come from sums over segments, and no posting is read again until segments are merged. A version counts
-when its manifest is whole; a job that fails leaves the last one. An index has one writer at a time.
+n_tokens) with their words, counted and in order, and sums by token. Rows come in by id: only those whose digest the index
+doesn't hold are tokenized, into a new segment; what they replace, and what is removed, is marked dead, with the sums that
+it takes along. So weights come from sums over segments, only dead texts' words are read again until segments are merged, and
+dead rows meet texts, not postings. A version counts when its manifest is whole; a job that fails leaves the last one. An
+index has one writer at a time.
 
 Null ids are left out; of rows that share an id the one of the least digest counts; a null text is the empty text.
 """
@@ -23,7 +24,10 @@ from . import index
 
 #: Segments beyond which an update merges the smaller ones.
 SEGMENTS = 8
+#: Pairs of a query and a text that a part of a search sums at most.
+PAIRS = 500_000
 _MANIFEST = "kind string, name string, n long, tokens long"
+_TEXT = "digest string, n_tokens long, words array<struct<token:string,tf:long>>"
 
 
 def parts(spark: SparkSession, path: str) -> list:
@@ -51,29 +55,28 @@ def _kind(spark: SparkSession, path: str, rows: DataFrame | None = None) -> str:
 
 
 def live(spark: SparkSession, path: str, kind: str, names: list[str] | None = None) -> DataFrame:
-    """segment, id, digest, n_tokens of all texts that count."""
-    rows = _read(spark, path, "segment", "texts", f"segment string, id {kind}, digest string, n_tokens long", names)
-    return rows.join(_read(spark, path, "dead", "rows", f"segment string, id {kind}, n_tokens long"), ["segment", "id"], "left_anti")
+    """segment, id, digest, n_tokens, words of all texts that count."""
+    rows = _read(spark, path, "segment", "texts", f"segment string, id {kind}, {_TEXT}", names)
+    gone = _names(spark, path, "dead")
+    return rows.join(_read(spark, path, "dead", "rows", f"segment string, id {kind}, n_tokens long", gone), ["segment", "id"], "left_anti") if gone else rows
 
 
-def postings(spark: SparkSession, path: str, kind: str, names: list[str] | None = None) -> DataFrame:
-    """segment, id, token, tf, n_tokens of all texts that count."""
-    rows = _read(spark, path, "segment", "postings", f"segment string, id {kind}, token string, tf long, n_tokens long", names)
-    return rows.join(_read(spark, path, "dead", "rows", f"segment string, id {kind}, n_tokens long"), ["segment", "id"], "left_anti")
+def postings(texts: DataFrame) -> DataFrame:
+    """id, token, tf, n_tokens of texts with their words."""
+    return texts.select("id", "n_tokens", F.explode("words").alias("_p")).select("id", "_p.token", "_p.tf", "n_tokens")
 
 
 #: Sums by token: texts, times, and of its texts the greatest count and the least spread.
 _SUMS = "token string, df long, tf long, max_tf long, min_spread double"
 
 
-def _write_segment(path: str, texts: DataFrame, posting: DataFrame) -> tuple[str, int, int]:
-    """A segment of texts (id, digest, n_tokens) and postings (id, token, tf, n_tokens); its name and totals."""
+def _write_segment(path: str, texts: DataFrame) -> tuple[str, int, int]:
+    """A segment of texts (id, digest, n_tokens, words); its name and totals."""
     spark, name = texts.sparkSession, uuid.uuid4().hex
-    texts.select(F.lit(name).alias("segment"), "id", "digest", "n_tokens").write.parquet(f"{path}/segment/{name}/texts")
-    own = posting.select(F.lit(name).alias("segment"), "id", "token", "tf", "n_tokens")
-    own.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{path}/segment/{name}/postings")
-    index.sums(spark.read.parquet(f"{path}/segment/{name}/postings")).write.parquet(f"{path}/segment/{name}/terms")
-    total = spark.read.parquet(f"{path}/segment/{name}/texts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0]
+    texts.select(F.lit(name).alias("segment"), "id", "digest", "n_tokens", "words").write.parquet(f"{path}/segment/{name}/texts")
+    own = spark.read.parquet(f"{path}/segment/{name}/texts")
+    index.sums(postings(own)).write.parquet(f"{path}/segment/{name}/terms")
+    total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0]
     return name, total[0], total[1]
 
 
@@ -82,8 +85,8 @@ def _write_dead(spark: SparkSession, path: str, gone: DataFrame, kind: str) -> t
     name = uuid.uuid4().hex
     gone.select("segment", "id", "n_tokens").write.parquet(f"{path}/dead/{name}/rows")
     rows = spark.read.parquet(f"{path}/dead/{name}/rows")
-    held = _read(spark, path, "segment", "postings", f"segment string, id {kind}, token string, tf long, n_tokens long")
-    index.sums(held.join(rows.select("segment", "id"), ["segment", "id"], "left_semi")).write.parquet(f"{path}/dead/{name}/terms")
+    held = _read(spark, path, "segment", "texts", f"segment string, id {kind}, {_TEXT}").drop("digest")
+    index.sums(postings(held.join(rows.select("segment", "id"), ["segment", "id"], "left_semi"))).write.parquet(f"{path}/dead/{name}/terms")
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0]
     return name, total[0], total[1]
 
@@ -99,7 +102,7 @@ def update(path: str, rows: DataFrame, id_column: str, text_column: str, whole:
     given = rows.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
     kind = _kind(spark, path, given)
     given = given.withColumn("digest", F.sha2("text", 256))
-    names = given.groupBy("id").agg(F.min("digest").alias("digest"))
+    names = given.groupBy("id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("given"))
     known = live(spark, path, kind)
     both = names.join(known.select(F.col("id"), F.col("digest").alias("old"), "segment", "n_tokens"), "id", "full_outer")
     both = cut(both.filter(~F.col("digest").eqNullSafe(F.col("old"))), "changes")
@@ -108,10 +111,10 @@ def update(path: str, rows: DataFrame, id_column: str, text_column: str, whole:
     manifest = [tuple(r) for r in parts(spark, path)]
     out = {"n_new": 0, "n_gone": 0}
     if both.filter("digest IS NOT NULL").take(1):
-        words = fresh.select("id", "digest", text.tokens("text").alias("_t")).dropDuplicates(["id"]).select("id", "digest", "_t", F.size("_t").cast("long").alias("n_tokens"))
-        words = cut(words, "words")
-        each = words.select("id", "n_tokens", F.explode("_t").alias("token")).groupBy("id", "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
-        segment = _write_segment(path, words, each)
+        if both.filter("digest IS NOT NULL AND given > 1").take(1):
+            fresh = fresh.dropDuplicates(["id"])
+        parts_of = text.let(text.tokens("text"), lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), index.counted(t).alias("words")))
+        segment = _write_segment(path, fresh.select("id", "digest", parts_of.alias("_p")).select("id", "digest", "_p.*"))
         manifest.append(("segment", *segment))
         out["n_new"] = segment[1]
     if gone.take(1):
@@ -130,7 +133,7 @@ def remove(path: str, ids: DataFrame, id_column: str = "id") -> int:
     spark = ids.sparkSession
     own = ids.select(F.col(id_column).alias("id")).distinct()
     kind = _kind(spark, path, own)
-    gone = cut(live(spark, path, kind).join(own, "id", "left_semi"), "gone")
+    gone = cut(live(spark, path, kind).select("segment", "id", "n_tokens").join(own, "id", "left_semi"), "gone")
     if not gone.take(1):
         return 0
     dead = _write_dead(spark, path, gone, kind)
@@ -140,15 +143,14 @@ def remove(path: str, ids: DataFrame, id_column: str = "id") -> int:
 
 def merge(spark: SparkSession, path: str, segments: int = SEGMENTS) -> None:
     """Writes the smallest segments as one, without their dead rows, until no more than half of so many are left. Only those are
-    read and written, from their postings: no text is tokenized again."""
+    read and written, with their words as they are: no text is tokenized again."""
     manifest = parts(spark, path)
     own = sorted((m for m in manifest if m["kind"] == "segment"), key=lambda m: (m["n"], m["name"]))
     small = [m["name"] for m in own[: max(0, len(own) - max(1, segments // 2) + 1)]]
     if len(small) < 2:
         return
     kind = _kind(spark, path)
-    texts = cut(live(spark, path, kind, small), "texts")
-    merged = _write_segment(path, texts, postings(spark, path, kind, small))
+    merged = _write_segment(path, live(spark, path, kind, small))
     kept = [tuple(m) for m in own if m["name"] not in small]
     dead = cut(_read(spark, path, "dead", "rows", f"segment string, id {kind}, n_tokens long").filter(~F.col("segment").isin(small)), "dead")
     more = [("dead", *_write_dead(spark, path, dead, kind))] if dead.take(1) else []
@@ -183,6 +185,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFr
     if not _names(spark, path, "segment"):
         raise ValueError(f"no index at {path}")
     asked = cut(index.weighted(queries, weights(spark, path)), "asked")
-    own = postings(spark, path, _kind(spark, path))
-    scored = index.top_bm25(own.select("id", "token", "tf", "n_tokens"), asked, k)
+    own, all_hits = postings(live(spark, path, _kind(spark, path)).select("id", "n_tokens", "words")), index.ALL_HITS
+    if len(asked.select("token").take(index.FEW_TOKENS + 1)) <= index.FEW_TOKENS:
+        # Dealt by text, hits are summed where they arise, and only each part's best are moved.
+        n = sum(m["n"] for m in parts(spark, path) if m["kind"] == "segment")
+        dealt = max(1, -(-n * asked.select("query_id").distinct().count() // PAIRS))
+        own, all_hits = own.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").repartition(dealt, "id"), float("inf")
+    scored = index.top_bm25(own, asked, k, all_hits)
     return index.top_k(scored.withColumn("score", F.round("score", 9)), k)

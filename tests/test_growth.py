@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codexine import plans
 from codexine.functions import cleaning
-from codexine.operators import answers, assets, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, truth, windows
+from codexine.operators import answers, assets, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, stored_index, truth, windows
 
 
 def _plan(df):
@@ -219,3 +219,18 @@ def test_claims_read_their_answer_once(spark):
     # The words of the answer, of the claim and of the quote; a bag of words isn't made again for each of its words.
     plan = df.select(assets.claim_support("answer", "claims").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 3
+
+
+def test_dead_rows_of_a_stored_index_meet_texts(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    df = spark.createDataFrame([(i, f"ab c{i % 3}" + " ab" * (i % 2)) for i in range(30)] + [(30, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "ab", 1), (2, "c1", 2)], "query_id long, token string, qtf long")
+    stored_index.update(path, df, "id", "text")
+    assert "LeftAnti" not in _plan(stored_index.search(spark, path, asked, 3))
+    assert stored_index.remove(path, spark.createDataFrame([(1,), (4,)], "id long")) == 2
+    out = stored_index.search(spark, path, asked, 3)
+    fresh = index.top_k(index.bm25(df.filter("id NOT IN (1, 4)"), "id", "text", asked).withColumn("score", F.round("score", 9)), 3)
+    assert sorted(map(tuple, out.select(fresh.columns).collect())) == sorted(map(tuple, fresh.collect()))
+    # Words come out of their text behind the join with dead rows; hits are summed where texts were dealt to.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Aggregate [query_id") < plan.index("RepartitionByExpression") < plan.index("Generate explode") < plan.index("LeftAnti")
