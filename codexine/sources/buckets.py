@@ -2,7 +2,8 @@
 
 A table is a folder of commits, each with the buckets that it wrote, and a manifest of versions that names the commit of
 every bucket. A row's bucket is a hash of its key, its digest one of all its columns; what is new, changed or gone follows
-from digests. A version counts when its manifest is whole, so a job that fails leaves the last one. One writer at a time.
+from digests, which are made where rows of a bucket meet and are neither moved nor kept. Rows are moved once, to their
+bucket. A version counts when its manifest is whole, so a job that fails leaves the last one. One writer at a time.
 
 Keys may be null; of rows that share a key the first in an order counts, or by digest where no order is given.
 """
@@ -18,7 +19,9 @@ from . import tables
 
 BUCKETS = 64
 _MANIFEST = "bucket int, name string, buckets int, n long"
-_OWN = ("_bucket", "_digest")
+_OWN = ("_bucket",)
+#: Where a row comes from.
+_OLD, _NEW, _GONE = 0, 1, 2
 
 
 def _manifest(spark: SparkSession, path: str) -> list:
@@ -45,66 +48,54 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
     return _read(spark, path, manifest, _schema(spark, path, manifest)).drop(*_OWN)
 
 
-def _prepared(rows: DataFrame, key: list[str], order: list, buckets: int) -> DataFrame:
-    """One row for each key, with its bucket and digest."""
-    own = rows.withColumn("_digest", F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order, "_digest"))
-    return own.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
+def _met(rows: DataFrame, key: list[str], order: list, keep_first: bool, whole: bool) -> DataFrame:
+    """One row for each key that stays or goes, with its _bucket and _kind, of rows with _bucket and _from."""
+    own = [c for c in rows.columns if c not in ("_bucket", "_from")]
+    rows = rows.withColumn("_digest", F.unhex(F.sha2(F.to_json(F.struct(*sorted(own)), {"ignoreNullFields": "false"}), 256)))
+    by = Window.partitionBy("_bucket", *key)
+    # Old rows stand behind new ones, unless the first of both counts; keys that go stand last.
+    rank = F.when(F.col("_from") == _GONE, 2).when((F.col("_from") == _OLD) & F.lit(not keep_first), 1).otherwise(0)
+    given = lambda what: F.max(F.col("_from") == what).over(by)
+    first = rows.withColumns({
+        "_nth": F.row_number().over(by.orderBy(rank, *order, "_digest")),
+        "_old": F.max(F.when(F.col("_from") == _OLD, F.col("_digest"))).over(by),
+        "_new": given(_NEW),
+        "_gone": F.lit(True) if whole else given(_GONE),
+    }).filter(F.col("_nth") == 1)
+    kind = F.when(~F.col("_new"), F.when(F.col("_old").isNull(), "none").when(F.col("_gone"), "deleted").otherwise("kept"))
+    kind = kind.when(F.col("_old").isNull(), "inserted").when(F.col("_old") != F.col("_digest"), "updated").otherwise("same")
+    return first.select(*own, "_bucket", kind.alias("_kind")).filter("_kind <> 'none'")
 
 
 def _change(path: str, rows: DataFrame, key: list[str], order: list, buckets: int, gone: DataFrame | None, whole: bool, keep_first: bool) -> dict[str, int]:
     spark = rows.sparkSession
     manifest = _manifest(spark, path)
     buckets = manifest[0]["buckets"] if manifest else buckets
-    new = tables.cut(_prepared(rows, key, order, buckets), "changes")
-    gone = tables.cut(_prepared(gone.select(*key), key, [], buckets).drop("_digest"), "gone") if gone is not None else None
-    touched = {r["_bucket"] for r in new.select("_bucket").distinct().collect()}  # at most as many as there are buckets
+    dealt = lambda df: df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    given = dealt(rows).withColumn("_from", F.lit(_NEW))
     if gone is not None:
-        touched |= {r["_bucket"] for r in gone.select("_bucket").distinct().collect()}
-    old = _read(spark, path, [m for m in manifest if whole or m["bucket"] in touched], new.schema)
-    names = [f"_k{i}" for i in range(len(key))]
-    same_key = lambda a, b: [a[k].eqNullSafe(b[n]) for k, n in zip(key, names, strict=True)]
-
-    def on(a, b):
-        out = F.lit(True)
-        for c in same_key(a, b):
-            out = out & c
-        return out
-
-    keyed = lambda df, *more: df.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], *more)
-    if keep_first:  # of old and new rows the first in the order stays
-        asked, had = keyed(new), old.drop(*_OWN)
-        new = tables.cut(_prepared(new.drop(*_OWN).unionByName(had.join(asked, on(had, asked), "left_semi")), key, order, buckets), "first")
-    held = keyed(old, F.col("_digest").alias("_old"), F.col("_bucket").alias("_old_bucket"))
-    fresh = new.join(held, on(new, held), "left")
-    kinds = fresh.select("_bucket", F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") != F.col("_digest"), "updated").otherwise("same").alias("kind"))
-    given = keyed(new)
-    rest = old.join(given, on(old, given), "left_anti")
-    if whole:
-        lost = rest
-    elif gone is not None:
-        marked = keyed(gone)
-        lost = rest.join(marked, on(rest, marked), "left_semi")
-    else:
-        lost = rest.limit(0)
-    kinds = kinds.unionByName(lost.select("_bucket", F.lit("deleted").alias("kind")))
-    found = kinds.groupBy("_bucket", "kind").agg(F.count(F.lit(1)).alias("n")).collect()  # four rows a bucket at most
-    out = {k: sum(r["n"] for r in found if r["kind"] == k) for k in ("inserted", "updated", "deleted", "same")}
-    changed = sorted({r["_bucket"] for r in found if r["kind"] != "same"})
+        given = given.unionByName(dealt(gone.select(*key)).withColumn("_from", F.lit(_GONE)), allowMissingColumns=True)
+    held = manifest
+    if manifest and not whole:  # only the buckets of these rows are read
+        given = tables.cut(given, "changes")
+        touched = {r["_bucket"] for r in given.select("_bucket").distinct().collect()}  # at most as many as there are buckets
+        held = [m for m in manifest if m["bucket"] in touched]
+    old = _read(spark, path, held, given.drop("_from").schema).withColumn("_from", F.lit(_OLD))
+    met = given.unionByName(old) if held else given
+    met = tables.cut(_met(met.repartition(buckets, "_bucket"), key, order, keep_first, whole), "met")
+    found = met.groupBy("_bucket", "_kind").agg(F.count(F.lit(1)).alias("n")).collect()  # five rows a bucket at most
+    out = {k: sum(r["n"] for r in found if r["_kind"] == k) for k in ("inserted", "updated", "deleted", "same")}
+    changed = sorted({r["_bucket"] for r in found if r["_kind"] not in ("same", "kept")})
     out["buckets"] = len(changed)
     if not changed:
         return out
-    kept = rest
-    if whole:
-        kept = rest.limit(0)
-    elif gone is not None:
-        marked = keyed(gone)
-        kept = rest.join(marked, on(rest, marked), "left_anti")
+    sizes = {b: sum(r["n"] for r in found if r["_bucket"] == b and r["_kind"] != "deleted") for b in changed}
     name = uuid.uuid4().hex
-    body = new.unionByName(kept).filter(F.col("_bucket").isin(changed)).withColumn("_part", F.col("_bucket"))
-    body.repartition("_part").sortWithinPartitions("_part").write.partitionBy("_part").parquet(f"{path}/data/{name}")
-    sizes = {r["_part"]: r["n"] for r in spark.read.parquet(f"{path}/data/{name}").groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()} if any(True for _ in tables.folders(spark, f"{path}/data/{name}")) else {}
-    entries = [tuple(m) for m in manifest if m["bucket"] not in changed] + [(b, name if b in sizes else "", buckets, sizes.get(b, 0)) for b in changed]
+    if any(sizes.values()):
+        # A bucket's rows lie in one file of what met, so they are written as they are read.
+        body = met.filter(F.col("_bucket").isin(changed) & (F.col("_kind") != "deleted")).drop("_kind").withColumn("_part", F.col("_bucket"))
+        body.sortWithinPartitions("_part").write.partitionBy("_part").parquet(f"{path}/data/{name}")
+    entries = [tuple(m) for m in manifest if m["bucket"] not in changed] + [(b, name if n else "", buckets, n) for b, n in sizes.items()]
     tables.replace(spark.createDataFrame(entries, _MANIFEST).coalesce(1), f"{path}/manifest")
     return out
 

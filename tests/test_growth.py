@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codexine import plans
 from codexine.functions import cleaning
 from codexine.operators import answers, assets, chunking, evaluation, grams, graph, index, joins, phrases, sanctions, sequences, spatial, stored_index, truth, windows
+from codexine.sources import buckets
 
 
 def _plan(df):
@@ -234,3 +235,17 @@ def test_dead_rows_of_a_stored_index_meet_texts(spark, tmp_path):
     # Words come out of their text behind the join with dead rows; hits are summed where texts were dealt to.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("Aggregate [query_id") < plan.index("RepartitionByExpression") < plan.index("Generate explode") < plan.index("LeftAnti")
+
+
+def test_rows_of_a_keyed_table_are_moved_once(spark, tmp_path, monkeypatch):
+    path, plans, cut = f"file://{tmp_path}/table", [], buckets.tables.cut
+    monkeypatch.setattr(buckets.tables, "cut", lambda df, what="cut": plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or cut(df, what))
+    rows = spark.range(50).select("id", (F.col("id") % 5).alias("v"))
+    assert buckets.sync(path, rows.filter("id < 30"), ["id"], buckets=4)["inserted"] == 30
+    out = buckets.sync(path, rows.filter("id >= 20").withColumn("v", F.when(F.col("id") == 25, 9).otherwise(F.col("v"))), ["id"], gone=rows.filter("id IN (3, 25, 77)"))
+    assert {k: out[k] for k in ("inserted", "updated", "deleted", "same")} == {"inserted": 20, "updated": 1, "deleted": 1, "same": 9}
+    assert sorted(map(tuple, buckets.read(spark, path).collect())) == [(i, 9 if i == 25 else i % 5) for i in range(50) if i != 3]
+    # Old and new rows meet behind one exchange, and no digest is moved or kept.
+    assert [(what, plan.count("Exchange hashpartitioning")) for what, plan in plans if "Exchange" in plan] == [("met", 1)] * 2
+    (held,) = {tuple(spark.read.parquet(f"{path}/data/{x}").columns) for x in buckets.tables.folders(spark, f"{path}/data")}
+    assert held == ("id", "v", "_bucket", "_part")
