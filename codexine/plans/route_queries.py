@@ -99,7 +99,7 @@ r AS (
  UNION ALL SELECT 'fines', false, row_number() OVER (ORDER BY amount_max DESC, id) AS rank, 'Điều ' || article, id, CAST(amount_max AS DOUBLE) FROM a WHERE amount_max > 0 QUALIFY rank <= 12
  UNION ALL SELECT 'fines', true, row_number() OVER (ORDER BY amount_min, id) AS rank, 'Điều ' || article, id, CAST(amount_min AS DOUBLE) FROM a WHERE amount_min > 0 QUALIFY rank <= 12
  UNION ALL SELECT 'points', false, rank, '', id, CAST(points AS DOUBLE) FROM ({SQL["point_ranking"]}) UNION ALL SELECT 'points', true, rank, '', id, CAST(points AS DOUBLE) FROM ({SQL["fewest_points"]})
- UNION ALL SELECT 'suspension', false, row_number() OVER (ORDER BY act_id, act || ': ' || suspension) AS rank, act || ': ' || suspension, act_id, NULL FROM ({SQL["suspension_catalog"]}) QUALIFY rank <= 120
+ UNION ALL SELECT 'suspension', false, row_number() OVER (ORDER BY act_id, act || ': ' || suspension) AS rank, act || ': ' || suspension, act_id, NULL FROM ({SQL["suspension_catalog"]})
 )
 SELECT query_id, kind, CAST(rank AS INTEGER) AS rank, label, id, value FROM q LEFT JOIN r USING (kind, least) WHERE kind = 'unsupported' OR rank IS NOT NULL
 """,

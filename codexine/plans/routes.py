@@ -303,17 +303,26 @@ def asks_least(question) -> Column:
     return text.contains_any(text.fold(question), ("thap nhat", "it nhat", "nho nhat", "nhe nhat"))
 
 
-def aggregation(records: DataFrame, questions: DataFrame, k: int = 12, catalogued: int = 120) -> DataFrame:
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with their rank in that order. Rows are dealt by ranges of the order and counted there, so no task holds all of them."""
+    # A column of its own, as the parts of a table that is read again are others.
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each part
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def aggregation(records: DataFrame, questions: DataFrame, k: int = 12) -> DataFrame:
     """query_id, kind, rank, label, id, value of the statistic that each question (query_id, question) asks for, over all records.
 
     Frequency: the articles with most rows on violations; fines: the highest amounts (the lowest above zero, if those are asked
-    for); points: the most, or fewest; suspension: acts in order of id, the first catalogued. Each statistic is taken once,
-    as a report of a few rows, whatever the number of questions; an unsupported question has one row without a value.
+    for); points: the most, or fewest; each the k best. Suspension lists every act, in order of id. Each statistic is taken once,
+    whatever the number of questions; an unsupported question has one row without a value.
     records: as in sanctions.suspensions, with fine_min and fine_max besides."""
     asked = questions.select("query_id", aggregation_kind("question").alias("kind"), asks_least("question").alias("_least"))
-    n = max(5, min(k, 12))
     report = lambda df, kind, least, label, value: df.select(F.lit(kind).alias("kind"), F.lit(least).alias("_least"), F.col("rank").cast("int").alias("rank"), label.alias("label"), "id", value.cast("double").alias("value"))
-    ranked = lambda df, *order: df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k report
+    ranked = lambda df, *order: df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k report
     told = records.filter(text.let(text.fold("text"), lambda f: text.contains_any(f, ("vi pham", "phat"))) & (F.coalesce("article", F.lit("")) != ""))
     # Tables, as the reports of the highest and of the lowest both read them.
     often = cut(told.groupBy("document", "article").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")), "often")
@@ -324,14 +333,15 @@ def aggregation(records: DataFrame, questions: DataFrame, k: int = 12, catalogue
         parts.append(report(ranked(often, F.desc("n"), "document", "article"), "frequency", least, F.concat_ws(", ", "document", place), F.col("n")))
         amount = F.col("amount_min" if least else "amount_max")
         parts.append(report(ranked(fines.filter(amount > 0), F.asc(amount) if least else F.desc(amount), "id"), "fines", least, place, amount))
-        parts.append(report(sanctions.point_ranking(records, n, least), "points", least, F.lit(""), F.col("points")))
+        parts.append(report(sanctions.point_ranking(records, k, least), "points", least, F.lit(""), F.col("points")))
     acts = sanctions.suspensions(records).select(F.col("act_id").alias("id"), F.concat_ws(": ", "act", "suspension").alias("label"))
-    first = cut(acts.orderBy("id", "label").limit(catalogued).withColumn("rank", F.row_number().over(Window.orderBy("id", "label"))), "acts")
-    parts += [report(first, "suspension", least, F.col("label"), F.lit(None)) for least in (False, True)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    out = asked.join(cut(every, "reports"), ["kind", "_least"], "left").filter((F.col("kind") == "unsupported") | F.col("rank").isNotNull())
+    few = asked.join(F.broadcast(cut(every, "reports")), ["kind", "_least"], "left").filter((F.col("kind") == "unsupported") | F.col("rank").isNotNull())
+    # Every question for acts gets all of them, so they are dealt once and stay there, and meet those questions in a product.
+    listed = report(numbered(acts, "id", "label"), "suspension", False, F.col("label"), F.lit(None)).drop("kind", "_least")
+    out = few.unionByName(listed.crossJoin(F.broadcast(asked.filter("kind = 'suspension'"))))
     return out.select("query_id", "kind", "rank", "label", "id", "value")
 
 

@@ -249,3 +249,16 @@ def test_rows_of_a_keyed_table_are_moved_once(spark, tmp_path, monkeypatch):
     assert [(what, plan.count("Exchange hashpartitioning")) for what, plan in plans if "Exchange" in plan] == [("met", 1)] * 2
     (held,) = {tuple(spark.read.parquet(f"{path}/data/{x}").columns) for x in buckets.tables.folders(spark, f"{path}/data")}
     assert held == ("id", "v", "_bucket", "_part")
+
+
+def test_every_act_is_listed(spark):
+    from codexine.plans import routes
+
+    said = "Tước quyền sử dụng giấy phép lái xe 2 tháng."
+    rows = [(i, "d", str(i), "1", "a", said, f"Điều khiển xe không đúng phần đường {i % 7}", "", 100.0 * i, 200.0 * i) for i in range(1, 301)]
+    records = spark.createDataFrame(rows, "id long, document string, article string, clause string, point string, text string, violation string, context string, fine_min double, fine_max double")
+    asked = spark.createDataFrame([(1, "Danh sách hành vi bị tước giấy phép lái xe"), (2, "Điều nào hay vi phạm nhất"), (3, "Toàn bộ hành vi bị tước bằng lái")], "query_id long, question string")
+    got = sorted((x["query_id"], x["rank"], x["id"]) for x in routes.aggregation(records, asked).filter("kind = 'suspension'").collect())
+    assert got == [(q, i, i) for q in (1, 3) for i in range(1, 301)]
+    order = routes.numbered(spark.range(1000).select((F.col("id") * 7919 % 997).alias("v"), "id").repartition(7), "v", "id").orderBy("v", "id").collect()
+    assert [x["rank"] for x in order] == list(range(1, 1001))
