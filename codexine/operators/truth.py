@@ -136,12 +136,12 @@ def stratum(kind, document) -> Column:
     return F.struct(F.coalesce(col(kind), F.lit("UNKNOWN")).alias("kind"), text.first_text(document, F.lit("UNKNOWN_DOC")).alias("document"))
 
 
-def subject_phrases(question, known: tuple[str, ...] = (), most: int = 24) -> Column:
-    """Known phrases that a question holds, then its runs of five, four and three words."""
+def subject_phrases(question, known: tuple[str, ...] = ()) -> Column:
+    """Known phrases that a question holds, then all of its runs of five, four and three words, each once."""
     q = text.fold(question)
     words = F.filter(F.regexp_extract_all(q, F.lit(r"([a-z0-9]+)"), 1), lambda w: F.length(w) >= 3)
     named = F.array_compact(F.array(*[F.when(F.contains(q, F.lit(p)), F.lit(p)) for p in known])) if known else F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.concat(named, *[text.ngrams(words, n) for n in (5, 4, 3)])), 1, most)
+    return F.array_distinct(F.concat(named, *[text.ngrams(words, n) for n in (5, 4, 3)]))
 
 
 def lexical_only(rows: DataFrame, questions: DataFrame, k: int = 8, scoped: float = 2.0) -> DataFrame:

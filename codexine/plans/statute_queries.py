@@ -391,7 +391,7 @@ def needed_modalities(benchmark):
 _LEX = f"""WITH d AS (SELECT doc_id AS id, {content('text')} AS w, {fold('text')} AS body FROM documents), x AS (SELECT id, unnest(w) AS t FROM d), b AS (SELECT item_id AS query_id, {content('text')} AS w, [v FOR v IN regexp_extract_all({fold('text')}, '[a-z0-9]+') IF len(v) >= 3] AS q FROM benchmark), y AS (SELECT query_id, unnest(w) AS t FROM b),
 s AS (SELECT query_id, id, count(*) AS n FROM x JOIN y USING (t) GROUP BY 1, 2),
 p AS (SELECT query_id, list_concat(list_concat([array_to_string(q[i:i + 4], ' ') FOR i IN range(1, len(q) - 3)], [array_to_string(q[i:i + 3], ' ') FOR i IN range(1, len(q) - 2)]), [array_to_string(q[i:i + 2], ' ') FOR i IN range(1, len(q) - 1)]) AS g FROM b),
-k AS (SELECT query_id, list(v ORDER BY i)[1:24] AS phrases FROM (SELECT query_id, v, min(i) AS i FROM (SELECT query_id, unnest(g) AS v, generate_subscripts(g, 1) AS i FROM p) GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT query_id, list(v ORDER BY i) AS phrases FROM (SELECT query_id, v, min(i) AS i FROM (SELECT query_id, unnest(g) AS v, generate_subscripts(g, 1) AS i FROM p) GROUP BY 1, 2) GROUP BY 1),
 z AS (SELECT query_id, id, round(least(n, 30) * 0.15 + len([v FOR v IN phrases IF contains(body, v)]), 6) AS score FROM s JOIN d USING (id) JOIN k USING (query_id))
 SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z QUALIFY rank <= 8"""
 

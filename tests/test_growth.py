@@ -262,3 +262,12 @@ def test_every_act_is_listed(spark):
     assert got == [(q, i, i) for q in (1, 3) for i in range(1, 301)]
     order = routes.numbered(spark.range(1000).select((F.col("id") * 7919 % 997).alias("v"), "id").repartition(7), "v", "id").orderBy("v", "id").collect()
     assert [x["rank"] for x in order] == list(range(1, 1001))
+
+
+def test_every_phrase_of_a_question_counts(spark):
+    words = [a + b for a in ("bal", "cor", "dim", "fen") for b in ("ta", "re", "mi", "no", "lu", "si", "ve", "po", "ga", "zu")]
+    rows = spark.createDataFrame([(1, " ".join(words[:2])), (2, " ".join(words[-3:]))], "id long, text string").withColumn("document", F.lit("x"))
+    asked = spark.createDataFrame([(1, " ".join(words), [])], "query_id long, question string, documents array<string>")
+    got = [(x["id"], round(x["score"], 6)) for x in truth.lexical_only(rows, asked).orderBy("rank").collect()]
+    assert got == [(2, 1.45), (1, 0.3)]
+    assert asked.select(F.size(truth.subject_phrases("question")).alias("n")).first()["n"] == 36 + 37 + 38
