@@ -271,3 +271,36 @@ def test_every_phrase_of_a_question_counts(spark):
     got = [(x["id"], round(x["score"], 6)) for x in truth.lexical_only(rows, asked).orderBy("rank").collect()]
     assert got == [(2, 1.45), (1, 0.3)]
     assert asked.select(F.size(truth.subject_phrases("question")).alias("n")).first()["n"] == 36 + 37 + 38
+
+
+def test_large_sets_that_differ_are_settled_where_they_meet(spark, monkeypatch):
+    r = random.Random(23)
+    words = [f"w{i}" for i in range(6000)]
+    sets = [r.sample(words, r.choice([900, 1000, 1100, 2400, 2600])) for _ in range(40)]
+    sets += [[*s, *[f"new{i}" for i in range(len(s) // 9)]] for s in sets[:6]]
+    made, cut = {}, evaluation.cut
+    monkeypatch.setattr(evaluation, "cut", lambda df, what="cut": made.setdefault(what, cut(df, what)))
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, words array<string>")
+    got = {(x["a"], x["b"]) for x in evaluation.near_pairs(rows, "id", "words", 0.8).collect()}
+    assert got == {(i, 40 + i) for i in range(6)}
+    assert made["pairs"].count() < 12
+
+
+def test_words_that_bring_no_pairs_are_not_moved(spark, monkeypatch):
+    from codexine.operators import prefixes
+
+    r = random.Random(29)
+    monkeypatch.setattr(prefixes, "OFTEN", 2)
+    rows = spark.createDataFrame([(i, r.sample(range(400), 100)) for i in range(50)], "id long, items array<bigint>")
+    known = prefixes.frequent(rows, F.col("items"))
+    assert len(known[0]) and list(known[0]) == sorted(known[0])
+    count = {int(k): int(n) for k, n in zip(*known, strict=True)}
+    moved = {}
+    for _, small, large in prefixes.sides(rows, "id", F.col("items"), known, 0.8):
+        moved[_] = small.count() + large.count()
+    assert 0 < sum(moved.values()) < 0.55 * 50 * 100
+    order = {x["id"]: [] for x in rows.collect()}
+    for x in prefixes.firsts(rows, "id", F.col("items"), known, lambda n: n).orderBy("id", "at").collect():
+        order[x["id"]].append(x["item"])
+    for x in rows.collect():
+        assert order[x["id"]] == sorted(x["items"], key=lambda v: (count.get(v, 0), v))
