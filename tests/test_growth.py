@@ -304,3 +304,20 @@ def test_words_that_bring_no_pairs_are_not_moved(spark, monkeypatch):
         order[x["id"]].append(x["item"])
     for x in rows.collect():
         assert order[x["id"]] == sorted(x["items"], key=lambda v: (count.get(v, 0), v))
+
+
+def test_sequences_are_moved_by_few_of_their_items(spark, tmp_path, monkeypatch):
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    texts = [r.choices(words, k=r.choice([200, 300, 1200])) for _ in range(40)]
+    texts += [[*t[:50], *t[55:]] for t in texts[:8]]
+    made, cut, plain = {}, sequences.cut, sequences._met
+    monkeypatch.setattr(sequences, "cut", lambda df, what="cut": made.setdefault(what, cut(df, what)))
+    moved = []
+    monkeypatch.setattr(sequences, "_met", lambda *given: moved.append(_plan(plain(*given))) or plain(*given))
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x["a"], x["b"]) for x in plans.QUERIES["sequence_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(i, 40 + i) for i in range(8)]
+    # Runs of items aren't counted by a shuffle of all of them, and only pairs that may reach the ratio are compared.
+    assert not any("Window" in p for p in moved)
+    assert made["met"].count() < 12
